@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
 
 QUERIES = {
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op8_language_id": op8_language_id,
 }
 

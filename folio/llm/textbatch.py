@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text that a step holds at once, besides one text that may be longer.
 STEP_CHARS = 2_000_000
@@ -16,7 +17,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_CHARS)
         col = batch.column(batch.schema.get_field_index(text))
         if pa.types.is_large_string(col.type):
             col = col.cast(pa.string())
-        sizes = col.is_valid().cast(pa.int64()).to_pylist() if not len(col) else [x or 0 for x in pa.compute.binary_length(col).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(col).to_pylist()]
         at = 0
         while at < len(sizes):
             end, held = at + 1, sizes[at]
