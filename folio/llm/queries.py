@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
+from .mixing import OP7_SQL, op7_mixing
+from .pii import op10_pii
 
 QUERIES = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
