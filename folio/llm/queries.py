@@ -5,9 +5,11 @@ from __future__ import annotations
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
 from .mixing import OP7_SQL, op7_mixing
+from .packing import op2_packing
 from .pii import op10_pii
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
