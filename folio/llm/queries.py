@@ -7,9 +7,11 @@ from .language_id import op8_language_id
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
 from .pii import op10_pii
+from .vector_dedup import op4_embedding_dedup
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
