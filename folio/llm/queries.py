@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_format
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
 from .mixing import OP7_SQL, op7_mixing
@@ -10,6 +11,7 @@ from .pii import op10_pii
 from .vector_dedup import op4_embedding_dedup
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
     "op7_mixing": OP7_SQL,
 }
