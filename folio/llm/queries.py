@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat_format
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
+from .media import op6_media
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
 from .pii import op10_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_media": op6_media,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op10_pii": op10_pii,
