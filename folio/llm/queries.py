@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
+from .html_text import op9_html_text
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
 from .media import op6_media
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
 
