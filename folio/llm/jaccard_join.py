@@ -6,9 +6,10 @@ that a linked pair of the band can have, so by the pigeonhole principle such a p
 writes keys for the next band if a partner may be there. Candidates are verified on the whole sets.
 
 Copies with one set are one class from the start, and only classes are joined. Within the group of a key, all are compared with
-the smallest class first; a class once compared with all others of a key is settled there. Keys whose unsettled members are
-already connected are done; the others go on with more pivots, the least connected first. So no pair of a group is left out
-unless both are connected anyway, and a group of many near copies of one text costs a comparison for each.
+the smallest class first. Keys whose members are then connected are done: a group of many near copies of one text costs a comparison for
+each. In the other keys every pair is compared that isn't connected yet: by a join where a key has few classes; where it
+has many, such keys are united to families, and a family's sets are compared tile by tile, as matrix products, of which only a spanning
+forest of the links comes out. So no pair is left out, and no task or row count grows with the square of a group.
 
 A null or blank text has an empty set and is linked with nothing. Repeated rows and equal texts are linked. Null ids
 are kept and count as larger than all others. Extra columns are not read.
@@ -119,6 +120,57 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(common * den >= (F.col("na") + F.col("nb") - common) * num).select("a", "b")
 
 
+#: Classes of a key whose pairs are joined one by one; classes and shingles of a tile.
+FEW, TILE, TILE_SHINGLES, COLUMNS = 16, 512, 1_000_000, 4096
+
+
+def linked_in_tiles(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each two of the sets are linked: intersections by products of 0-1 matrices over a slice of the shingles at a time."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))
+    shared = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [a, a + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[i:j], column[i:j] - a] = 1
+        common += x @ x.T
+    return common * den >= (size[:, None] + size[None] - common) * num
+
+
+def family_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """members (class, family) -> links (a, b) that connect what is linked within each family; each two tiles are a group of their own."""
+    full = members.join(sets, "class")
+    sizes = members.join(sets.select("class", "n"), "class").groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("all") / TILE_SHINGLES), F.lit(1)).cast("int")
+    dealt = full.join(sizes, "family").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    sent = scratch.table(dealt, "tiles").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sent = sent.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "s")
+
+    def forest(table: pa.Table) -> pa.Table:
+        cls = table.column("class").to_numpy()
+        hit = linked_in_tiles([np.asarray(s.values) for s in table.column("s")], num, den)
+        free = np.ones(len(cls), bool)
+        a, b = [], []
+        while free.any():
+            front = np.array([free.argmax()])
+            free[front] = False
+            while len(front):
+                met = hit[front] & free
+                new = np.flatnonzero(met.any(0))
+                a.append(cls[front[met[:, new].argmax(0)]])
+                b.append(cls[new])
+                free[new] = False
+                front = new
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return sent.groupBy("family", "t", "u").applyInArrow(forest, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, class, component_id), one row for every row; the component's id is its smallest doc_id.
 
@@ -131,31 +183,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # One shuffle of (key, class), sorted once: the first class of a key is its pivot.
     by_key = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     met = scratch.table(exploded.withColumn("pivot", F.first("class").over(by_key)).where("class <> pivot").distinct(), "met")
-    links, labels, sets = None, None, None
-    pairs = met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    left, pivots = met.select("key", "class"), 16
-    while pairs is not None:
-        pairs = scratch.table(pairs, "pairs")
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-            wanted = F.broadcast(wanted) if small(pairs) else wanted
-            members = all_docs.where("class is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("member"))
-            sets = class_sets(docs, doc_id, text, words, scratch.table(members, "wanted"), scratch)
-        found = scratch.table(verified(pairs, sets, num, den), "found")
-        links = found if links is None else scratch.table(links.union(found), "all")
-        labels = connected_components(links, scratch)
-        named = left.join(labels, left["class"] == labels.node, "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        state = scratch.table(named.join(open_keys, "key", "left_semi"), "open")
-        if not state.limit(1).count():
-            break
-        sizes = Window.partitionBy("key", "label")
-        order = Window.partitionBy("key").orderBy("size", "label", "class")
-        ranked = state.withColumn("size", F.count("*").over(sizes)).withColumn("rank", F.row_number().over(order))
-        ranked = scratch.table(ranked, "ranked")
-        lead = ranked.where(F.col("rank") <= pivots).select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        pairs = ranked.join(lead, "key").where("label <> la and rank > ra").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        left, pivots = ranked.where(F.col("rank") > pivots).select("key", "class"), pivots * 4
+    pairs = scratch.table(met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = F.broadcast(wanted) if small(pairs) else wanted
+    members = all_docs.where("class is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("member"))
+    sets = class_sets(docs, doc_id, text, words, scratch.table(members, "wanted"), scratch)
+    links = scratch.table(verified(pairs, sets, num, den), "links")
+    labels = connected_components(links, scratch)
+    # What is left: pairs without the pivot, in keys whose members are not all connected.
+    named = met.join(labels, met["class"] == labels.node, "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    state = scratch.table(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m"), "open keys")
+    left = scratch.table(named.join(state, "key"), "open")
+    few = left.where(F.col("m") <= FEW)
+    one, two = few.select("key", F.col("class").alias("a"), F.col("label").alias("la")), few.select("key", F.col("class").alias("b"), F.col("label").alias("lb"))
+    more = scratch.table(one.join(two, "key").where("a < b and la <> lb").select("a", "b").distinct(), "more pairs")
+    of_many = left.where(F.col("m") > FEW).groupBy("key").agg(F.min("class").alias("a"))
+    ties = left.where(F.col("m") > FEW).select("key", F.col("class").alias("b")).join(of_many, "key").select("a", "b").distinct()
+    families = connected_components(ties, scratch).withColumnsRenamed({"node": "class", "label": "family"})
+    some = scratch.table(sets.join(more.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"), "more sets")
+    found = verified(more, some, num, den).union(family_links(families, sets, num, den, scratch))
+    labels = connected_components(scratch.table(links.union(found), "all links"), scratch)
     classes = all_docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     joined = scratch.table(classes.join(labels, classes["class"] == labels.node, "left").select("class", "first", F.coalesce("label", "class").alias("label")), "classes")
     lowest = joined.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
