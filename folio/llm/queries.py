@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat_format
 from .html_text import op9_html_text
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
+from .license_scan import op3_license_scan
 from .media import op6_media
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
@@ -15,6 +16,7 @@ from .vector_dedup import op4_embedding_dedup
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_media": op6_media,
