@@ -211,6 +211,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return all_docs.select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs without the linked documents of smaller ones: of each component the row with the smallest id stays.
+
+    Where ids are null or repeated, rows are told apart by their place in the table instead, for the rows read in one plan.
+    """
+    ids = docs.select(F.col(doc_id).alias("id"))
+    odd = ids.where("id is null").limit(1).count() or ids.groupBy("id").count().where("count > 1").limit(1).count()
+    key = "_row" if odd else doc_id
+    given = docs.withColumn("_row", F.monotonically_increasing_id()) if odd else docs
+    drop = Scratch(docs.sparkSession, "copies").table(jaccard_components(given, key, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")), "copies")
+    return given.join(F.broadcast(drop) if small(drop) else drop, given[key] == drop["_copy"], "left_anti").select(*docs.columns)
+
+
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")

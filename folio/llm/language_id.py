@@ -180,14 +180,14 @@ SCHEMA = "lang_pred string, score double, lang_spans array<struct<start:long,end
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", with_spans: bool = True) -> DataFrame:
     """The columns ``keep`` of docs with lang_pred, score (0 to 1) and lang_spans; one row for every row."""
-    given = docs.select(*keep, F.col(text).alias("_text"))
+    given = docs.select(*keep, *([] if text in keep else [F.col(text)]))
     fields = [f for f in given.schema.fields if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(model)
-        for batch, texts in steps(batches, "_text"):
+        for batch, texts in steps(batches, text):
             pred, score, runs = [], [], []
             for t, (labels, letters) in zip(texts, label.label(texts), strict=True):
                 by = np.bincount(labels, letters, len(model.langs)) if len(labels) else np.zeros(0)
