@@ -58,27 +58,38 @@ class PieceTokenizer:
         """Whether it has white space other than single spaces and line breaks between other characters."""
         return text[0] in " \n" or text[-1] in " \n" or any(d in text for d in self.DOUBLE) or any(c in text for c in self.OTHER)
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes stretches: many at once where they begin with white space, for those can stand one after the other."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encodes stretches: many at once where they begin with white space, for those can stand one after the other.
+
+        They are remembered while there is room: the first stretches a task meets hold the frequent ones.
+        """
+        got: dict[str, bytes] = {}
         known = self.known
-        if len(known) > self.keep:
-            known.clear()
         stopped = [s for s in new if s[-1] in ".," and s[-2:-1].isalnum() and s[0] != "\x02"]
-        cores = [s[:-1] for s in stopped]
         ends = set(stopped)
+        rest = []
         for s in new:
             if s[0] == "\x02":
-                known[s] = self.whole(s[1:])
-        rest = list(dict.fromkeys(s for s in [*new, *cores] if s[0] != "\x02" and s not in ends and s not in known))
+                got[s] = self.whole(s[1:])
+            else:
+                core = s[:-1] if s in ends else s
+                if core not in known:
+                    rest.append(core)
+        rest = list(dict.fromkeys(rest))
         for i in range(0, len(rest), 2000):
             some = rest[i : i + 2000]
             text = [s if s[0] == "\n" else " " + s for s in some]
-            got = self.tok.encode("".join(text), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            at = np.searchsorted(np.array([o[0] for o in got.offsets]), np.cumsum([len(t) for t in text])).tolist()
+            e = self.tok.encode("".join(text), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            at = np.searchsorted(np.array([o[0] for o in e.offsets]), np.cumsum([len(t) for t in text])).tolist()
             for s, x, y in zip(some, [0, *at], at, strict=False):
-                known[s] = ids[4 * x : 4 * y]
-        known.update((s, known[c] + self.stops[s[-1]]) for s, c in zip(stopped, cores, strict=True))
+                got[s] = ids[4 * x : 4 * y]
+        for s in stopped:
+            core = s[:-1]
+            got[s] = (known.get(core) or got[core]) + self.stops[s[-1]]
+        if len(known) < self.keep:
+            known.update(got)
+        return got
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -90,8 +101,8 @@ class PieceTokenizer:
         parts = ("\x02" + text.replace("\n", " \n")).split(" ")
         out = list(map(self.known.get, parts))
         if None in out:
-            self.learn(list(dict.fromkeys(s for s, b in zip(parts, out, strict=True) if b is None)))
-            out = [b if b is not None else self.known[s] for s, b in zip(parts, out, strict=True)]
+            got = self.learn(list(dict.fromkeys(s for s, b in zip(parts, out, strict=True) if b is None)))
+            out = [b if b is not None else got[s] for s, b in zip(parts, out, strict=True)]
         return b"".join(out)
 
 
@@ -207,7 +218,9 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, parts: in
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, **options) -> DataFrame:
     """Pieces of all rows with their sequences and offsets; ``with_ids=True`` keeps the token ids."""
-    return pack(pieces(docs, path, capacity=capacity, **options), Scratch(docs.sparkSession, "pack"), capacity)
+    scratch = Scratch(docs.sparkSession, "pack")
+    # Written first: range partitioning reads its input twice, and texts should be encoded once.
+    return pack(scratch.table(pieces(docs, path, capacity=capacity, **options), "pieces"), scratch, capacity)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
