@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -42,34 +43,52 @@ def unescape(text: str) -> str:
     return _ESCAPE.sub(r"\1", text)
 
 
-class Codec:
-    """Encodes escaped segments and decodes ids: bytes of the vocabulary's tokens, control strings for reserved ids."""
+class Encoder:
+    """Encodes escaped segments, one at a time: an encoding holds many times its text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+
+    def encode(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids if text else []
+
+
+class Decoder:
+    """The bytes of the vocabulary's tokens, read from its file; no tokenizer is kept for them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         odd = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
-        vocab = self.tok.get_vocab(with_added_tokens=False)
         self.bytes = [b""] * FIRST_ID
         for token, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        self.control = {c: FIRST_ID + i for i, c in enumerate(CONTROLS)}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+CONTROL_IDS = {c: FIRST_ID + i for i, c in enumerate(CONTROLS)}
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@functools.lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+#: Characters of text encoded, and rows read back, at once.
+STEP, ROWS = 200_000, 256
 
 
 SEGMENT_SCHEMA = "conv_id long, turn long, role string, text string, formatted string, input_ids array<int>, mask_start int, mask_end int"
@@ -80,17 +99,17 @@ def segments(turns: DataFrame, path: str) -> DataFrame:
     given = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch, texts in steps(batches, "text"):
+        c = encoder(path)
+        for batch, texts in steps(batches, "text", STEP):
             roles = batch.column("role").to_pylist()
             safe = [escape(t) for t in texts]
             named = [escape(r) for r in roles]
-            inner, names = c.encode(safe), c.encode(named)
+            inner, names = map(c.encode, safe), map(c.encode, named)
             formatted, ids, start, end = [], [], [], []
             for role, body, name, x, y in zip(roles, safe, named, inner, names, strict=True):
                 a, b = OPEN.get(role, OPEN["user"])
-                head, head_ids = ("", []) if role in OPEN else (f"[ROLE]{name}[/ROLE]", [c.control["[ROLE]"], *y, c.control["[/ROLE]"]])
-                parts = [head_ids, [c.control[a]], x, [c.control[b]]]
+                head, head_ids = ("", []) if role in OPEN else (f"[ROLE]{name}[/ROLE]", [CONTROL_IDS["[ROLE]"], *y, CONTROL_IDS["[/ROLE]"]])
+                parts = [head_ids, [CONTROL_IDS[a]], x, [CONTROL_IDS[b]]]
                 places = np.cumsum([0, *map(len, parts)])
                 formatted.append(f"{head}{a}{body}{b}")
                 ids.append([i for p in parts for i in p])
@@ -133,9 +152,9 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
 class Reader:
     """Reads one conversation's ids back, piece by piece: turns from control ids, texts from what stands between them."""
 
-    def __init__(self, c: Codec):
+    def __init__(self, c: Decoder):
         self.c = c
-        self.ends = {c.control["[/INST]"]: "user", c.control["[/SYS]"]: "system", c.control["</s>"]: "assistant"}
+        self.ends = {CONTROL_IDS["[/INST]"]: "user", CONTROL_IDS["[/SYS]"]: "system", CONTROL_IDS["</s>"]: "assistant"}
         self.turns, self.chars, self.loss, self.sha, self.loss_sha = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
         self.name: str | None = None
         self.body: list[int] = []
@@ -148,7 +167,7 @@ class Reader:
                 self.body.append(i)
                 if lo <= place < hi:
                     self.masked.append(i)
-            elif i == self.c.control["[/ROLE]"]:
+            elif i == CONTROL_IDS["[/ROLE]"]:
                 self.name = unescape(self.c.decode(self.body))
                 self.body = []
             elif role := self.ends.get(i):
@@ -173,14 +192,14 @@ def read_chat(formatted: DataFrame, path: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, now, reader, done = codec(path), None, None, []
+        c, now, reader, done = decoder(path), None, None, []
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
             done.clear()
             return out
 
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for conv, text, ids, start, lo, hi in zip(*(b.column(n).to_pylist() for n in ("conv_id", "formatted", "input_ids", "token_start", "loss_start", "loss_end")), strict=True):
                 if reader is None or conv != now:
                     if reader:
