@@ -103,6 +103,7 @@ class PdfDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """format("pdf") and the table functions pdf_tokens(content), pdf_words(content), pdf_page_text(content) and so on, for LATERAL joins."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # page filters reach the reader
     spark.dataSource.register(PdfDataSource)
     for table in ("tokens", "page_text", "glyphs", "words", "pages", "meta", "fonts", "images", "toc", "objects"):
         spark.udtf.register(f"pdf_{table}", _function(table))

@@ -45,6 +45,8 @@ def test_data_source(spark, folder):
     t = spark.read.format("pdf").option("table", "page_text").option("pages", "1").load(str(folder))
     assert named(t.collect()) == [(f"{i}.pdf", 1, f"file {i}") for i in range(3)]
     assert spark.read.format("pdf").option("table", "meta").load(str(folder)).where("pages = 2").count() == 3
+    second = spark.read.format("pdf").load(str(folder)).where("page = 2")
+    assert named(second.collect()) == [(f"{i}.pdf", 2, "two") for i in range(3)]
 
 
 def test_table_functions(spark, folder):
