@@ -309,20 +309,29 @@ class Walk:
                 continue
             if not isinstance(part, bytes):
                 continue
+            # Along a string only the origin moves: by each code's advance in the direction of the text.
+            a, b, c, d, e, f = times(tm, state.ctm)
+            size = abs(state.size) * math.hypot(c, d)
+            size = size if math.isfinite(size) else 0.0
+            x, y, moved = state.rise * c + e, state.rise * d + f, 0.0
+            known, glyphs = font.shown, self.glyphs
+            start = len(glyphs)
             for code, n in font.codes(part):
-                text = font.text(code)
-                if text is None:
-                    text = "�"
-                    self.unmapped += 1
-                text = "".join(" " if ord(c) < 32 or c == "\x7f" else c for c in text)
-                tx = (font.width(code) * font.scale * state.size + state.tc + (state.tw if n == 1 and code == 32 else 0)) * state.th
-                a, b, c, d, e, f = times(tm, state.ctm)
-                x, y = state.rise * c + e, state.rise * d + f
-                size = abs(state.size) * math.hypot(c, d)
-                safe = lambda v: v if math.isfinite(v) else 0.0
-                self.glyphs.append(Glyph(safe(x), safe(y), safe(x + a * tx), safe(y + b * tx), safe(size), text, font.name, font.ascent, font.descent))
-                self.raw.append(text)
-                tm = times((1, 0, 0, 1, tx, 0), tm)
+                said = known.get(code)
+                if said is None:
+                    text = font.text(code)
+                    clean = "�" if text is None else "".join(" " if ord(ch) < 32 or ch == "\x7f" else ch for ch in text)
+                    said = known[code] = (clean, font.width(code) * font.scale, text is None)
+                text, width, missing = said
+                self.unmapped += missing
+                tx = (width * state.size + state.tc + (state.tw if n == 1 and code == 32 else 0)) * state.th
+                x1, y1 = x + a * tx, y + b * tx
+                glyphs.append(Glyph(x, y, x1, y1, size, text, font.name, font.ascent, font.descent))
+                x, y, moved = x1, y1, moved + tx
+            if not (math.isfinite(x) and math.isfinite(y)):
+                glyphs[start:] = [g._replace(**{k: v for k, v in (("x0", 0.0), ("y0", 0.0), ("x1", 0.0), ("y1", 0.0)) if not math.isfinite(getattr(g, k))}) for g in glyphs[start:]]
+            self.raw += [g.text for g in glyphs[start:]]
+            tm = times((1, 0, 0, 1, moved, 0), tm)
         return tm
 
     def raw_text(self) -> str:

@@ -151,6 +151,7 @@ class Font:
         self.name = re.sub(r"^[A-Z]{6}\+", "", str(base)) if isinstance(base, Name) else ""
         self.two = self.subtype == "Type0"
         self.map: CharMap | None = None
+        self.shown: dict[int, tuple[str, float, bool]] = {}  # text, advance and whether it is unmapped, of codes met
         self.scale = 0.001
         if d and (m := get(d.get("ToUnicode"))) is not None:
             if isinstance(m, Stream):
@@ -241,7 +242,9 @@ class Font:
 
     def codes(self, s: bytes) -> list[tuple[int, int]]:
         """(code, bytes) of the string's characters."""
-        n = (self.map.code_bytes if self.map and self.map.code_bytes else 2) if self.two else 1
+        if not self.two:
+            return [(c, 1) for c in s]
+        n = self.map.code_bytes if self.map and self.map.code_bytes else 2
         return [(int.from_bytes(s[i : i + n]), len(s[i : i + n])) for i in range(0, len(s), n)]
 
     def text(self, code: int) -> str | None:
