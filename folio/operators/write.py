@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..errors import InvalidArgument
 from ..kernel import serialize as S
+from ..kernel.embed import add_truetype, image
 from ..kernel.syntax import File
 from ..kernel.values import Ref
 from ..limits import Limits
@@ -43,20 +44,33 @@ def draw(page: Column, seq: Column, op: str, *nums: Column | float) -> Column:
     return F.struct(page.cast("int").alias("page"), seq.cast("int").alias("seq"), F.lit(op).alias("op"), F.array(*[(n if isinstance(n, Column) else F.lit(n)).cast("double") for n in nums]).cast("array<double>").alias("nums"), F.lit(None).cast("string").alias("str"))
 
 
-def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: int | None = None, deterministic: bool = True, meta: dict | None = None, encryption: dict | None = None, info: dict | None = None) -> bytes:
-    """A file of (page, seq, op, nums, str) operations; pages in their order, without gaps for numbers left out."""
+def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: int | None = None, deterministic: bool = True, meta: dict | None = None, encryption: dict | None = None, images: dict[str, bytes] | None = None, fonts: dict[str, bytes] | None = None) -> bytes:
+    """A file of (page, seq, op, nums, str) operations; pages in their order, without gaps for numbers left out.
+
+    images and fonts: PNG or JPEG files and TrueType files by the names that operations use; each that is used goes into the file once.
+    """
     b = S.Builder(version, media_box, created, deterministic)
     if encryption:
         b.encrypt(**encryption)
     b.info |= {k: S.text_string(v) for k, v in (meta or {}).items() if v is not None}
+    placed: dict[str, Ref] = {}
     by: dict[int, list] = {}
     for page, seq, op, nums, text in sorted(ops, key=lambda o: (o[0], o[1])):
         by.setdefault(page, []).append((op, list(nums), text))
     for page in sorted(by):
         used = sorted({(t or "").partition("\t")[0] for op, _, t in by[page] if op == "text"})
         names = {f: f"F{i}" for i, f in enumerate(used, 1)}
-        fonts = {names[f]: b.core_font(f) for f in used}
-        b.page(S.content_of(by[page], names), {"Font": fonts} if fonts else {})
+        for f in used:
+            if f not in b.fonts and f in (fonts or {}):
+                b.fonts[f] = add_truetype(b, fonts[f])[0]
+        res = {"Font": {names[f]: b.fonts[f] if f in b.fonts else b.core_font(f) for f in used}} if used else {}
+        for name in sorted({t for op, _, t in by[page] if op == "image"}):
+            if name not in (images or {}):
+                raise InvalidArgument(f"no image {name}", arg="images")
+            if name not in placed:
+                placed[name] = b.add(image(images[name]))
+            res.setdefault("XObject", {})[name] = placed[name]
+        b.page(S.content_of(by[page], names), res)
     return b.save()
 
 

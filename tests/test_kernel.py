@@ -221,3 +221,50 @@ def test_limits_are_checked():
     for bad in (0, -1, 1.5, True, "x"):
         with pytest.raises(InvalidArgument):
             Limits(max_pages=bad)
+
+
+def test_placed_images_and_fonts():
+    import struct
+
+    from folio.errors import FontError, UnsupportedInput
+    from folio.operators.write import build
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows_ = b"".join(b"\0" + bytes([i, i + 1, i + 2, 9, 8, 7]) for i in range(2))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows_)) + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xc0\0\x11\x08\0\x05\0\x07\x03" + bytes(20)
+    ops = [(1, 1, "image", [0, 0, 10, 10, 0], "a"), (1, 2, "image", [0, 0, 10, 10, 0], "b"), (2, 1, "image", [0, 0, 5, 5, 0], "a")]
+    f = File(build(ops, images={"a": png, "b": jpeg}))
+    found = list(rows.images(f))
+    assert [(r["page"], r["name"], r["width"], r["height"], r["filter"]) for r in found] == [(1, "a", 2, 2, "FlateDecode"), (1, "b", 7, 5, "DCTDecode"), (2, "a", 2, 2, "FlateDecode")]
+    assert found[0]["object"] == found[2]["object"]
+    got = rows.image(f, found[0]["object"], native=True)
+    assert got["data"] == bytes([0, 1, 2, 9, 8, 7, 1, 2, 3, 9, 8, 7]) and got["pixels"][0] & 0xFFFFFFFF == 0xFF020100
+    with pytest.raises(UnsupportedInput):
+        rows.image(f, found[1]["object"], native=True)
+    with pytest.raises(InvalidArgument):
+        build(ops)
+    with pytest.raises(FontError):
+        build([(1, 1, "text", [0, 0, 12, 1, 0], "x\tt")], fonts={"x": b"none"})
+
+
+def test_truetype_font():
+    from pathlib import Path
+
+    from folio.operators.write import build
+
+    path = Path("/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf")
+    if not path.exists():
+        pytest.skip("no font file here")
+    f = File(build([(1, 1, "text", [72, 700, 12, 1, 0], "sans\tWörld fit")], fonts={"sans": path.read_bytes()}))
+    w = Walk(f, f.pages()[0][1])
+    assert reading_text(w.glyphs) == "Wörld fit"
+    assert next(rows.fonts(f)) | {"status": None, "object": None} == {"object": None, "name": "DejaVuSans", "type": "TrueType", "embedded": True, "poppler_type": "truetype", "status": None}
+
+
+def test_sample_values():
+    from folio.kernel.embed import samples
+
+    assert zlib.decompress(samples([0, 0.5, 1.5, -1], 2, 2, 1).raw) == bytes([0, 128, 255, 0])
