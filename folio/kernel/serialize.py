@@ -8,6 +8,7 @@ import math
 import os
 import re
 import zlib
+from xml.sax.saxutils import escape
 
 from ..errors import InvalidArgument, LimitError, WriteError
 from ..limits import COPY_DEPTH
@@ -126,6 +127,21 @@ class Builder:
         bits = -1 if permissions is None else ~sum(crypt.PERMISSIONS.values()) | sum(crypt.PERMISSIONS[p] for p in permissions)
         self.secret = (user.encode(), owner.encode(), method, bits & ~3)
 
+    def describe(self, title: str | None = None, author: str | None = None, subject: str | None = None, keywords: str | None = None, creator: str | None = None, language: str | None = None, modified: int | None = None) -> None:
+        """Metadata: in the information dictionary, for version 2 in an XMP packet instead; the language is the catalog's."""
+        said = {k: v for k, v in {"Title": title, "Author": author, "Subject": subject, "Keywords": keywords, "Creator": creator}.items() if v is not None}
+        if language is not None:
+            self.catalog["Lang"] = text_string(language)
+        if modified is not None:
+            self.info["ModDate"] = Hexless(date_string(modified))
+        if not self.version.startswith("2"):
+            self.info |= {k: text_string(v) for k, v in said.items()}
+        elif said:
+            names = {"Title": "dc:title", "Author": "dc:creator", "Subject": "dc:description", "Keywords": "pdf:Keywords", "Creator": "xmp:CreatorTool"}
+            body = "".join(f"<{names[k]}>{escape(v)}</{names[k]}>" for k, v in sorted(said.items()))
+            packet = f'<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:pdf="http://ns.adobe.com/pdf/1.3/" xmlns:xmp="http://ns.adobe.com/xap/1.0/">{body}</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+            self.catalog["Metadata"] = self.stream(packet.encode(), {"Type": Name("Metadata"), "Subtype": Name("XML")}, flate=False)
+
     def save(self) -> bytes:
         self.objects[0] = {"Type": Name("Catalog"), "Pages": Ref(2, 0)} | self.catalog
         self.objects[1] = {"Type": Name("Pages"), "Kids": self.pages, "Count": len(self.pages)}

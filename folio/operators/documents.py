@@ -162,3 +162,23 @@ def deref(values: DataFrame, objects_: DataFrame, ref: str = "ref") -> DataFrame
         raise InvalidArgument(f"no column {ref}", arg="ref")
     o = objects_.select(F.col("file_id"), F.col("number").alias(ref), F.col("value").alias("target"))
     return values.join(o, ["file_id", ref], "left")
+
+
+def engine_info(spark) -> DataFrame:
+    """One row about the engine: its version, tables, limits by default and what it leaves out on purpose."""
+    from dataclasses import asdict
+
+    from .. import __version__
+    from .scan import SCHEMAS
+
+    limits = {k: float(v) for k, v in asdict(Limits()).items()}
+    absent = ["rendering", "OCR", "LZW", "ASCII85", "object streams (writing)", "AES-256"]
+    return spark.createDataFrame([(__version__, sorted(SCHEMAS), limits, absent)], "version string, tables array<string>, limits map<string,double>, absent array<string>")
+
+
+def nested_toc(toc_: DataFrame) -> DataFrame:
+    """(file_id, toc): a file's outline as one array in reading order, each item with its path of titles from the top."""
+    items = F.sort_array(F.collect_list(F.struct("item", "parent", "depth", "title", "is_open")))
+    flat = toc_.where("item is not null").groupBy("file_id").agg(items.alias("items"))
+    path = lambda i: F.reverse(F.aggregate(F.reverse(F.slice(F.col("items"), F.lit(1), i["item"])), F.struct(F.array().cast("array<string>").alias("path"), i["item"].alias("want")), lambda a, x: F.when(x["item"] == a["want"], F.struct(F.array_append(a["path"], x["title"]).alias("path"), x["parent"].alias("want"))).otherwise(a), lambda a: a["path"]))
+    return flat.select("file_id", F.transform("items", lambda i: F.struct(path(i).alias("path"), i["depth"].alias("depth"), i["is_open"].alias("is_open"))).alias("toc"))

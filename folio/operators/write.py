@@ -52,7 +52,7 @@ def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: in
     b = S.Builder(version, media_box, created, deterministic)
     if encryption:
         b.encrypt(**encryption)
-    b.info |= {k: S.text_string(v) for k, v in (meta or {}).items() if v is not None}
+    b.describe(**(meta or {}))
     placed: dict[str, Ref] = {}
     by: dict[int, list] = {}
     for page, seq, op, nums, text in sorted(ops, key=lambda o: (o[0], o[1])):
@@ -75,7 +75,7 @@ def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: in
 
 
 def write(ops: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """ops (doc_id, page, seq, op, nums, str) -> (file_id, content). Meta options apply to all; a column ``title`` of ops goes into its file.
+    """ops (doc_id, page, seq, op, nums, str) -> (file_id, content). ``meta`` (title, author, subject, keywords, creator, language, modified) applies to all; a column ``title`` of ops goes into its file.
 
     Rows are sorted by document and streamed, so a task holds one document at a time.
     """
@@ -92,7 +92,7 @@ def write(ops: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
         now = none
 
         def done() -> pa.RecordBatch:
-            extra = {"meta": (options.get("meta") or {}) | {"Title": title}} if titled else {}
+            extra = {"meta": (options.get("meta") or {}) | {"title": title}} if titled else {}
             return pa.RecordBatch.from_pylist([{"file_id": now, "content": build(held, **(options | extra))}], arrow)
 
         for b in batches:

@@ -268,3 +268,14 @@ def test_sample_values():
     from folio.kernel.embed import samples
 
     assert zlib.decompress(samples([0, 0.5, 1.5, -1], 2, 2, 1).raw) == bytes([0, 128, 255, 0])
+
+
+def test_metadata_in_both_versions():
+    from folio.operators.write import build
+
+    ops = [(1, 1, "text", [72, 700, 12, 1, 0], "Courier\tx")]
+    old = File(build(ops, meta={"title": "Tïtle", "author": "A", "language": "de", "modified": 86400}))
+    m = next(rows.meta(old))
+    assert (m["title"], m["author"], m["language"], m["modified"].timestamp()) == ("Tïtle", "A", "de", 86400)
+    new = File(build(ops, version="2.0", meta={"title": "T & U"}))
+    assert next(rows.meta(new))["title"] is None and "<dc:title>T &amp; U</dc:title>" in next(rows.info(new))["metadata"]

@@ -103,3 +103,9 @@ def test_password_by_option(spark):
 def test_scalars(spark):
     row = spark.range(1).select(scalars.text_width(F.lit("Hello"), "Helvetica", 10).alias("w"), scalars.rgb(F.lit("#ff0000")).alias("c"), scalars.rgb(F.lit("none")).alias("n"), scalars.clamp_int(F.lit(1e12)).alias("i"), scalars.rotation(F.lit(-90.0)).alias("r")).collect()[0]
     assert row["w"] == pytest.approx(22.78) and row["c"] == [1.0, 0.0, 0.0] and row["n"] is None and row["i"] == 2147483647 and row["r"] == 270
+
+
+def test_engine_info_and_nested_outline(spark):
+    assert "words" in D.engine_info(spark).collect()[0]["tables"]
+    toc = spark.createDataFrame([(1, 1, None, 0, "A", True), (1, 2, 1, 1, "B", False), (1, 3, 2, 2, "C", False), (1, 4, None, 0, "D", False)], "file_id int, item int, parent int, depth int, title string, is_open boolean")
+    assert [x["path"] for x in D.nested_toc(toc).collect()[0]["toc"]] == [["A"], ["A", "B"], ["A", "B", "C"], ["D"]]
