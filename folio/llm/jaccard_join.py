@@ -5,11 +5,12 @@ symmetric difference of the sets. Sizes are banded; a band's sketches have more
 that a linked pair of the band can have, so by the pigeonhole principle such a pair has a symbol in common: the join key. A set also
 writes keys for the next band if a partner may be there. Candidates are verified on the whole sets.
 
-Copies with one set are one class from the start, and only classes are joined. Within the group of a key, all are compared with
-the smallest class first. Keys whose members are then connected are done: a group of many near copies of one text costs a comparison for
-each. In the other keys every pair is compared that isn't connected yet: by a join where a key has few classes; where it
-has many, such keys are united to families, and a family's sets are compared tile by tile, as matrix products, of which only a spanning
-forest of the links comes out. So no pair is left out, and no task or row count grows with the square of a group.
+Copies with one set are one class from the start, and only classes are joined. A key's classes are first compared by parity bits: every
+shingle flips one of about two bits a shingle, so the Hamming distance of two classes' bits is at most their symmetric difference, and a pair
+that differs in more bits than a linked pair's difference can have is no pair. All are compared with the key's smallest class; in keys whose
+classes are then not all connected, the others too: by a join where a key has few classes, and tile by tile where it has many, of which only a spanning forest
+comes out. What these bits connect is a family; every link lies within one. A family's whole sets are compared tile by tile as matrix products, and
+again a spanning forest of the true links comes out. So no pair is left out, and no task or row count grows with the square of a group.
 
 A null or blank text has an empty set and is linked with nothing. Repeated rows and equal texts are linked. Null ids
 are kept and count as larger than all others. Extra columns are not read.
@@ -71,29 +72,45 @@ class Bands:
         return np.concatenate(out)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parities of the hashes by their low bits: a power of two of places, at least two a hash and 64 in all."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bits (rows of 64-bit words) of a smaller power of two of places: halves are XORed, as the hashes' low bits say."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _class(s: np.ndarray) -> int | None:
     """A set's class: 64 bits of a digest of all its hashes; none for an empty set."""
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands, seen_most: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, class, keys). Keys are null where the same task has written them for an equal set before."""
+    """(doc_id, n_shingles, class, keys, bits). Keys and bits are null where the same task has written them for an equal set before."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, texts in steps(batches, "text"):
-            n, cls, keys = [], [], []
+            n, cls, keys, bits = [], [], [], []
             for s in shingle_sets(texts, words):
                 c = _class(s)
                 n.append(len(s))
                 cls.append(c)
-                keys.append(None if c is None or c in seen else bands.keys(s).view(np.int64))
+                known = c is None or c in seen
+                keys.append(None if known else bands.keys(s).view(np.int64))
+                bits.append(None if known else parity_bits(s))
                 if c is not None and len(seen) < seen_most:
                     seen.add(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "class", "keys", "bits"])
 
-    return given.mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>")
+    return given.mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>, bits binary")
 
 
 def class_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,13 +128,58 @@ def class_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     return scratch.table(given.mapInArrow(run, "class long, n long, s array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b) classes, those whose sets have den * intersection >= num * union."""
-    a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * den >= (F.col("na") + F.col("nb") - common) * num).select("a", "b")
+def likely(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (a, b) classes, those that sizes and parity bits don't rule out. bits: (class, n, bits)."""
+    x = bits.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    y = bits.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = pairs.join(y, "b").join(x, "a").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "ba", "bb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (den - num) // (den + num)
+            keep = []
+            for m, p, q in zip(most.tolist(), batch.column("ba"), batch.column("bb"), strict=True):
+                p, q = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
+                size = min(len(p), len(q))
+                keep.append(int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= m)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def forest(cls: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest's edges; near(i) tells which classes the i-th is linked with."""
+    free = np.ones(len(cls), bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while free.any():
+        front = [int(free.argmax())]
+        free[front] = False
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(near(i) & free)
+            free[new] = False
+            a.append(np.full(len(new), cls[i]))
+            b.append(cls[new])
+            front += new.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def likely_in_large_keys(members: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """members (key, class, m: the key's classes, n, bits) -> links (a, b) that connect what the bits don't rule out, within each key."""
+    tiles = F.ceil(F.col("m") / (2 * TILE)).cast("int")
+    dealt = scratch.table(members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")), "key tiles")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "n", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, n = table.column("class").to_numpy(), table.column("n").to_numpy()
+        raw = [np.frombuffer(x, U) for x in table.column("bits").to_pylist()]
+        size = min(map(len, raw))
+        bits = np.stack([folded(x, size) for x in raw])
+        fits = lambda i: (np.bitwise_count(bits ^ bits[i]).sum(1) <= (n + n[i]) * (den - num) // (den + num)) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num)
+        a, b = forest(cls, fits)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.groupBy("key", "t", "u").applyInArrow(run, "a long, b long")
 
 
 #: Classes of a key whose pairs are joined one by one; classes and shingles of a tile.
@@ -151,24 +213,12 @@ def family_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratc
     sent = scratch.table(dealt, "tiles").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     sent = sent.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "s")
 
-    def forest(table: pa.Table) -> pa.Table:
-        cls = table.column("class").to_numpy()
+    def run(table: pa.Table) -> pa.Table:
         hit = linked_in_tiles([np.asarray(s.values) for s in table.column("s")], num, den)
-        free = np.ones(len(cls), bool)
-        a, b = [], []
-        while free.any():
-            front = np.array([free.argmax()])
-            free[front] = False
-            while len(front):
-                met = hit[front] & free
-                new = np.flatnonzero(met.any(0))
-                a.append(cls[front[met[:, new].argmax(0)]])
-                b.append(cls[new])
-                free[new] = False
-                front = new
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
-
-    return sent.groupBy("family", "t", "u").applyInArrow(forest, "a long, b long")
+        a, b = forest(table.column("class").to_numpy(), hit.__getitem__)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.groupBy("family", "t", "u").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -184,30 +234,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     by_key = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     met = scratch.table(exploded.withColumn("pivot", F.first("class").over(by_key)).where("class <> pivot").distinct(), "met")
     pairs = scratch.table(met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = F.broadcast(wanted) if small(pairs) else wanted
-    members = all_docs.where("class is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("member"))
-    sets = class_sets(docs, doc_id, text, words, scratch.table(members, "wanted"), scratch)
-    links = scratch.table(verified(pairs, sets, num, den), "links")
-    labels = connected_components(links, scratch)
-    # What is left: pairs without the pivot, in keys whose members are not all connected.
+    one_each = lambda ids: all_docs.where("class is not null").join(F.broadcast(ids) if small(ids) else ids, "class", "left_semi").groupBy("class")
+    joined = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "joined")
+    bits = scratch.table(one_each(joined).agg(F.first("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")), "bits")
+    near = scratch.table(likely(pairs, bits, num, den), "near")
+    labels = connected_components(near, scratch)
+    # What is left: pairs without the pivot, in keys whose classes are not all connected.
     named = met.join(labels, met["class"] == labels.node, "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     state = scratch.table(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m"), "open keys")
     left = scratch.table(named.join(state, "key"), "open")
     few = left.where(F.col("m") <= FEW)
     one, two = few.select("key", F.col("class").alias("a"), F.col("label").alias("la")), few.select("key", F.col("class").alias("b"), F.col("label").alias("lb"))
     more = scratch.table(one.join(two, "key").where("a < b and la <> lb").select("a", "b").distinct(), "more pairs")
-    of_many = left.where(F.col("m") > FEW).groupBy("key").agg(F.min("class").alias("a"))
-    ties = left.where(F.col("m") > FEW).select("key", F.col("class").alias("b")).join(of_many, "key").select("a", "b").distinct()
-    families = connected_components(ties, scratch).withColumnsRenamed({"node": "class", "label": "family"})
-    some = scratch.table(sets.join(more.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"), "more sets")
-    found = verified(more, some, num, den).union(family_links(families, sets, num, den, scratch))
-    labels = connected_components(scratch.table(links.union(found), "all links"), scratch)
+    many = left.where(F.col("m") > FEW).select("key", "class", "m").join(bits, "class")
+    near = scratch.table(near.union(likely(more, bits, num, den)).union(likely_in_large_keys(many, num, den, scratch)), "all near")
+    families = connected_components(near, scratch).withColumnsRenamed({"node": "class", "label": "family"})
+    members = scratch.table(one_each(families.select("class")).agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("member")), "members")
+    sets = class_sets(docs, doc_id, text, words, members, scratch)
+    labels = connected_components(scratch.table(family_links(families, sets, num, den, scratch), "links"), scratch)
     classes = all_docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    joined = scratch.table(classes.join(labels, classes["class"] == labels.node, "left").select("class", "first", F.coalesce("label", "class").alias("label")), "classes")
-    lowest = joined.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = scratch.table(classes.join(labels, classes["class"] == labels.node, "left").select("class", "first", F.coalesce("label", "class").alias("label")), "classes")
+    lowest = placed.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Only classes in components of several need their component's smallest id; most classes are alone.
-    named = joined.join(lowest, "label", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
+    named = placed.join(lowest, "label", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
     return all_docs.select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
