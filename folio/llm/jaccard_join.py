@@ -91,26 +91,34 @@ def _class(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands, seen_most: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, class, keys, bits). Keys and bits are null where the same task has written them for an equal set before."""
+def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands | None = None, seen_most: int = 500_000) -> DataFrame:
+    """(doc_id, n_shingles, class, bits), or with bands (class, keys) of the sets that have any.
+
+    Bits and keys are left out where the same task has written them for an equal set before. Keys are far larger than the rest; they
+    are worked out from the texts again rather than kept in a table.
+    """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, texts in steps(batches, "text"):
-            n, cls, keys, bits = [], [], [], []
+            n, cls, said = [], [], []
             for s in shingle_sets(texts, words):
                 c = _class(s)
-                n.append(len(s))
-                cls.append(c)
                 known = c is None or c in seen
-                keys.append(None if known else bands.keys(s).view(np.int64))
-                bits.append(None if known else parity_bits(s))
                 if c is not None and len(seen) < seen_most:
                     seen.add(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "class", "keys", "bits"])
+                if bands and (known or not len(keys := bands.keys(s))):
+                    continue
+                n.append(len(s))
+                cls.append(c)
+                said.append(keys.view(np.int64) if bands else None if known else parity_bits(s))
+            if bands:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(said, pa.list_(pa.int64()))], ["class", "keys"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(said, pa.binary())], ["doc_id", "n_shingles", "class", "bits"])
 
-    return given.mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>, bits binary")
+    return given.mapInArrow(run, "class long, keys array<long>" if bands else "doc_id long, n_shingles long, class long, bits binary")
 
 
 def class_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -183,7 +191,7 @@ def likely_in_large_keys(members: DataFrame, num: int, den: int, scratch: Scratc
 
 
 #: Classes of a key whose pairs are joined one by one; classes and shingles of a tile.
-FEW, TILE, TILE_SHINGLES, COLUMNS = 16, 512, 1_000_000, 4096
+FEW, TILE, TILE_SHINGLES, COLUMNS = 16, 512, 400_000, 4096
 
 
 def linked_in_tiles(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -206,11 +214,11 @@ def linked_in_tiles(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def family_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """members (class, family) -> links (a, b) that connect what is linked within each family; each two tiles are a group of their own."""
-    full = members.join(sets, "class")
     sizes = members.join(sets.select("class", "n"), "class").groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("all") / TILE_SHINGLES), F.lit(1)).cast("int")
-    dealt = full.join(sizes, "family").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    sent = scratch.table(dealt, "tiles").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = scratch.table(members.join(sizes, "family").select("class", "family", tiles.alias("tiles"), F.pmod(F.xxhash64("class"), tiles).cast("int").alias("tile")), "tiles")
+    # Only the places of sets are joined before sets are dealt out, once for every pair of tiles.
+    sent = sets.join(F.broadcast(dealt) if small(dealt) else dealt, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     sent = sent.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "s")
 
     def run(table: pa.Table) -> pa.Table:
@@ -228,11 +236,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     bands = Bands(num, den)
-    all_docs = scratch.table(sketches(docs, doc_id, text, words, bands), "sketches")
-    exploded = all_docs.where("size(keys) > 0").select(F.explode("keys").alias("key"), "class")
+    all_docs = scratch.table(sketches(docs, doc_id, text, words), "sketches")
+    exploded = sketches(docs, doc_id, text, words, bands).select(F.explode("keys").alias("key"), "class")
     # One shuffle of (key, class), sorted once: the first class of a key is its pivot.
     by_key = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     met = scratch.table(exploded.withColumn("pivot", F.first("class").over(by_key)).where("class <> pivot").distinct(), "met")
+    del exploded
+    scratch.forget()
     pairs = scratch.table(met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     one_each = lambda ids: all_docs.where("class is not null").join(F.broadcast(ids) if small(ids) else ids, "class", "left_semi").groupBy("class")
     joined = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "joined")

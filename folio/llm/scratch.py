@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def forget(self) -> None:
+        """Lets Spark clear the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)

@@ -8,12 +8,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text that a step holds at once, besides one text that may be longer.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cuts batches into steps of at most so many bytes of text (a longer text is a step of its own); no text is cut."""
+    pool = pa.default_memory_pool()
     for batch in batches:
+        pool.release_unused()
         col = batch.column(batch.schema.get_field_index(text))
         if pa.types.is_large_string(col.type):
             col = col.cast(pa.string())
