@@ -1,9 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by exact tile comparison.
 
-In a pass every vector gets a key of concatenated random-hyperplane bits; vectors are range-sorted by label and key, and each is compared with
-the next ones in that order, a bounded window. A pass with other hyperplanes brings other neighbours together. Links found in any
-pass are united to components. Windows bound what a pass costs, not what is found: within a component of several vectors, all
-links are counted afterwards, tile by tile, as matrix products. A tile pair gives one partial count for each of its vectors, never a row a pair.
+The vectors of a label are dealt to tiles, and each pair of tiles is a task's group that compares all its pairs as matrix products: no link
+is missed, however alike the other vectors of the label are. The arithmetic is quadratic in a label's size. No row is made for a pair of
+vectors: a pair of tiles gives each of its linked vectors a partial count of links and one link, that to the smallest vector it is connected
+with in there. These links are united to components.
 
 Comparisons are by cosine in double precision, and only between equal labels that are not null. Vectors that are null, empty or zero,
 or hold a null or a number that is not finite, are linked with nothing; so are vectors of different lengths. Equal vectors and repeated rows are linked
@@ -12,18 +12,17 @@ like any others; they are one class until the end, so thousands of copies cost o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, small
 
-TILE = 512
+#: Vectors compared at once with a tile, and the most in a tile. Tiles grow with the root of a label's size, so that tasks become both more and larger.
+BLOCK = 512
+MOST_IN_TILE = 16384
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -48,87 +47,64 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str, scratch
     return named, scratch.table(each.select("class", F.col("x.label").alias("label"), F.size("x.v").alias("dim"), F.col("x.v").alias("v"), "n", "first"), "classes")
 
 
-def one_pass(each: DataFrame, seed: int, bits: int, window: int, least: float, parts: int) -> DataFrame:
-    """Links (a, b) between each class and the next ``window`` in the order of label and key."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = np.zeros(b.num_rows, np.int64)
-            dims = np.array(b.column("dim"))
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                planes = np.random.Generator(np.random.PCG64([seed, int(d)])).normal(size=(int(d), bits))
-                side = _matrix(b.column("v").take(pa.array(at))) @ planes > 0
-                key[at] = side @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("label"), b.column("dim"), pa.array(key), b.column("v")], ["class", "label", "dim", "key", "v"])
-
-    order = ["label", "dim", "key", "class"]
-    ranged = each.select("class", "label", "dim", "v").mapInArrow(keys, "class long, label string, dim int, key long, v array<double>").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            for at in range(0, table.num_rows, TILE):
-                part = table.slice(at, TILE)
-                both = pa.concat_tables([held, part]) if held is not None else part
-                fresh = part.num_rows
-                group = pd.MultiIndex.from_arrays([both.column("label").to_pylist(), both.column("dim").to_pylist()]).factorize()[0]
-                cls = both.column("class").to_numpy()
-                place = np.arange(len(cls))
-                a, c = [], []
-                for g in np.unique(group):
-                    own = np.flatnonzero(group == g)
-                    x = _matrix(both.column("v").take(pa.array(own)))
-                    new = own >= len(cls) - fresh
-                    hit = (x[new] @ x.T >= least) & (place[own][new][:, None] > place[own][None]) & (place[own][new][:, None] - place[own][None] <= window)
-                    i, j = np.nonzero(hit)
-                    a.append(cls[own[new]][i])
-                    c.append(cls[own][j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
-                held = both.slice(max(0, both.num_rows - window))
-
-    return ranged.mapInArrow(near, "a long, b long")
-
-
-def link_counts(members: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """members (label: the component, class, v, n) -> (class, linked): how many vectors of other classes each is linked with.
-
-    A component's classes are dealt to tiles of about TILE by hash; each pair of tiles is a group of its own, so no task
-    gets more than two tiles however large the component is.
+def tile_links(x: np.ndarray, cls: np.ndarray, n: np.ndarray, split: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compares rows before ``split`` with those from it on; with a split of 0, all rows with each other.
+
+    For each linked row its class, the smallest class that it is connected with here, and how many vectors of other classes it is linked with.
     """
-    sizes = members.groupBy("label").agg(F.count("*").alias("m"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
-    dealt = scratch.table(members.join(sizes, "label").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")), "tiles")
+    order = np.concatenate([np.argsort(cls[:split]), split + np.argsort(cls[split:])])
+    x, cls, n = x[order], cls[order], n[order]
+    linked, group = np.zeros(len(cls), np.int64), np.arange(len(cls))
+    for at in range(0, split or len(cls), BLOCK):
+        end = min(at + BLOCK, split or len(cls))
+        base = split or at
+        hit = x[at:end] @ x[base:].T >= least
+        if not split:
+            hit &= np.arange(base, len(cls))[None] > np.arange(at, end)[:, None]
+        if not hit.any():
+            continue
+        linked[at:end] += hit @ n[base:]
+        linked[base:] += n[at:end] @ hit
+        for i in np.flatnonzero(hit.any(1)):
+            mine = np.append(group[base:][hit[i]], group[at + i])
+            if (mine != mine[0]).any():
+                group[np.isin(group, mine)] = mine.min()
+    some = np.flatnonzero(linked)
+    low = np.full(len(cls), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, cls)
+    return cls[some], low[group[some]], linked[some]
+
+
+def links(each: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b, linked): from every pair of tiles of a label and length, see tile_links."""
+    key = ["label", "dim"]
+    sizes = scratch.table(each.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    tiles = F.ceil(F.col("m") / F.least(F.lit(MOST_IN_TILE), F.greatest(F.lit(BLOCK), F.ceil(14 * F.sqrt("m"))))).cast("int")
+    joined = each.select("class", *key, "v", "n").join(F.broadcast(sizes) if small(sizes) else sizes, key)
+    dealt = joined.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     # Tile t meets every tile u: as the first of (t, u) for u >= t, as the second of (u, t) for u < t.
-    sent = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("label", F.least("tile", "u").alias("t"), F.greatest("tile", "u").alias("u"), "tile", "class", "v", "n")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*key, F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "class", "v", "n")
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pa.array(pdf["v"]))
-        n, first = pdf["n"].to_numpy(), (pdf["tile"] == pdf["t"]).to_numpy()
-        one, other = np.flatnonzero(first), np.flatnonzero(~first)
-        if pdf["t"].iloc[0] == pdf["u"].iloc[0]:
-            hit = x @ x.T >= least
-            np.fill_diagonal(hit, False)
-            return pd.DataFrame({"class": pdf["class"], "linked": hit @ n})
-        hit = x[one] @ x[other].T >= least
-        return pd.DataFrame({"class": np.concatenate([pdf["class"].to_numpy()[one], pdf["class"].to_numpy()[other]]), "linked": np.concatenate([hit @ n[other], hit.T @ n[one]])})
+    def compare(table: pa.Table) -> pa.Table:
+        tile, t, u = table.column("tile").to_numpy(), table.column("t")[0].as_py(), table.column("u")[0].as_py()
+        order = np.argsort(tile, kind="stable")
+        split = int((tile == t).sum()) if t != u else 0
+        if t != u and split in (0, len(tile)):  # one of the tiles got no class
+            out = [np.zeros(0, np.int64)] * 3
+        else:
+            out = tile_links(_matrix(table.column("v"))[order], table.column("class").to_numpy()[order], table.column("n").to_numpy()[order], split, least)
+        return pa.table(dict(zip(("a", "b", "linked"), map(pa.array, out), strict=True)))
 
-    return sent.groupBy("label", "t", "u").applyInPandas(count, "class long, linked long").groupBy("class").agg(F.sum("linked").alias("linked"))
+    return sent.groupBy(*key, "t", "u").applyInArrow(compare, "a long, b long, linked long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, passes: int = 12, window: int = 64, bits: int = 48) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for every row."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(vectors.sparkSession, "vectors")
     named, each = classes(vectors, vec_id, embedding, label, scratch)
-    links = None
-    for seed in range(passes):
-        got = one_pass(each, seed, bits, window, least, parts)
-        links = got if links is None else links.union(got)
-    labels = scratch.table(connected_components(scratch.table(links.distinct(), "found"), scratch), "components").withColumnsRenamed({"node": "class", "label": "component"})
-    members = each.join(labels, "class").select(F.col("component").alias("label"), "class", "v", "n")
-    counts = link_counts(members, least, scratch)
+    found = scratch.table(links(each, least, scratch), "found")
+    labels = scratch.table(connected_components(found.select("a", "b").where("a <> b").distinct(), scratch), "components").withColumnsRenamed({"node": "class", "label": "component"})
+    counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked"))
     lowest = each.join(labels, "class").groupBy("component").agg(F.min("first").alias("low"))
     info = labels.join(lowest, "component").join(counts, "class").select("class", "low", "linked")
     info = scratch.table(each.select("class", "n", "first").join(info, "class", "left").select("class", F.coalesce("low", "first").alias("low"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "info")

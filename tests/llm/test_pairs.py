@@ -136,3 +136,23 @@ def test_vectors_against_all_pairs(spark):
         assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True)
     assert got[n + 6].n_links == got[n + 7].n_links == 1
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_a_dense_label(spark):
+    """One label of vectors that are all alike but below the bound, with planted pairs: each pair must be found, whatever stands between."""
+    rng = np.random.default_rng(3)
+    n, dims, pairs = 6000, 64, 500
+    alike = np.sqrt(0.95) * np.eye(1, dims)[0] + np.sqrt(0.05) * np.concatenate([np.zeros((n, 1)), (d := rng.normal(size=(n, dims - 1))) / np.linalg.norm(d, axis=1, keepdims=True)], 1)
+    off = rng.normal(size=(pairs, dims))
+    near = alike[:pairs] + 0.185 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([alike, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = vector_dedup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hit = y @ y.T >= 0.98
+    np.fill_diagonal(hit, False)
+    expected = components(range(len(x)), zip(*np.nonzero(hit), strict=True))
+    assert hit.sum() >= 2 * pairs * 0.9
+    assert (got.n_links == hit.sum(1)).all(), (int(got.n_links.sum()), int(hit.sum()))
+    assert got.component_id.to_dict() == expected
