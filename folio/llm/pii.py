@@ -3,7 +3,7 @@
 The field is a linear chain over tokens with word-shape features (kind of token, number of digits, key words, punctuation, white
 space before it) of a token and its two neighbours on either side. It is trained by maximum likelihood from a small labelled
 table, and decoded by Viterbi in numpy, all stretches of a batch of texts together. It looks at the stretches around digits, ``@``
-and bracketed ``at``; elsewhere there is nothing that its labels could mean. A span that it proposes must pass its kind's
+every ``at`` in brackets or before a spelled-out domain; elsewhere there is nothing that it is trained to label. A span that it proposes must pass its kind's
 check (Luhn for cards, four parts up to 255 for addresses, 9 to 15 digits for phones), and must not touch a span of the patterns or a
 match of its own kind that failed its check; so the base spans stay as they are.
 
@@ -78,7 +78,15 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 # --- the field -------------------------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|[^\S\n]*\n|\d|_")
-TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]", re.I)
+#: Spelled-out domains: names joined by signs without space or by words; a plain ``at`` needs a word among them, since prose has ``at noon. Then``, and ``point`` a domain's end, since it has ``at this point in``.
+_NAME, _WORD = r"\w[\w-]*+", r"\W{0,3}\b(?:dot|punkt|point)\b\W{0,3}"
+_PLAIN = r"\W{0,3}\b(?:dot|punkt|point(?=\W{1,3}(?:\w+\W{1,3}point\W{1,3}){0,8}(?:com|org|net|edu|gov|info|eu|fr|ch|ca|lu)\b))\b\W{0,3}"
+_MORE = rf"(?:(?:[\[(]?\.[\])]?|{_WORD}){_NAME})"
+_BRACKETED = r"[\[(]\s?at\s?[\])]"
+TRIGGER = re.compile(rf"(?:@|{_BRACKETED})\s?{_NAME}{_MORE}+|\bat\b\W{{0,3}}{_NAME}(?:\.{_NAME})*{_PLAIN}{_NAME}{_MORE}*|[0-9@]|{_BRACKETED}", re.I)
+#: An address within a longer span that the field proposes. Without brackets only ``dot`` joins names here: ``at this point in`` is prose.
+WITHIN = re.compile(rf"(?<![\w.+%-])(?:[\w.+%-]++\s?{_BRACKETED}\s?{_NAME}{_MORE}+|[\w.+%-]++\W{{1,3}}\bat\b\W{{1,3}}{_NAME}(?:\W{{1,3}}dot\W{{1,3}}{_NAME})+)", re.I)
+_SPACE = re.compile(r"\s")
 REACH = 40
 #: Words that stand before personal data, and words that spell signs out.
 KEYWORDS = {w: i for i, ws in enumerate(("phone tel telephone call mobile cell fax dial text sms telefon telefono teléfono téléphone", "mail email e contact write correo courriel", "card visa mastercard amex credit debit tarjeta carte karte", "ip host server address adresse", "at", "dot punkt point", "isbn order version id no invoice ref token serial account date page")) for w in ws.split()}
@@ -292,19 +300,22 @@ def train(rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, widened to white space where there is some within reach."""
-    out: list[list[int]] = []
+    """Parts of the text around triggers, widened to white space on both sides."""
+    out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        a = max(0, m.start() - REACH)
-        b = min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        last = out[-1][1] if out else 0
+        if m.end() + REACH <= last:
+            continue
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        while a > last and not text[a - 1].isspace() and not text[a].isspace():
+            a -= 1
+        if b < len(text) and not text[b - 1].isspace():
+            b = max(b, found.start() if (found := _SPACE.search(text, b)) else len(text))
+        if out and a <= last:
+            out[-1] = (out[-1][0], max(b, last))
         else:
-            out.append([a, b])
-    for s in out:
-        while s[0] > 0 and s[0] > out[0][0] - REACH and not text[s[0] - 1].isspace() and not text[s[0]].isspace():
-            s[0] -= 1
-    return [(a, b) for a, b in out]
+            out.append((a, b))
+    return out
 
 
 def added_spans(texts: list[str], base: list, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -330,12 +341,19 @@ def added_spans(texts: list[str], base: list, field: Field) -> list[list[tuple[i
     begin[starts] = True
     kind = (labels + 1) // 2
     fresh = (labels > 0) & (begin | (labels % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
+    proposed: list[tuple[int, tuple[int, int, int]]] = []
     for i in np.flatnonzero(fresh).tolist():
         j = i + 1
         while j < len(s) and not begin[j] and labels[j] == 2 * kind[i]:
             j += 1
         doc, k = int(owner[i]), int(kind[i]) - 1
         span = (a[i], k, b[j - 1])
+        if k == 0 and not SHAPES[k].fullmatch(texts[doc], span[0], span[2]):
+            proposed += [(doc, (m.start(), k, m.end())) for m in WITHIN.finditer(texts[doc], span[0], span[2])]
+        else:
+            proposed.append((doc, span))
+    for doc, span in proposed:
+        k = span[1]
         good, bad = base[doc]
         if any(x < span[2] and span[0] < y for x, _, y in (*good, *(m for m in bad if m[1] == k))) or not valid(KINDS[k], texts[doc][span[0] : span[2]]):
             continue

@@ -190,3 +190,20 @@ def test_license_matches_against_brute_force(spark):
     got = {(r.doc_id, r.license): r.containment for r in license_scan.licenses(df).collect()}
     assert got == pytest.approx(expected)
     assert license_scan.licenses(df.limit(0)).count() == 0
+
+
+def test_field_reads_every_row_of_its_table_without_digits_nearby():
+    field = pii.train()
+    for text, spans in pii.labelled(1):
+        if re.search("[0-9@]", text):
+            continue
+        far = "word " * 30 + text + " word" * 30
+        assert [(k, far[a:b]) for a, k, b in pii.find([far], field)[0][1]] == [(k, text[a:b]) for a, k, b in spans], text
+
+
+def test_field_reads_long_spelled_out_domains():
+    field = pii.train()
+    for mail in ("mike [at] first (dot) second (dot) third (dot) fourth (dot) example (dot) org", "info at first dot second dot third dot fourth dot fifth dot example dot com"):
+        text = f"please contact {mail} for all the other things that we have"
+        assert [text[a:b] for a, _, b in pii.find([text], field)[0][1]] == [mail]
+    assert pii.redacted(text, pii.find([text], field)[0][1]) == "please contact <EMAIL> for all the other things that we have"
