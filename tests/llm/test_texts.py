@@ -207,3 +207,10 @@ def test_field_reads_long_spelled_out_domains():
         text = f"please contact {mail} for all the other things that we have"
         assert [text[a:b] for a, _, b in pii.find([text], field)[0][1]] == [mail]
     assert pii.redacted(text, pii.find([text], field)[0][1]) == "please contact <EMAIL> for all the other things that we have"
+
+
+def test_all_containers_of_an_article_are_joined(spark):
+    html = "<body><div>Welcome</div><section class='text'><p>first</p></section><aside>no</aside><section class='text'><p>second and longer</p></section><section class='text'>third</section></body>"
+    rows = [(0, "https://one.example/", html), (1, "https://two.example/", "<article>A</article><div>x</div><article><p>B<p>C</article>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "first\nsecond and longer\nthird", 1: "A\nB\nC"}
