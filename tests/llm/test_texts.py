@@ -209,8 +209,27 @@ def test_field_reads_long_spelled_out_domains():
     assert pii.redacted(text, pii.find([text], field)[0][1]) == "please contact <EMAIL> for all the other things that we have"
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    quote = "<ul><li>a list that only this article has</li></ul>"
+    rows = [(i, f"https://one.example/{i}", page("one", i, f"<h1>Head {i}</h1><p>Text {i}</p>")) for i in range(8)]
+    rows += [(20 + i, f"https://one.example/x?page={i}", page("one", 99, f"<h1>Copied</h1><p>Text of it</p>{quote}")) for i in range(4)]
+    rows += [(40 + i, f"https://big.example/{i}", page("big", i, f"<h1>Head {i}</h1><p>Text {i}</p>{quote if i < 4 else ''}")) for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[20 + i] == "Copied\nText of it\na list that only this article has" for i in range(4)), got[20]
+    assert all(got[40 + i] == f"Head {i}\nText {i}" + ("\na list that only this article has" if i < 4 else "") for i in range(40)), got[40]
+    assert all(got[i] == f"Head {i}\nText {i}" for i in range(8))
+
+
 def test_all_containers_of_an_article_are_joined(spark):
     html = "<body><div>Welcome</div><section class='text'><p>first</p></section><aside>no</aside><section class='text'><p>second and longer</p></section><section class='text'>third</section></body>"
     rows = [(0, "https://one.example/", html), (1, "https://two.example/", "<article>A</article><div>x</div><article><p>B<p>C</article>")]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "first\nsecond and longer\nthird", 1: "A\nB\nC"}
+
+
+def test_pruning_keeps_what_is_on_most_pages():
+    size = lambda w: sum(1 + size(n[3]) for n in w)
+    nodes = lambda n, pages: [[f"p.{i}", pages, 1, []] for i in range(n)]
+    assert size(html_text.pruned([["html", 1, 1, nodes(1500, 1)]], 1)) == 1501
+    assert size(html_text.pruned([["html", 40, 0, nodes(1500, 39) + nodes(500, 2)]], 40)) == 1501
+    assert size(html_text.pruned([["html", 40, 0, nodes(200, 39) + nodes(1500, 2)]], 40)) == 201
