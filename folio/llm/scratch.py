@@ -25,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of Parquet tables under the shared folder; a lost executor's work is redone from them, not from the start."""
+    """A folder of Parquet tables under the shared folder; a lost executor's work is redone from them, not from the start.
+
+    Operators' results read these tables, so they stay until the caller, done with a result, calls ``close()`` on the scratch that was given to
+    the operator as ``scratch``. Without one, operators make their own, which goes with the shared folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -48,10 +52,17 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t.scratch_path)
+
+    def close(self) -> None:
+        """Deletes all tables; results that read them can't be read any more."""
+        self._delete(self.root)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

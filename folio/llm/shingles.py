@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -13,6 +14,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more bytes are hashed on their own: sums modulo 2**64 collide for certain between some words of a thousand letters.
+_LONG = 64
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 _powers = np.ones(1, U), np.ones(1, U)
 
@@ -39,7 +42,8 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and where each text's begin (with the end)."""
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    data = np.frombuffer((b"\n".join(parts) + b"\n").lower(), np.uint8)
+    raw = (b"\n".join(parts) + b"\n").lower()
+    data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     space = _SPACE[data]
     edge = np.diff(space.view(np.int8), prepend=1)
@@ -49,7 +53,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _grown(len(data) + 1)
     total = np.cumsum(_BYTE[data] * power[: len(data)])
     h = (total[stop - 1] - np.where(start > 0, total[start - 1], U(0))) * inverse[start]
-    return mix(h), np.concatenate([[0], np.searchsorted(start, ends)])
+    h = mix(h)
+    for i in np.flatnonzero(stop - start > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : stop[i]])
+    return h, np.concatenate([[0], np.searchsorted(start, ends)])
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
