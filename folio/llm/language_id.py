@@ -6,7 +6,7 @@ language is the one with most letters; the score is that language's share of the
 
 Nulls and texts without a letter: language ``und``, score 0, no spans. Ties between languages: the one that sorts first. Repeated rows
 are labelled alike. Labels that are null are not trained on; with no labelled row at all, everything is ``und``. Extra columns are
-not read. Texts are read whole, whatever their length.
+not read; a kept column named like a result is replaced by it. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequences import viterbi
-from .textbatch import steps
+from .textbatch import fresh, map_rows, small_batches, steps, tidy
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-WORD = re.compile(r"[^\W\d_]+")
+# Runs of letters: word characters that are no digits and no other numbers (such as fractions, or numbers in circles) either.
+WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 #: Script names and ranges of code points that tell candidates apart (Unicode blocks).
 SCRIPTS = (("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x077F), ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF), ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 _STARTS = np.array([x[1] for x in SCRIPTS])
@@ -114,14 +115,16 @@ class Labeller:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_docs: int = 2000, most_langs: int = 256) -> Model:
-    """Learns from a bounded sample: of every language the ``most_docs`` rows of lowest text hash, each whole.
+    """Learns from a bounded sample: of every language the ``most_docs`` different texts of lowest hash, each whole.
 
-    A language's rows are thinned by a hash threshold before the exact cut, so that no task gathers all rows of a frequent
+    Copies count once, before anything is gathered. A language's texts are thinned by a hash threshold before the exact cut, so that no task gathers all rows of a frequent
     language. n-grams are counted on the executors; the driver gets at most BUCKETS rows a language. More than
     ``most_langs`` languages raise an error rather than being cut.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(most_langs + 1).collect()}
+    small_batches(docs.sparkSession)
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
         raise ValueError(f"more than {most_langs} languages; raise most_langs")
     langs = sorted(sizes)
@@ -129,12 +132,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_docs: in
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, len(SCRIPTS) + 1), bool))
     share = F.lit(1.0)
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * most_docs / n))).otherwise(share)
-    hashed = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    sample = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= most_docs).select("text", "lang")
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * most_docs / max(n, 1)))).otherwise(share)
+    different = hashed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["h", "text", "lang"])
+    sample = different.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= most_docs).select("text", "lang")
     index = {name: i for i, name in enumerate(langs)}
     width = len(SCRIPTS) + 1
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch, texts in steps(batches, "text"):
@@ -175,34 +179,38 @@ def spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"start": words[a][0], "end": words[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(at, at[1:], strict=False)]
 
 
-SCHEMA = "lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>"
-
-
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", with_spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred, score (0 to 1) and lang_spans; one row for every row."""
-    given = docs.select(*keep, *([] if text in keep else [F.col(text)]))
-    fields = [f for f in given.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = Labeller(model)
-        for batch, texts in steps(batches, text):
-            pred, score, runs = [], [], []
-            for t, (labels, letters) in zip(texts, label.label(texts), strict=True):
-                by = np.bincount(labels, letters, len(model.langs)) if len(labels) else np.zeros(0)
-                if by.size:
-                    best = int(by.argmax())
-                    pred.append(model.langs[best])
-                    score.append(float(by[best] / by.sum()))
-                else:
-                    pred.append("und")
-                    score.append(0.0)
-                runs.append(spans(t, labels, model.langs) if with_spans and by.size else [])
-            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(runs, kind)], [*(f.name for f in fields), "lang_pred", "score", "lang_spans"])
-
-    return given.mapInArrow(run, schema)
+NAMES = ("lang_pred", "score", "lang_spans")
+KINDS = ("string", "double", "array<struct<start:long,end:long,lang:string>>")
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", with_spans: bool = True, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred, score (0 to 1) and lang_spans, or by other ``names``; one row for every row."""
+
+    def rows(texts: list[str | None], label: Labeller) -> list:
+        pred, score, runs = [], [], []
+        for t, (labels, letters) in zip(texts, label.label(texts), strict=True):
+            by = np.bincount(labels, letters, len(model.langs)) if len(labels) else np.zeros(0)
+            best = int(by.argmax()) if by.size else None
+            pred.append("und" if best is None else model.langs[best])
+            score.append(0.0 if best is None else float(by[best] / by.sum()))
+            runs.append(spans(t, labels, model.langs) if with_spans and by.size else [])
+        return [pred, score, runs]
+
+    return map_rows(docs, keep, text, ", ".join(f"`{n}` {k}" for n, k in zip(names, KINDS, strict=True)), rows, lambda: Labeller(model))
+
+
+def with_language(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs in which a language is found, learned from docs itself; those without any letter or text go.
+
+    Where no row is labelled, nothing can be told apart, and every row with a letter stays.
+    """
+    model, columns = train(docs, text, lang), docs.columns
+    if not model.langs:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    names = []
+    for n in NAMES:
+        names.append(fresh([*columns, *names], n))
+    return identify(docs, model, columns, text, with_spans=False, names=tuple(names)).where(F.col(names[0]) != "und").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
