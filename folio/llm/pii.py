@@ -2,30 +2,31 @@
 
 The field is a linear chain over tokens with word-shape features (kind of token, number of digits, key words, punctuation, white
 space before it) of a token and its two neighbours on either side. It is trained by maximum likelihood from a small labelled
-table, and decoded by Viterbi in numpy, all stretches of a batch of texts together. It looks at the stretches around digits, ``@``
-every ``at`` in brackets or before a spelled-out domain; elsewhere there is nothing that it is trained to label. A span that it proposes must pass its kind's
+table, and decoded by Viterbi in numpy, the stretches of a batch of texts together. It looks at the stretches around digits, ``@`` and
+every ``at`` in brackets or before a spelled-out domain: REACH characters on either side and up to WIDEN more to the next white space; elsewhere there is nothing that it is trained to label. A span that it proposes must pass its kind's
 check (Luhn for cards, four parts up to 255 for addresses, 9 to 15 digits for phones), and must not touch a span of the patterns or a
 match of its own kind that failed its check; so the base spans stay as they are.
 
 A null text counts as empty. Empty texts have no spans. Repeated rows give equal results; positions are code points, ends exclusive.
-Texts are read whole. Extra columns of any name are kept or ignored as asked for by ``keep``.
+Texts are read whole, in time and memory that grow in proportion. Extra columns of any name are kept or ignored as asked for by ``keep``; one that is named
+like a result is replaced by it.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import viterbi
-from .textbatch import steps
+from .textbatch import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -47,7 +48,7 @@ def luhn(digits: str) -> bool:
 def valid(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(len(q) <= 3 and int(q or 0) <= 255 for q in (p.lstrip("0") for p in parts))
     digits = _DIGITS.sub("", text)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -87,7 +88,9 @@ TRIGGER = re.compile(rf"(?:@|{_BRACKETED})\s?{_NAME}{_MORE}+|\bat\b\W{{0,3}}{_NA
 #: An address within a longer span that the field proposes. Without brackets only ``dot`` joins names here: ``at this point in`` is prose.
 WITHIN = re.compile(rf"(?<![\w.+%-])(?:[\w.+%-]++\s?{_BRACKETED}\s?{_NAME}{_MORE}+|[\w.+%-]++\W{{1,3}}\bat\b\W{{1,3}}{_NAME}(?:\W{{1,3}}dot\W{{1,3}}{_NAME})+)", re.I)
 _SPACE = re.compile(r"\s")
-REACH = 40
+REACH, WIDEN = 40, 64
+#: Tokens that are decoded at once. A longer stretch is cut between plain words.
+MOST_TOKENS = 100_000
 #: Words that stand before personal data, and words that spell signs out.
 KEYWORDS = {w: i for i, ws in enumerate(("phone tel telephone call mobile cell fax dial text sms telefon telefono teléfono téléphone", "mail email e contact write correo courriel", "card visa mastercard amex credit debit tarjeta carte karte", "ip host server address adresse", "at", "dot punkt point", "isbn order version id no invoice ref token serial account date page")) for w in ws.split()}
 _SIGNS = "@.-+()[]_:/,=\"'#$%"
@@ -300,17 +303,19 @@ def train(rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, widened to white space on both sides."""
+    """Parts of the text around triggers, widened to white space on both sides, by WIDEN characters at most."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         last = out[-1][1] if out else 0
         if m.end() + REACH <= last:
             continue
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        while a > last and not text[a - 1].isspace() and not text[a].isspace():
+        low = max(last, a - WIDEN)
+        while a > low and not text[a - 1].isspace() and not text[a].isspace():
             a -= 1
         if b < len(text) and not text[b - 1].isspace():
-            b = max(b, found.start() if (found := _SPACE.search(text, b)) else len(text))
+            top = min(len(text), b + WIDEN)
+            b = max(b, found.start() if (found := _SPACE.search(text, b, top)) else top)
         if out and a <= last:
             out[-1] = (out[-1][0], max(b, last))
         else:
@@ -318,25 +323,50 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_PLAIN_WORD = 2 * (_DIGIT_SHAPES + 2)
+
+
+def _pieces(symbols: list[int], most: int) -> list[int]:
+    """The ends of pieces of at most so many tokens, cut after a plain word where there is one in the last half."""
+    ends, at = [], 0
+    while len(symbols) - at > most:
+        end = at + most
+        while end > at + most // 2 and not all(s - s % 2 == _PLAIN_WORD for s in symbols[end - 2 : end + 1]):
+            end -= 1
+        at = end if end > at + most // 2 else at + most
+        ends.append(at)
+    return [*ends, len(symbols)]
+
+
 def added_spans(texts: list[str], base: list, field: Field) -> list[list[tuple[int, int, int]]]:
     """What the field adds to the base spans (a pair of good and bad lists for each text)."""
-    where, a, b, s, sizes = [], [], [], [], []
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    held: list[tuple[int, list[int], list[int], list[int]]] = []
+    size = 0
     for i, text in enumerate(texts):
         for x, y in stretches(text) if text else ():
             p, q, r = tokens(text, x, y)
-            if p:
-                where.append(i)
-                sizes.append(len(p))
-                a += p
-                b += q
-                s += r
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not where:
-        return out
+            at = 0
+            for end in _pieces(r, MOST_TOKENS) if r else ():
+                if size + end - at > MOST_TOKENS and held:
+                    _decode(texts, base, field, held, out)
+                    held, size = [], 0
+                held.append((i, p[at:end], q[at:end], r[at:end]))
+                size += end - at
+                at = end
+    if held:
+        _decode(texts, base, field, held, out)
+    return out
+
+
+def _decode(texts: list[str], base: list, field: Field, held: list, out: list[list[tuple[int, int, int]]]) -> None:
+    """Labels the held stretches and puts the spans that pass into out."""
+    a, b, s = ([x for h in held for x in h[k]] for k in (1, 2, 3))
+    sizes = [len(h[1]) for h in held]
     ends = np.cumsum(sizes)
     starts = ends - sizes
     labels = viterbi(field.scores(_windows(np.array(s), starts, ends)), starts, field.trans, field.first)
-    owner = np.repeat(where, sizes)
+    owner = np.repeat([h[0] for h in held], sizes)
     begin = np.zeros(len(s), bool)
     begin[starts] = True
     kind = (labels + 1) // 2
@@ -352,17 +382,32 @@ def added_spans(texts: list[str], base: list, field: Field) -> list[list[tuple[i
             proposed += [(doc, (m.start(), k, m.end())) for m in WITHIN.finditer(texts[doc], span[0], span[2])]
         else:
             proposed.append((doc, span))
+    taken: dict[int, list] = {}
     for doc, span in proposed:
         k = span[1]
-        good, bad = base[doc]
-        if any(x < span[2] and span[0] < y for x, _, y in (*good, *(m for m in bad if m[1] == k))) or not valid(KINDS[k], texts[doc][span[0] : span[2]]):
+        if doc not in taken:
+            good, bad = base[doc]
+            taken[doc] = [_Cover(good), *(_Cover([m for m in bad if m[1] == i]) for i in range(len(KINDS)))]
+        if taken[doc][0].meets(span) or taken[doc][1 + k].meets(span) or not valid(KINDS[k], texts[doc][span[0] : span[2]]):
             continue
         text = texts[doc]
         if not SHAPES[k].fullmatch(text, span[0], span[2]) or text[max(0, span[0] - 1) : span[0]].isalnum() or text[span[2] : span[2] + 1].isalnum():
             continue
         if not out[doc] or out[doc][-1][2] <= span[0]:
             out[doc].append(span)
-    return out
+
+
+class _Cover:
+    """Spans by start, with the furthest end so far, to tell in logarithmic time whether another span touches one of them."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        spans = sorted(spans)
+        self.starts = [s[0] for s in spans]
+        self.ends = list(itertools.accumulate((s[2] for s in spans), max))
+
+    def meets(self, span: tuple[int, int, int]) -> bool:
+        i = bisect.bisect_left(self.starts, span[2])
+        return i > 0 and self.ends[i - 1] > span[0]
 
 
 def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -385,21 +430,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _apply(docs: DataFrame, keep: list[str], text: str, schema: str, row) -> DataFrame:
     """keep's columns, then what row(text, base, all) gives by column."""
-    given = docs.select(*keep, *([] if text in keep else [F.col(text)]))
-    fields = [f for f in given.schema.fields if f.name in keep]
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), schema])
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
-    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
-    field = train()
+    field, width = train(), len(schema.split(", "))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches, text):
-            rows = [row(t, base, spans) for t, (base, spans) in zip(texts, find(texts, field), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            own = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*(f.name for f in fields), *names])
+    def rows(texts: list[str | None]) -> list:
+        found = [row(t, base, spans) for t, (base, spans) in zip(texts, find(texts, field), strict=True)]
+        return list(zip(*found, strict=True)) if found else [[]] * width
 
-    return given.mapInArrow(run, full)
+    return map_rows(docs, keep, text, schema, rows)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -420,9 +457,9 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind; a null text stays null. Other columns are kept as they are."""
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c.lower() != text.lower()]
     out = _apply(docs, keep, text, f"`{text}` string", lambda t, _, spans: (t if t is None or not spans else redacted(t, spans),))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
