@@ -5,6 +5,9 @@ symmetric difference of the sets. Sizes are banded; a band's sketches have more
 that a linked pair of the band can have, so by the pigeonhole principle such a pair has a symbol in common: the join key. A set also
 writes keys for the next band if a partner may be there. Candidates are verified on the whole sets.
 
+Keys that very many classes share are told from a sample of the texts, and their classes are dealt to salts: each salt has a pivot of its own, and the salts' pivots
+meet in turn. So no key's classes have to pass through one task.
+
 Copies with one set are one class from the start, and only classes are joined. A key's classes are first compared by parity bits: every
 shingle flips one of about two bits a shingle, so the Hamming distance of two classes' bits is at most their symmetric difference, and a pair
 that differs in more bits than a linked pair's difference can have is no pair. All are compared with the key's smallest class; in keys whose
@@ -13,7 +16,7 @@ comes out. What these bits connect is a family; every link lies within one. A fa
 again a spanning forest of the true links comes out. So no pair is left out, and no task or row count grows with the square of a group.
 
 A null or blank text has an empty set and is linked with nothing. Repeated rows and equal texts are linked. Null ids
-are kept and count as larger than all others. Extra columns are not read.
+are kept and count as larger than all others. Extra columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch, small
 from .shingles import U, mix, shingle_sets
-from .textbatch import steps
+from .textbatch import fresh, small_batches, steps, tidy
 
 
 class Bands:
@@ -91,7 +94,7 @@ def _class(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands | None = None, seen_most: int = 500_000) -> DataFrame:
+def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands | None = None, seen_most: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, class, bits), or with bands (class, keys) of the sets that have any.
 
     Bits and keys are left out where the same task has written them for an equal set before. Keys are far larger than the rest; they
@@ -99,6 +102,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands |
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, texts in steps(batches, "text"):
@@ -128,6 +132,7 @@ def class_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     lowest = F.lit(-(2**63))
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), lowest).alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left_semi").select("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in steps(batches, "text"):
             sets = shingle_sets(texts, words)
@@ -136,12 +141,43 @@ def class_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     return scratch.table(given.mapInArrow(run, "class long, n long, s array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
+#: Every so-manieth text, by its hash, is looked at for keys that many share: SAMPLED_KEY times in the sample or more. Such a key's classes are dealt to SALTS.
+SAMPLE, SAMPLED_KEY, SALTS = 64, 64, 64
+
+
+def shared_keys(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(key): those that many of the sampled texts' classes have; copies of a text count once. Fewer than a key for every SAMPLED_KEY sampled keys."""
+    sampled = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(SAMPLE)) == 0)
+    keys = sketches(sampled, doc_id, text, words, bands).select(F.explode("keys").alias("key"), "class").distinct()
+    return scratch.table(keys.groupBy("key").count().where(F.col("count") >= SAMPLED_KEY).select("key"), "shared keys")
+
+
+def met_in_keys(exploded: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, class) -> (key, class, pivot): each class that isn't its key's smallest, and, in shared keys, its salt's smallest or the salts' smallest."""
+    few = small(shared)
+    marked = exploded.join((F.broadcast(shared) if few else shared).withColumn("shared", F.lit(True)), "key", "left")
+    salt = F.when(F.col("shared"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(0).cast("int")
+    # One shuffle of (key, salt, class), sorted once: the first class of a key and salt is its pivot.
+    by_key = Window.partitionBy("key", "salt").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    first = marked.select("key", salt.alias("salt"), "class").withColumn("pivot", F.first("class").over(by_key))
+    return first.where("class <> pivot").select("key", "class", "pivot").distinct()
+
+
+def met_across_salts(exploded: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, class, pivot) for the salts' pivots of shared keys: at most SALTS rows a key."""
+    held = exploded.join(F.broadcast(shared) if small(shared) else shared, "key", "left_semi")
+    pivots = held.groupBy("key", F.pmod(F.xxhash64("class"), F.lit(SALTS)).alias("salt")).agg(F.min("class").alias("class"))
+    out = pivots.withColumn("pivot", F.min("class").over(Window.partitionBy("key")))
+    return out.where("class <> pivot").select("key", "class", "pivot")
+
+
 def likely(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """Of (a, b) classes, those that sizes and parity bits don't rule out. bits: (class, n, bits)."""
     x = bits.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     y = bits.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     both = pairs.join(y, "b").join(x, "a").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "ba", "bb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (den - num) // (den + num)
@@ -229,18 +265,20 @@ def family_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratc
     return sent.groupBy("family", "t", "u").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, class, component_id), one row for every row; the component's id is its smallest doc_id.
 
     Documents are linked whose sets of ``words``-word shingles have den * |intersection| >= num * |union|.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    small_batches(docs.sparkSession)
     bands = Bands(num, den)
     all_docs = scratch.table(sketches(docs, doc_id, text, words), "sketches")
     exploded = sketches(docs, doc_id, text, words, bands).select(F.explode("keys").alias("key"), "class")
-    # One shuffle of (key, class), sorted once: the first class of a key is its pivot.
-    by_key = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
-    met = scratch.table(exploded.withColumn("pivot", F.first("class").over(by_key)).where("class <> pivot").distinct(), "met")
+    shared = shared_keys(docs, doc_id, text, words, bands, scratch)
+    met = scratch.table(met_in_keys(exploded, shared), "met")
+    if shared.limit(1).count():
+        met = met.union(scratch.table(met_across_salts(exploded, shared), "met across salts"))
     del exploded
     scratch.forget()
     pairs = scratch.table(met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
@@ -270,17 +308,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return all_docs.select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", scratch: Scratch | None = None, **options) -> DataFrame:
     """docs without the linked documents of smaller ones: of each component the row with the smallest id stays.
 
-    Where ids are null or repeated, rows are told apart by their place in the table instead, for the rows read in one plan.
+    Where ids are null or repeated, rows are numbered first, in a table written once, and told apart by these numbers.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "copies")
+    columns = docs.columns
     ids = docs.select(F.col(doc_id).alias("id"))
     odd = ids.where("id is null").limit(1).count() or ids.groupBy("id").count().where("count > 1").limit(1).count()
-    key = "_row" if odd else doc_id
-    given = docs.withColumn("_row", F.monotonically_increasing_id()) if odd else docs
-    drop = Scratch(docs.sparkSession, "copies").table(jaccard_components(given, key, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")), "copies")
-    return given.join(F.broadcast(drop) if small(drop) else drop, given[key] == drop["_copy"], "left_anti").select(*docs.columns)
+    key = fresh(columns, "row") if odd else doc_id
+    given = scratch.table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered") if odd else docs
+    drop = scratch.table(jaccard_components(given, key, scratch=scratch, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(given.columns, "copy"))), "copies")
+    return given.join(F.broadcast(drop) if small(drop) else drop, given[key] == drop[drop.columns[0]], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
