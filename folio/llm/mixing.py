@@ -7,7 +7,7 @@ source's threshold: no document is sorted, and no pass but the two histograms re
 
 Nulls: a null text has size 0, a null source is a source of its own, the last. Documents with one hash (repeated rows of one id) are taken
 together. Equal inputs give equal results in every run and partitioning. Sources without words have target 0. Empty tables
-give empty results. Extra columns pass through; columns that the operator adds are named by the caller's ``size`` and so on.
+give empty results. Extra columns pass through; columns that the operator adds are named by ``added``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small
+from .textbatch import fresh
 
 #: Bits of the hash: 60, split into three levels of buckets.
 LEVELS = (12, 12, 36)
@@ -31,23 +32,45 @@ def id_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
+#: Sources to a task where they are put in order.
+SOURCES_IN_TASK = 1_000_000
+
+
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """df with the columns of ``sums``: running sums of other columns over all rows before a row in the order.
+
+    Rows are range-partitioned; each range sums up on its own, and ranges add the totals of those before them (a row a range).
+    """
+    parts = max(1, -(-df.count() // SOURCES_IN_TASK))
+    ranged = scratch.table(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = ranged.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(totals), "_range")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
+def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...], scratch: Scratch) -> DataFrame:
     """(source, source_size) -> with target: the share of all words by weight, none above ``most`` times its source's size.
 
     Giving the excess to the others by weight, again and again, ends where every target is the smaller of its limit and weight x one
-    common level. With sources ordered by limit / weight, the level is found from running sums of the limits and weights before each.
+    common level. With sources ordered by limit / weight, the level is found from running sums of the limits and weights before each. The driver
+    gets the totals and the common level: three numbers.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    limit = sizes.withColumn("weight", w).withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    fits = limit.withColumn("level", level).withColumn("full", F.col("limit") < F.col("weight") * F.col("level"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    counted = in_order(sizes.withColumn("one", F.lit(1)), by_name, {"place": "one"}, scratch, "sources").drop("one")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    limit = counted.select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("limit"))
+    by_ratio = [F.col("limit") / F.col("weight"), *by_name]
+    before = in_order(limit, by_ratio, {"limits": "limit", "weights": "weight"}, scratch, "limits")
+    words, weight = before.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(words or 0) * F.lit(float(share)) - F.col("limits")) / (F.lit(weight or 1) - F.col("weights"))
+    fits = before.withColumn("level", level).withColumn("full", F.col("limit") < F.col("weight") * F.col("level"))
     # The first source in this order that isn't full has the level of all that aren't.
-    found = fits.withColumn("common", F.first(F.when(~F.col("full"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return found.select("source", "source_size", F.when(F.col("full") | F.col("common").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("common"))).alias("target"))
+    common = fits.where(~F.col("full")).agg(F.min_by("level", F.struct(F.col("limit") / F.col("weight"), *by_name))).first()[0]
+    target = F.col("limit") if common is None else F.when(F.col("full"), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.lit(common)))
+    return fits.select("source", "source_size", target.alias("target"))
 
 
 def _end(histogram: DataFrame, slot: str, exact: bool) -> DataFrame:
@@ -70,7 +93,7 @@ def plan(sized: DataFrame, scratch: Scratch, share: float = 1.5, most: float = 2
     bits = sum(LEVELS)
     first = scratch.table(sized.groupBy("source", F.shiftright("h", bits - LEVELS[0]).alias("b1")).agg(F.sum("size").alias("words")), "level1")
     totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(totals, share, most, weights)
+    goal = targets(totals, share, most, weights, scratch)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = scratch.table(goal.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "goals")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -91,23 +114,34 @@ def plan(sized: DataFrame, scratch: Scratch, share: float = 1.5, most: float = 2
     return joined.select("source", "source_size", "target", "copies", F.when(F.col("known"), F.col("end")).otherwise(everything).alias("bound"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """docs with _size, _source_size, _target and _times (how often the mix takes the document whole: 0 to ``most``)."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), id_hash(F.col(doc_id)).alias("h"), word_count(F.col(text)).alias("size")), "sizes")
-    found = scratch.table(plan(sized, scratch, share, most, weights), "plan")
-    found = found.withColumnsRenamed({c: f"_{c}" for c in found.columns})
-    # The plan has a row a source; where it is small, documents are filtered where they lie.
-    out = docs.join(F.broadcast(found) if small(found) else found, docs[source].eqNullSafe(found["_source"]))
-    times = F.col("_copies") + F.when(id_hash(F.col(doc_id)) <= F.col("_bound"), 1).otherwise(0)
-    return out.withColumn("_size", word_count(F.col(text))).withColumn("_times", times).drop("_source", "_copies", "_bound")
+ADDED = ("_size", "_source_size", "_target", "_times")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), added: tuple[str, ...] = ADDED, scratch: Scratch | None = None) -> DataFrame:
+    """docs with its size, its source's size and target, and how often the mix takes the document whole (0 to ``most``), under the names ``added``.
+
+    A column of docs with such a name is replaced.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
+    sized = scratch.table(docs.select(F.col(source).alias("source"), id_hash(F.col(doc_id)).alias("h"), word_count(F.col(text)).alias("size")), "sizes")
+    found = scratch.table(plan(sized, scratch, share, most, weights), "plan").select(F.struct("*").alias("found"))
+    # The plan has a row a source; where it is small, documents are filtered where they lie. Rows travel as one column, so that no name can clash.
+    taken = {n.lower() for n in added}
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+    given = docs.select(row.alias("row"), F.col(source).alias("source"), id_hash(F.col(doc_id)).alias("h"), word_count(F.col(text)).alias("size"))
+    out = given.join(F.broadcast(found) if small(found) else found, F.col("source").eqNullSafe(F.col("found.source")))
+    times = F.col("found.copies") + F.when(F.col("h") <= F.col("found.bound"), 1).otherwise(0)
+    return out.select("row.*", F.col("size").alias(added[0]), F.col("found.source_size").alias(added[1]), F.col("found.target").alias(added[2]), times.alias(added[3]))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
+    """The mix itself: every document as often as it is taken, with the columns of docs. Ids repeat where a document is taken twice."""
     columns = docs.columns
-    out = mix(docs, **options).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*columns)
+    names = []
+    for n in (*ADDED, "_copy"):
+        names.append(fresh([*columns, *names], n))
+    out = mix(docs, added=tuple(names[:4]), **options).where(F.col(names[3]) > 0)
+    return out.withColumn(names[4], F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
