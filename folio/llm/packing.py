@@ -1,30 +1,30 @@
 """Best-fit packing of documents into sequences of bounded length, in bulk-synchronous rounds.
 
-A document's token ids are counted and cut into pieces no longer than a sequence. Pieces are range-sorted by length and ranked. Gaps
-of open sequences are kept sorted too, as runs of sequences with equal gaps: lengths and gaps are whole numbers up to the capacity, so the sorted
-state is at most that many runs, whatever the number of documents, and a round's sweep over it is the successor search for all
-pieces of a length at once. In a round the longest pieces left seek the smallest gap that holds them; among pieces that want one run, rank
-decides which sequence each gets; the gaps shrink, and the next round begins. This equals sequential best-fit decreasing. The
-driver holds the runs only; each piece finds its place from its rank by a join with the rounds' segments.
+A document's token ids are counted and cut into pieces no longer than a sequence. A piece longer than half a sequence shares with no other such piece, so each opens
+a sequence. The others come in bands of lengths, longest first. In a round, the band's pieces and the open sequences' gaps are put in one range-sorted order by size, and
+each piece gets the smallest gap that holds it and that no longer piece has taken: going down the order, gaps are laid on a stack and a piece takes the top one. A gap that
+holds several pieces of the band stands there as several slots. This successor sweep is distributed: each range matches what it can, and what it leaves open (pieces first, then slots) is
+matched across ranges from two numbers a range. Ranks in the order decide all conflicts. Then the gaps are updated, and the next round begins; pieces that find no gap
+open new sequences. Pieces, gaps and matches are tables throughout; the driver holds counts only.
 
 Nulls: a null text counts as empty and has one id, the end mark. Repeated rows and equal texts are packed each on its own;
-rows with a null id too. Pieces of equal length are ranked by document id and piece. Texts of any length are cut, never shortened.
+rows with a null id too. Texts of any length are cut, never shortened. Empty tables give empty results. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textbatch import steps
+from .textbatch import small_batches, steps, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -36,17 +36,17 @@ class PieceTokenizer:
     The byte-level pre-tokenizer never lets a token cross a single space or a single line break between other
     characters (a space starts a token, a line break is one), nor the place where a full stop or comma that ends a word follows a letter or
     digit. So texts that have white space of only that kind are cut there, and each stretch is encoded once and kept as
-    bytes of little-endian ids. Other texts are encoded whole.
+    bytes of little-endian ids. Other texts, and those that say one of the vocabulary's special tokens, are encoded whole.
     """
 
     OTHER = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"] + ["\u180e", "\x02"]
     DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.keep = keep
         self.known: dict[str, bytes] = {}
         self.stops = {c: self.whole(c) for c in ".,"}
@@ -56,7 +56,7 @@ class PieceTokenizer:
 
     def odd(self, text: str) -> bool:
         """Whether it has white space other than single spaces and line breaks between other characters."""
-        return text[0] in " \n" or text[-1] in " \n" or any(d in text for d in self.DOUBLE) or any(c in text for c in self.OTHER)
+        return text[0] in " \n" or text[-1] in " \n" or any(d in text for d in self.DOUBLE) or any(c in text for c in self.OTHER) or any(t in text for t in self.special)
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodes stretches: many at once where they begin with white space, for those can stand one after the other.
@@ -117,7 +117,9 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
     end = np.array([end_id], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch, texts in steps(batches, "text"):
@@ -138,88 +140,146 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return given.mapInArrow(run, schema)
 
 
-def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit decreasing over runs: counts is the number of pieces by length.
+#: Rows of a range in a sweep. Ratio between the lengths of a band: of the longer pieces, which decide how many sequences there are, and of those under a sixteenth of a sequence.
+RANGE_ROWS, BAND, SHORT_BAND = 500_000, 2, 8
 
-    Returns segments (length, first rank, pieces, first sequence, pieces to a sequence, offset): the pieces of that length with ranks from
-    ``first rank`` fill consecutive sequences. At most a few segments a length and run, capacity squared in the worst case, whatever
-    the number of pieces.
+
+def stack_match(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """opens tells slots (True) from pieces, in order. A piece takes the last slot before it that is free.
+
+    Returns places of matched pieces and of their slots, of pieces left without, and of slots left open.
+    """
+    height = np.cumsum(np.where(opens, 1, -1))
+    floor = np.minimum.accumulate(np.minimum(height, 0))
+    lost = ~opens & (floor < np.concatenate([[0], floor[:-1]])) if len(opens) else np.zeros(0, bool)
+    live = np.flatnonzero(~lost)
+    # A slot's level is the height that it reaches, a piece's the height that it leaves: at each level slots and pieces take turns.
+    level = (height - floor + ~opens)[live]
+    order = live[np.argsort(level, kind="stable")]
+    level = np.sort(level, kind="stable")
+    piece = np.flatnonzero(~opens[order])
+    open_ = opens[order] & np.concatenate([(level[1:] != level[:-1]) | opens[order][1:], [True]])[: len(order)]
+    return order[piece], order[piece - 1], np.flatnonzero(lost), np.sort(order[open_])
+
+
+def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """left: (range, pieces without a slot, open slots), in order -> segments (slots' range, slot, pieces' range, piece, how many).
+
+    ``piece``, ``piece + 1`` and so on of the one range get ``slot``, ``slot - 1`` and so on of the other.
     """
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, sequences)
-    gaps: list[int] = []
-    out, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                runs[gap] = []
-                bisect.insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
-            else:  # no gap holds it: open as many as its pieces need
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            full, rest = min(n, left // each), 0
-            if full:
-                out.append((length, rank, full * each, first, each, capacity - gap))
-                put(gap - each * length, first, full)
-            if full < n:
-                rest = left - full * each if left - full * each < each else 0
-                if rest:
-                    out.append((length, rank + full * each, rest, first + full, each, capacity - gap))
-                    put(gap - rest * length, first + full, 1)
-                put(gap, first + full + bool(rest), n - full - bool(rest))
-            rank += full * each + rest
-            left -= full * each + rest
+    stack: list[list[int]] = []
+    out = []
+    for part, pieces_, slots in left:
+        at = 0
+        while at < pieces_ and stack:
+            n = min(pieces_ - at, stack[-1][1])
+            out.append((stack[-1][0], stack[-1][1] - 1, part, at, n))
+            at += n
+            stack[-1][1] -= n
+            if not stack[-1][1]:
+                stack.pop()
+        if slots:
+            stack.append([part, slots])
     return out
 
 
-def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
+def sweep(slots: DataFrame, band: DataFrame, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """slots (seq, slot, size, gap) and band (item, length) -> (item, length, seq, slot, gap) for each piece that gets a slot, the pieces left, and how many got one."""
+    spark = slots.sparkSession
+    long = lambda name: F.lit(0).cast("long").alias(name)
+    events = slots.select("size", F.lit(True).alias("opens"), F.col("seq").alias("id"), "slot", "gap").union(band.select(F.col("length").alias("size"), F.lit(False).alias("opens"), F.col("item").alias("id"), long("slot"), long("gap")))
+    order = [F.col("size").desc(), F.col("opens").desc(), F.col("gap").desc(), F.col("id"), F.col("slot")]
+    ranged = events.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    names = ["kind", "range", "k", "item", "length", "seq", "slot", "gap"]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [pa.table(b) if not isinstance(b, pa.RecordBatch) else pa.Table.from_batches([b]) for b in batches]
+        if not got:
+            return
+        t = pa.concat_tables(got).combine_chunks()
+        col = {n: t.column(n).to_numpy() for n in ("size", "id", "slot", "gap")}
+        item, slot, lost, open_ = stack_match(t.column("opens").to_numpy(zero_copy_only=False).astype(bool))
+        here, none = TaskContext.get().partitionId(), np.int64(-1)
+        for kind, i, s in ((0, item, slot), (1, lost, None), (2, None, open_)):
+            n = len(i) if i is not None else len(s)
+            blank = np.full(n, none)
+            cols = [np.full(n, kind), np.full(n, here), np.arange(n), *((col["id"][i], col["size"][i]) if i is not None else (blank, blank)), *((col["id"][s], col["slot"][s], col["gap"][s]) if s is not None else (blank, blank, blank))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    swept = scratch.table(ranged.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "swept")
+    counts: dict[int, list[int]] = {}
+    for r in swept.groupBy("range", "kind").count().collect():
+        counts.setdefault(r["range"], [0, 0, 0])[r["kind"]] = r["count"]
+    segments = across([(p, counts[p][1], counts[p][2]) for p in sorted(counts)])
+    own = swept.where("kind = 0").select("item", "length", "seq", "slot", "gap")
+    found = sum(c[0] for c in counts.values()) + sum(s[4] for s in segments)
+    lost = swept.where("kind = 1").select("range", "k", "item", "length")
+    if not segments:
+        return own, lost.select("item", "length"), found
+    # A pair's key: its segment and its place there. There are fewer segments than twice the ranges.
+    seg = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(segments)], "seg long, from long, top long, to long, low long, n long"))
+    inside = (F.col("range") == F.col("to")) & (F.col("k") >= F.col("low")) & (F.col("k") < F.col("low") + F.col("n"))
+    got = lost.join(seg, inside).select("seg", (F.col("k") - F.col("low")).alias("nth"), "item", "length")
+    open_ = swept.where("kind = 2").join(seg, (F.col("range") == F.col("from")) & (F.col("k") <= F.col("top")) & (F.col("k") > F.col("top") - F.col("n"))).select("seg", (F.col("top") - F.col("k")).alias("nth"), "seq", "slot", "gap")
+    return own.union(got.join(open_, ["seg", "nth"]).select("item", "length", "seq", "slot", "gap")), lost.join(seg, inside, "left_anti").select("item", "length"), found
+
+
+def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """items (doc_id, piece, length, ...), each length from 1 to capacity -> with sequence_id and offset, gapless from 0 in every sequence."""
     spark = items.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("length").desc(), F.col("doc_id").asc(), F.col("piece").asc()]
-    ranged = items.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    # Partition and place in it, fixed once written.
-    placed = scratch.table(ranged.withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_at", 33))
-    # A row for each partition and length: partitions hold ranges of lengths, so that is about one a partition and one a length.
-    held = placed.groupBy("_part", "length").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
-    counts: dict[int, int] = {}
-    bases = []
-    for r in sorted(held, key=lambda r: r["first"]):
-        bases.append((r["_part"], r["length"], counts.get(r["length"], 0) - r["first"]))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    segments = rounds(counts, capacity)
-    lay = F.broadcast(spark.createDataFrame(bases, "_part long, length long, _base long"))
-    ranked = placed.join(lay, ["_part", "length"]).withColumn("_rank", F.col("_at") + F.col("_base"))
-    # Segments are bounded by the capacity, not by the data; each is one array entry of its length's row.
-    by: dict[int, list] = {}
-    for length, *rest in segments:
-        by.setdefault(length, []).append(tuple(rest))
-    kind = "array<struct<rank:long,n:long,seq:long,each:long,offset:long>>"
-    table = F.broadcast(spark.createDataFrame([(k, v) for k, v in by.items()], f"length long, _segments {kind}"))
-    seg = F.element_at(F.filter("_segments", lambda s: (s["rank"] <= F.col("_rank")) & (F.col("_rank") < s["rank"] + s["n"])), 1)
-    found = ranked.join(table, "length").withColumn("_seg", seg).withColumn("_k", F.col("_rank") - F.col("_seg.rank"))
-    each = F.col("_seg.each")
-    return found.select(*items.columns, (F.col("_seg.seq") + F.floor(F.col("_k") / each)).cast("long").alias("sequence_id"), (F.col("_seg.offset") + F.pmod("_k", each) * F.col("length")).cast("long").alias("offset"))
-
-
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, **options) -> DataFrame:
+    # Every row's number, fixed once written; a row that opens a sequence of its own gives it its number.
+    rows = scratch.table(items.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("item")), "numbered")
+    half = capacity // 2
+    bands, hi = [], half
+    while hi:
+        bands.append((lo := hi // (BAND if hi > capacity // 16 else SHORT_BAND), hi))
+        hi = lo
+    band_of = functools.reduce(lambda c, b: F.when(F.col("length") > b[0], b[0]).otherwise(c), sorted([*bands, (half, capacity)]), F.lit(0))
+    held = {r["lo"]: (r["n"], r["all"]) for r in rows.groupBy(band_of.alias("lo")).agg(F.count("*").alias("n"), F.sum("length").alias("all")).collect()}
+    n_alone = held.get(half, (0, 0))[0]
+    gaps = scratch.table(rows.where((F.col("length") > half) & (F.col("length") < capacity)).select(F.col("item").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")), "gaps")
+    n_gaps, opened, placed = gaps.count(), 0, []
+    for lo, hi in bands:
+        if lo not in held:
+            continue
+        n, words = held[lo]
+        band, short = rows.where((F.col("length") > lo) & (F.col("length") <= hi)).select("item", "length"), False
+        while n:
+            # Slots of the band's full length where a gap has room for them, else one of the gap's own size.
+            many = F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("long")
+            slots = gaps.where(F.col("gap") > lo).select("seq", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("slot"), F.least("gap", F.lit(hi)).cast("long").alias("size"), "gap")
+            found, left, got = sweep(slots, band, n + n_gaps * max(1, capacity // hi // 4), scratch) if n_gaps else (None, band, 0)
+            if got:
+                before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+                laid = found.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0)))
+                laid = scratch.table(laid.select("item", "length", "seq", "offset"), "laid")
+                placed.append(laid)
+                used = laid.groupBy("seq").agg(F.sum("length").alias("used"))
+                gaps = scratch.table(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("used", F.lit(0)).alias("used")).where("gap > 0 or used > 0"), "gaps")
+                n_gaps, laid_words = gaps.agg(F.count_if(F.col("gap") > 0), F.sum("used")).first()
+                gaps = gaps.where("gap > 0").select("seq", "gap")
+                words -= laid_words
+                n, band = n - got, left
+            if n and got < n:
+                # Little room is left for this band: open as many sequences as its ids fill; if that was not enough, or is about the same, as many as surely take the rest.
+                sure = -(-n // (capacity // hi))
+                more = sure if short or 1000 * sure < n_alone + opened else max(1, -(-words // capacity))
+                short = True
+                gaps = gaps.union(spark.range(opened, opened + more).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+                opened, n_gaps = opened + more, n_gaps + more
+    alone = rows.where(F.col("length") > half).select("row", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not placed:
+        return alone.select("row.*", "sequence_id", "offset")
+    laid = functools.reduce(DataFrame.union, placed).select("item", "seq", "offset")
+    shared = rows.where(F.col("length") <= half).join(laid, "item").select("row", F.col("seq").alias("sequence_id"), "offset")
+    return alone.union(shared).select("row.*", "sequence_id", "offset")
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, scratch: Scratch | None = None, **options) -> DataFrame:
     """Pieces of all rows with their sequences and offsets; ``with_ids=True`` keeps the token ids."""
-    scratch = Scratch(docs.sparkSession, "pack")
-    # Written first: range partitioning reads its input twice, and texts should be encoded once.
+    scratch = scratch or Scratch(docs.sparkSession, "pack")
+    # Written first: texts should be encoded once.
     return pack(scratch.table(pieces(docs, path, capacity=capacity, **options), "pieces"), scratch, capacity)
 
 
