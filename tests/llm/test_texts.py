@@ -194,12 +194,79 @@ def test_wrappers_drop_what_is_constant(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def plain_match(a, b):
+    """Simple tree matching as it is defined."""
+    if not a or not b:
+        return 0
+    best = max(plain_match(a[1:], b), plain_match(a, b[1:]))
+    return max(best, 1 + plain_match(a[0][2], b[0][2]) + plain_match(a[1:], b[1:])) if a[0][0] == b[0][0] else best
+
+
 def test_tree_matching_aligns_most_nodes():
-    a = [["p", 1, 1, []], ["div", 1, 2, [["p", 1, 3, []]]], ["ul", 1, 4, []]]
-    b = [["div", 1, 5, [["p", 1, 3, []], ["p", 1, 6, []]]], ["ul", 1, 4, []]]
-    assert html_text.match(a, b)[0] == 3
-    merged = html_text.merge(a, b)
-    assert [n[0] for n in merged] == ["p", "div", "ul"] and [n[1] for n in merged] == [1, 2, 2] and [n[2] for n in merged] == [1, 0, 4]
+    rng = random.Random(8)
+    tree = lambda d: [[rng.choice("pqr"), rng.randrange(3), tree(d - 1) if rng.random() < 0.6 else []] for _ in range(rng.randrange(1, 4))] if d else []
+    size = lambda w: sum(1 + size(n[2]) for n in w)
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        n = html_text.match(a, b)[id(a), id(b)][0]
+        assert n == plain_match(a, b)
+        merged = html_text.merge(a, b)
+        assert size(merged) == size(a) + size(b) - n
+        assert html_text.deep(html_text.flat(merged)) == merged
+
+
+def test_pages_of_any_depth_and_brokenness():
+    import time
+
+    deep = "<div>" * 30_000 + "word" + "</div>" * 30_000
+    assert html_text.extract(deep, None) == "word"
+    nodes = html_text.skeleton(html_text.parse(deep))[0]
+    assert html_text.match(nodes, html_text.deep(html_text.flat(nodes)))
+    for unit in ("<a '", '<a "', "<!", "<p '>'", "</x>", "<li>", "<b>", "<a href=\"'"):
+        took = []
+        for n in (4_000, 32_000):
+            t = time.process_time()
+            html_text.extract(unit * n + ">", None)
+            took.append(time.process_time() - t)
+        assert took[1] < 20 * took[0] + 1, (unit, took)
+    assert html_text.extract("<p>a < b <q 'c>d</q> e", None) == "a < b d e"
+
+
+def test_names_within_an_article():
+    html = "<article><p>one</p><div class='text-content notice-body'>two</div><div class='menu-recipe'>three</div><div class='comment-list'>no</div><div id='share'>no</div></article><div class='menu-recipe'>no</div>"
+    assert html_text.extract(html, None) == "one\ntwo\nthree"
+
+
+def labelled_pages(rng):
+    """Pages of several hosts with their article's blocks: template, layout and what is no article differ from host to host."""
+    words = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, page_id = [], 0
+    for h in range(6):
+        top, bottom, side = say(6), say(9), say(12)
+        box, outer = rng.choice(["article", "div class='entry-content'", "section id='main'", "div class='k1'"]), rng.choice(["", "div", "div class='wrap'"])
+        for i in range(25):
+            blocks = [say(rng.randrange(2, 8)), *(say(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 9)))]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+            close = box.split()[0]
+            html = f"<html><body><div class='z{h}'>{top}</div><nav>{say(3)}</nav>{f'<{outer}>' if outer else ''}<{box}>{body}</{close}>{f'</{outer.split()[0]}>' if outer else ''}<div class='y{h}'><p>{side}</p></div><div class='comments'><p>{say(9)}</p></div><div class='x{h}'>{bottom}</div><footer>{say(4)}</footer></body></html>"
+            rows.append((page_id, f"https://h{h}.example/{i}", html, "\n".join(blocks)))
+            page_id += 1
+    return rows
+
+
+def test_precision_and_recall_on_labelled_pages_over_two_partitionings(spark):
+    rows = labelled_pages(random.Random(4))
+    df = spark.createDataFrame([(*r[:3], "x") for r in rows], "page_id long, url string, html string, text string").withColumns({c: F.lit("x") for c in ("host", "wrapper", "seen", "row")})
+    run = lambda n: {r.page_id: r.text for r in html_text.main_text(df.repartition(n, "page_id"), keep=tuple(df.columns)).collect()}
+    got = run(1)
+    assert got == run(7)
+    right = found = wanted = 0
+    for i, _, _, text in rows:
+        a, b = Counter(got[i].split()), Counter(text.split())
+        right, found, wanted = right + (a & b).total(), found + a.total(), wanted + b.total()
+    print(f"precision {right / found:.4f}, recall {right / wanted:.4f}")
+    assert right >= 0.99 * found and right >= 0.99 * wanted
 
 
 def test_license_matches_against_brute_force(spark):
@@ -270,11 +337,3 @@ def test_all_containers_of_an_article_are_joined(spark):
     rows = [(0, "https://one.example/", html), (1, "https://two.example/", "<article>A</article><div>x</div><article><p>B<p>C</article>")]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "first\nsecond and longer\nthird", 1: "A\nB\nC"}
-
-
-def test_pruning_keeps_what_is_on_most_pages():
-    size = lambda w: sum(1 + size(n[3]) for n in w)
-    nodes = lambda n, pages: [[f"p.{i}", pages, 1, []] for i in range(n)]
-    assert size(html_text.pruned([["html", 1, 1, nodes(1500, 1)]], 1)) == 1501
-    assert size(html_text.pruned([["html", 40, 0, nodes(1500, 39) + nodes(500, 2)]], 40)) == 1501
-    assert size(html_text.pruned([["html", 40, 0, nodes(200, 39) + nodes(1500, 2)]], 40)) == 201
