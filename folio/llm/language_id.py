@@ -26,7 +26,8 @@ from .textbatch import fresh, map_rows, small_batches, steps, tidy
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-# Runs of letters: word characters that are no digits and no other numbers (such as fractions, or numbers in circles) either.
+_RUN = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters that are no digits and no other numbers (such as fractions, or numbers in circles) either.
 WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 #: Script names and ranges of code points that tell candidates apart (Unicode blocks).
 SCRIPTS = (("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x077F), ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF), ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
@@ -35,6 +36,12 @@ _ENDS = np.array([x[2] for x in SCRIPTS])
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def words_of(text: str) -> list[str]:
+    """WORD's matches. Nearly all texts have no such numbers, and for them the shorter pattern finds the same, much faster."""
+    found = _RUN.findall(text)
+    return found if "".join(found).isalpha() else WORD.findall(text)
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words' character n-grams (a mark at either end), the index of each one's word, and each word's script (-1: none)."""
     text = "".join(f"^{w}$" for w in words)
@@ -93,7 +100,7 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the labels and the letters of its words."""
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t.lower()) if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         flat = [w for ws in words for w in ws]
         if not flat or not self.model.langs:
@@ -144,7 +151,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_docs: in
         for batch, texts in steps(batches, "text"):
             by: dict[int, Counter] = {}
             for t, name in zip(texts, batch.column("lang").to_pylist(), strict=True):
-                by.setdefault(index[name], Counter()).update(WORD.findall(t.lower()))
+                by.setdefault(index[name], Counter()).update(words_of(t.lower()))
             for i, words in by.items():
                 if words:
                     bucket, owner, script = grams(list(words))
@@ -173,7 +180,8 @@ def spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
     at = [0, *change.tolist(), len(labels)]
     if len(at) == 2 and text:
         return [{"start": 0, "end": len(text), "lang": langs[labels[0]]}]
-    words = [m.span() for m in WORD.finditer(text)]
+    pattern = _RUN if "".join(_RUN.findall(text)).isalpha() else WORD
+    words = [m.span() for m in pattern.finditer(text)]
     if len(words) != len(labels):  # lower() made a letter of another number of characters: place words in the lowered text's order
         words = [m.span() for m in WORD.finditer(text.lower())]
     return [{"start": words[a][0], "end": words[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(at, at[1:], strict=False)]

@@ -4,18 +4,17 @@ A template's word shingles are looked for in overlapping windows of each text. W
 as their class's longest template and half overlapping, so a template lies whole in a window of its class. A window and a
 template are candidates if they agree in one of BANDS minima of hashed shingles; with a Jaccard similarity of J that misses
 (1 - J) ** BANDS of the pairs, at most 1 in 500 at the least J that a match can have (about 0.2). A window can agree only where it
-holds a shingle that is some template's minimum, so other windows are left out before their minima are taken; that loses none. Candidates are
+holds a shingle that is some template's minimum, so other windows are left out before their minima are taken; that loses none. Windows and templates are joined
+by (band, minimum), so each window meets only the templates that it agrees with, however many there are. Candidates are
 verified by the exact share of the template's shingles that the window holds.
 
 Words are runs of letters and digits, in lower case. A text or template of fewer words than a shingle is one shingle. Null and blank texts
-have no matches; repeated rows have each their own. Texts are read whole. A text is not grouped with others at any point, so no
+have no matches; repeated rows have each their own. Extra columns are not read. Texts are read whole. A text is not grouped with others at any point, so no
 group can be hot.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,8 +113,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc
     windows = held.withColumn("w", F.explode(F.flatten(F.array(*map(starts, reaches))))).select("doc_id", "n_words", "w.reach", "w.start", once(F.slice("s", F.col("w.start") + 1, F.when(F.col("w.reach") == 1, 1).otherwise(2 * F.col("w.reach")))).alias("v"))
     own = F.coalesce(*[F.when(F.col("reach") == r, F.arrays_overlap("v", lit(sorted({x for t in known if t["reach"] == r for x in t["at"]})))) for r in reaches])
     banded = windows.where(own).withColumn("v", F.array_distinct("v")).withColumn("m", once(minima(F.col("v"))))
-    table = spark.createDataFrame([(t["template"], t["license"], t["reach"], t["d"], t["m"]) for t in known], "template long, license string, reach int, d array<long>, tm array<long>")
-    pairs = banded.join(F.broadcast(table), "reach").where(reduce(lambda a, b: a | b, [F.get("m", F.lit(k)) == F.get("tm", F.lit(k)) for k in range(BANDS)]))
+    # The join key is a band and its minimum; of several bands in which a window and a template agree, the first one's row stays.
+    table = spark.createDataFrame([(k, t["m"][k], t["reach"], t["template"], t["license"], t["d"], t["m"]) for t in known for k in range(BANDS)], "band int, minimum long, reach int, template long, license string, d array<long>, tm array<long>")
+    exploded = banded.select("*", F.posexplode("m").alias("band", "minimum"))
+    first = F.array_position(F.zip_with("m", "tm", lambda x, y: x == y), True) == F.col("band") + 1
+    pairs = exploded.join(F.broadcast(table), ["band", "minimum", "reach"]).where(first)
     share = (F.size(F.array_intersect("v", "d")) / F.size("d")).cast("double")
     found = pairs.withColumn("containment", share).where(F.col("containment") >= least)
     last = F.least(F.col("start") + F.when(F.col("reach") == 1, 1).otherwise(2 * F.col("reach")) + (WORDS - 2), F.col("n_words") - 1)
