@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 
+import numpy as np
+
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 #: Permission names and their bits.
 PERMISSIONS = {"print": 0x4, "modify": 0x8, "copy": 0x10, "annotate": 0x20, "forms": 0x100, "reading": 0x200, "assemble": 0x400, "print_high": 0x800}
@@ -93,13 +95,6 @@ def _encrypt_block(keys: list[bytes], s: bytes) -> bytes:
     return _xor(bytes(_BOX[s[i]] for i in _SHIFT), keys[-1])
 
 
-def _decrypt_block(keys: list[bytes], s: bytes) -> bytes:
-    s = _xor(s, keys[-1])
-    for k in keys[-2:0:-1]:
-        s = _columns(_xor(bytes(_BACK[s[i]] for i in _UNSHIFT), k), (14, 11, 13, 9))
-    return _xor(bytes(_BACK[s[i]] for i in _UNSHIFT), keys[0])
-
-
 def aes_encrypt(key: bytes, data: bytes, iv: bytes | None = None) -> bytes:
     """CBC with the vector first and padding last."""
     keys, last = _schedule(key), iv or os.urandom(16)
@@ -112,10 +107,18 @@ def aes_encrypt(key: bytes, data: bytes, iv: bytes | None = None) -> bytes:
 
 
 def aes_decrypt(key: bytes, data: bytes) -> bytes:
+    """CBC decrypts its blocks independently of each other, so all of them go through each round at once."""
     if len(data) < 32 or len(data) % 16:
         return b""
-    keys = _schedule(key)
-    out = b"".join(_xor(_decrypt_block(keys, data[i : i + 16]), data[i - 16 : i]) for i in range(16, len(data), 16))
+    keys = [np.frombuffer(k, np.uint8) for k in _schedule(key)]
+    back, unshift = np.frombuffer(bytes(_BACK), np.uint8), np.array(_UNSHIFT)
+    by = [np.frombuffer(_BY[n], np.uint8) for n in (14, 11, 13, 9)]
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    s = blocks[1:] ^ keys[-1]
+    for k in keys[-2:0:-1]:
+        c = (back[s[:, unshift]] ^ k).reshape(-1, 4, 4)
+        s = (by[0][c] ^ by[1][np.roll(c, -1, 2)] ^ by[2][np.roll(c, -2, 2)] ^ by[3][np.roll(c, -3, 2)]).reshape(-1, 16)
+    out = ((back[s[:, unshift]] ^ keys[0]) ^ blocks[:-1]).tobytes()
     return out[: -out[-1]] if 1 <= out[-1] <= 16 else out
 
 

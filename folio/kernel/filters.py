@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+
 from ..errors import LimitError, ParseError
 
 _STEP = 1 << 16
@@ -40,11 +42,11 @@ def unpredict(data: bytes, predictor: int, colors: int, bits: int, columns: int)
     for at in range(0, len(data), row + 1):
         kind, line = data[at], bytearray(data[at + 1 : at + 1 + row])
         if kind == 1:
-            for i in range(pixel, len(line)):
-                line[i] = (line[i] + line[i - pixel]) & 255
+            size = len(line)
+            whole = np.frombuffer(bytes(line) + bytes(-size % pixel), np.uint8).reshape(-1, pixel)
+            line = bytearray(np.cumsum(whole, axis=0, dtype=np.uint8).tobytes()[:size])
         elif kind == 2:
-            for i in range(len(line)):
-                line[i] = (line[i] + last[i]) & 255
+            line = bytearray((np.frombuffer(line, np.uint8) + np.frombuffer(last, np.uint8, len(line))).tobytes())
         elif kind == 3:
             for i in range(len(line)):
                 line[i] = (line[i] + ((line[i - pixel] if i >= pixel else 0) + last[i]) // 2) & 255

@@ -221,6 +221,15 @@ def images(f: File, pages: list[int] | None = None) -> Iterator[dict]:
                 yield {"page": i, "object": v.number if isinstance(v, Ref) else None, "name": str(key), "status": status(e)}
 
 
+def image_data(f: File, native: bool = False) -> Iterator[dict]:
+    """Every image that a page names; one that can't be read is a row with its failure."""
+    for n in sorted({r["object"] for r in images(f) if r["object"]}):
+        try:
+            yield image(f, n, native)
+        except PdfError as e:
+            yield {"object": n, "status": status(e)}
+
+
 def image(f: File, n: int, native: bool = False) -> dict:
     """An image's samples, or its pixels packed as 0xAABBGGRR by rows."""
     s = f.object(n)

@@ -445,8 +445,10 @@ class File:
                 continue
             seen.add(n)
             d = self.get(v)
-            if not isinstance(d, dict) or depth > self.limits.max_depth:
+            if not isinstance(d, dict):
                 continue
+            if depth > self.limits.max_depth:
+                raise LimitError("max_depth", self.limits.max_depth)
             kids = self.get(d.get("Kids"))
             if d.get("Type") == "Page" or not isinstance(kids, list):
                 if d.get("Type") != "Pages":

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument, status
-from ..kernel import rows
-from ..kernel.syntax import File
+from ..errors import InvalidArgument
 from ..limits import Limits
 from .scan import scan
 
@@ -108,38 +103,9 @@ def page_images(files: DataFrame, **options) -> DataFrame:
     return scan(files, "images", **options)
 
 
-def images(files: DataFrame, native: bool = False, limits: Limits | None = None, passwords: tuple[str, ...] = (), mode: str = "PERMISSIVE") -> DataFrame:
+def images(files: DataFrame, native: bool = False, **options) -> DataFrame:
     """Samples of every image that a page names: (file_id, object, width, height, data, decoded, pixels, status); pixels only if native."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    from ..errors import STATUS, PdfError
-
-    body = _parse_datatype_string(f"object bigint, width int, height int, data binary, decoded boolean, pixels array<int>, status {STATUS}")
-    schema = StructType().add("file_id", files.schema["file_id"].dataType)
-    for field in body.fields:
-        schema.add(field)
-    arrow, held = to_arrow_schema(schema), limits or Limits()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out = []
-                try:
-                    f = File(content.as_py() or b"", held, passwords)
-                    for n in sorted({r["object"] for r in rows.images(f) if r["object"]}):
-                        try:
-                            out.append({"file_id": key, **rows.image(f, n, native), "status": status()})
-                        except PdfError as e:
-                            out.append({"file_id": key, "object": n, "status": status(e)})
-                except PdfError as e:
-                    out.append({"file_id": key, "status": status(e)})
-                if mode == "FAILFAST" and (bad := next((r for r in out if r["status"]["class"]), None)):
-                    raise ValueError(bad["status"]["message"])
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-
-    return files.select("file_id", "content").mapInArrow(run, schema)
+    return scan(files, "image_data", native=native, **options)
 
 
 def toc(files: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..errors import STATUS, InvalidArgument, PdfError, status
+from ..errors import STATUS, InvalidArgument, LimitError, ParseError, PdfError, status
 from ..kernel import rows
 from ..kernel.syntax import File
 from ..limits import Limits
 
-#: Rows of an output batch.
-BATCH = 4096
+#: Rows of an output batch, which many small files share, and bytes of files after which it is sent in any case.
+BATCH, BATCH_BYTES = 4096, 8 << 20
+#: What reading untrusted bytes, or turning what they say into columns, can raise.
+FAILURES = (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, ArithmeticError, MemoryError, AssertionError, NotImplementedError, zlib.error, struct.error, pa.ArrowException)
 
 SCHEMAS = {
     "objects": f"number bigint, generation int, type string, subtype string, length bigint, value string, filter array<string>, stored binary, status {STATUS}",
@@ -30,10 +34,11 @@ SCHEMAS = {
     "words": f"page int, seq int, width int, height int, x int, y int, space boolean, text string, font_name string, font_size double, status {STATUS}",
     "fonts": f"object bigint, name string, type string, embedded boolean, poppler_type string, status {STATUS}",
     "images": f"page int, object bigint, name string, width int, height int, bits int, color_space string, filter string, status {STATUS}",
+    "image_data": f"object bigint, width int, height int, data binary, decoded boolean, pixels array<int>, status {STATUS}",
     "toc": f"item int, parent int, depth int, ord int, title string, is_open boolean, status {STATUS}",
     "attachments": f"ord int, name string, mime string, description string, created timestamp, modified timestamp, data binary, status {STATUS}",
 }
-KERNELS: dict[str, Callable[..., Iterator[dict]]] = {"objects": rows.objects, "streams": rows.decoded, "meta": rows.meta, "info": rows.info, "pages": rows.pages, "tokens": rows.page_tokens, "page_text": rows.page_text, "glyphs": rows.glyphs, "words": rows.page_words, "fonts": rows.fonts, "images": rows.images, "toc": rows.toc, "attachments": rows.attachments}
+KERNELS: dict[str, Callable[..., Iterator[dict]]] = {"objects": rows.objects, "streams": rows.decoded, "meta": rows.meta, "info": rows.info, "pages": rows.pages, "tokens": rows.page_tokens, "page_text": rows.page_text, "glyphs": rows.glyphs, "words": rows.page_words, "fonts": rows.fonts, "images": rows.images, "image_data": rows.image_data, "toc": rows.toc, "attachments": rows.attachments}
 
 
 def file_rows(table: str, content: bytes | None, limits: Limits, passwords: tuple[str, ...], mode: str, options: dict) -> Iterator[dict]:
@@ -44,13 +49,62 @@ def file_rows(table: str, content: bytes | None, limits: Limits, passwords: tupl
         f = File(bytes(content), limits, passwords)
         if table not in ("objects", "fonts", "streams"):
             f.pages()
-        yield from KERNELS[table](f, **options)
-    except (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError) as e:
+        for row in KERNELS[table](f, **options):
+            if mode == "FAILFAST" and (row.get("status") or {}).get("class"):
+                raise ParseError(row["status"]["message"])
+            yield row
+    except FAILURES as e:
         if mode == "FAILFAST":
             raise
         yield {"status": status(e)}
 
 
+def _within(value, kind: pa.DataType):
+    """Whole numbers pulled into what the column holds."""
+    if isinstance(value, int) and pa.types.is_integer(kind):
+        top = 1 << (kind.bit_width - 1)
+        return max(-top, min(top - 1, value))
+    return value
+
+
+def as_batches(found: Iterable[tuple[object, int, Iterator[dict]]], arrow: pa.Schema, mode: str) -> Iterator[pa.RecordBatch]:
+    """(file_id, bytes, rows) of file after file -> batches of rows that files share.
+
+    Rows that don't fit their columns are given numbers that do; a file for which that doesn't help becomes a row with the failure.
+    """
+    held: list[tuple[object, list[dict]]] = []
+    rows_held = bytes_held = 0
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        try:
+            yield pa.RecordBatch.from_pylist([r for _, out in held for r in out], arrow)
+        except FAILURES:
+            for key, out in held:
+                try:
+                    yield pa.RecordBatch.from_pylist([{f.name: _within(r.get(f.name), f.type) for f in arrow} for r in out], arrow)
+                except FAILURES as e:
+                    if mode == "FAILFAST":
+                        raise
+                    yield pa.RecordBatch.from_pylist([{"file_id": key, "status": status(e)}], arrow)
+
+    for key, size, rows_ in found:
+        out: list[dict] = []
+        held.append((key, out))
+        bytes_held += size
+        for row in rows_:
+            out.append({"file_id": key, "status": status()} | row)
+            rows_held += 1
+            if rows_held >= BATCH:
+                yield from batches()
+                out = []
+                held, rows_held, bytes_held = [(key, out)], 0, 0
+        if bytes_held >= BATCH_BYTES:
+            yield from batches()
+            held, rows_held, bytes_held = [], 0, 0
+    if rows_held:
+        yield from batches()
+
+
 def scan(files: DataFrame, table: str, *, limits: Limits | None = None, passwords: tuple[str, ...] = (), mode: str = "PERMISSIVE", file_id: str = "file_id", content: str = "content", **options) -> DataFrame:
     """files (file_id, content) -> (file_id, the table's columns). Works on batch and streaming DataFrames alike.
 
@@ -66,9 +120,11 @@ def scan(files: DataFrame, table: str, *, limits: Limits | None = None, password
     if options.get("layout", "reading") not in ("reading", "raw"):
         raise InvalidArgument("layout must be reading or raw", arg="layout")
     held = limits or Limits()
-    given = files.select(F.col(file_id).alias("file_id"), F.col(content).alias("content"))
     most = F.lit(int(held.max_size) if held.max_size != float("inf") else 1 << 62)
-    given = given.select("file_id", F.when(F.octet_length("content") <= most, F.col("content")).alias("content"), F.coalesce(F.octet_length("content") > most, F.lit(False)).alias("large"))
+    # A source that left a long file unread says its size.
+    size = F.coalesce(F.octet_length(F.col(content)), F.col("size")) if "size" in files.columns else F.octet_length(F.col(content))
+    large = F.coalesce(size > most, F.lit(False))
+    given = files.select(F.col(file_id).alias("file_id"), F.when(~large, F.col(content)).alias("content"), large.alias("large"))
     id_type = given.schema["file_id"].dataType
     body = _parse_datatype_string(SCHEMAS[table])
     schema = StructType().add("file_id", id_type)
@@ -76,25 +132,19 @@ def scan(files: DataFrame, table: str, *, limits: Limits | None = None, password
         schema.add(field)
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folio.errors import LimitError
-
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, Iterator[dict]]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key, large = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if large:
+                key, content_ = batch.column(0)[i].as_py(), batch.column(1)[i]
+                if batch.column(2)[i].as_py():
                     if mode == "FAILFAST":
                         raise LimitError("max_size", held.max_size)
-                    found = iter([{"status": status(LimitError("max_size", held.max_size))}])
+                    yield key, 0, iter([{"status": status(LimitError("max_size", held.max_size))}])
                 else:
-                    found = file_rows(table, batch.column(1)[i].as_py(), held, passwords, mode, options)
-                out = []
-                for row in found:
-                    out.append({"file_id": key, "status": status()} | row)
-                    if len(out) == BATCH:
-                        yield pa.RecordBatch.from_pylist(out, arrow)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    data = content_.as_py()
+                    yield key, len(data or b""), file_rows(table, data, held, passwords, mode, options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from as_batches(found(batches), arrow, mode)
 
     return given.mapInArrow(run, schema)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
-from ..errors import InvalidArgument
+from ..errors import STATUS, InvalidArgument, LimitError, status
 from ..kernel import serialize as S
 from ..kernel.embed import add_truetype, image
 from ..kernel.syntax import File
 from ..kernel.values import Ref
 from ..limits import Limits
+from .scan import FAILURES
 
 OPS = "page int, seq int, op string, nums array<double>, str string"
 
@@ -130,40 +131,93 @@ def save(files: DataFrame, path: str) -> None:
 
 
 # --- assembly --------------------------------------------------------------------------------------------------------------------
+# Every result is (file_id, content, status): where a part can't be read, content is null and status says why; FAILFAST raises instead.
 
-def _assemble(parts: DataFrame, limits: Limits, passwords: tuple[str, ...]) -> DataFrame:
-    """parts (file_id, ord, content, pages array<int>, turns array<int>) -> (file_id, content): pages of the parts in their order.
-
-    A part's bytes are parsed once, however many of its pages are wanted.
-    """
-    given = parts.repartition("file_id").sortWithinPartitions("file_id", "ord")
-    schema = StructType().add("file_id", parts.schema["file_id"].dataType).add("content", "binary")
+def _result(id_type) -> tuple[StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    schema = StructType().add("file_id", id_type).add("content", "binary").add("status", _parse_datatype_string(STATUS))
+    return schema, to_arrow_schema(schema)
+
+
+def _add(b: S.Builder, f: File, pages: list[int] | None, turns: list[int | None] | None) -> None:
+    """Copies pages of a file (all by default) and turns each by its own entry of turns, or the last one."""
+    wanted = pages if pages is not None else list(range(1, len(f.pages()) + 1))
+    first = len(b.pages)
+    S.copy_pages(b, f, wanted)
+    for ref, p in zip(b.pages[first:], wanted, strict=True):
+        if turns:
+            turn(b, ref, turns[min(p, len(turns)) - 1])
+
+
+def _assemble(parts: DataFrame, limits: Limits, passwords: tuple[str, ...], mode: str = "PERMISSIVE") -> DataFrame:
+    """parts (file_id, ord, content) -> (file_id, content, status): the parts' pages in their order."""
+    given = parts.repartition("file_id").sortWithinPartitions("file_id", "ord")
+    schema, arrow = _result(parts.schema["file_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        now, b = none, None
+        now, b, failed = none, None, None
+
+        def done() -> pa.RecordBatch:
+            try:
+                row = {"content": None if failed else b.save(), "status": status(failed)}
+            except FAILURES as e:
+                if mode == "FAILFAST":
+                    raise
+                row = {"status": status(e)}
+            return pa.RecordBatch.from_pylist([{"file_id": now} | row], arrow)
+
         for batch in batches:
             for row in batch.to_pylist():
                 if now is none or row["file_id"] != now:
                     if now is not none:
-                        yield pa.RecordBatch.from_pylist([{"file_id": now, "content": b.save()}], arrow)
-                    now, b = row["file_id"], S.Builder()
-                f = File(row["content"], limits, passwords)
-                wanted = row["pages"] if row["pages"] is not None else list(range(1, len(f.pages()) + 1))
-                first = len(b.pages)
-                S.copy_pages(b, f, wanted)
-                for ref, p in zip(b.pages[first:], wanted, strict=True):
-                    if row["turns"]:
-                        turn(b, ref, row["turns"][min(p, len(row["turns"])) - 1])
+                        yield done()
+                    now, b, failed = row["file_id"], S.Builder(), None
+                try:
+                    if not failed:
+                        _add(b, _opened(row["content"], limits, passwords), None, None)
+                except FAILURES as e:
+                    if mode == "FAILFAST":
+                        raise
+                    failed = e
         if now is not none:
-            yield pa.RecordBatch.from_pylist([{"file_id": now, "content": b.save()}], arrow)
+            yield done()
 
     return given.mapInArrow(run, schema)
 
 
+def _opened(content: bytes | None, limits: Limits, passwords: tuple[str, ...]) -> File:
+    if content is None:
+        raise InvalidArgument("content is null", arg="content")
+    if len(content) > limits.max_size:
+        raise LimitError("max_size", limits.max_size)
+    return File(content, limits, passwords)
+
+
+def _each(files: DataFrame, plan: Callable[[File], Iterator[tuple[int | None, list[int] | None, list[int | None] | None]]], limits: Limits = Limits(), passwords: tuple[str, ...] = (), mode: str = "PERMISSIVE", named: bool = False) -> DataFrame:
+    """A file is opened where it lies, once, and becomes the files that plan(file) says, each (number, pages, turns); nothing is shuffled. named: ids are ``<file_id>_<number>``."""
+    schema, arrow = _result(StringType() if named else files.schema["file_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, number = batch.column(0)[i].as_py(), None
+                name = lambda n: f"{key}_{n}" if named and n is not None else str(key) if named and key is not None else key  # noqa: E731,B023
+                try:
+                    f = _opened(batch.column(1)[i].as_py(), limits, passwords)
+                    for number, pages, turns in plan(f):
+                        b = S.Builder()
+                        _add(b, f, pages, turns)
+                        yield pa.RecordBatch.from_pylist([{"file_id": name(number), "content": b.save(), "status": status()}], arrow)
+                except FAILURES as e:
+                    if mode == "FAILFAST":
+                        raise
+                    yield pa.RecordBatch.from_pylist([{"file_id": name(number), "status": status(e)}], arrow)
+
+    return files.select("file_id", "content").mapInArrow(run, schema)
+
+
 def turn(b: S.Builder, ref: Ref, by: int | None) -> None:
     """Adds to a page's rotation; None leaves it, and a number with 1000 added sets it."""
     if by is None:
@@ -173,59 +227,40 @@ def turn(b: S.Builder, ref: Ref, by: int | None) -> None:
     d["Rotate"] = (by - 1000) % 360 if by >= 1000 else (int(old) + by) % 360
 
 
-def _parts(files: DataFrame, pages: Column | None = None, turns: Column | None = None, **cols: Column) -> DataFrame:
-    none = F.lit(None).cast("array<int>")
-    return files.select(cols.get("file_id", F.col("file_id")).alias("file_id"), cols.get("ord", F.lit(0)).cast("long").alias("ord"), "content", (pages if pages is not None else none).alias("pages"), (turns if turns is not None else none).alias("turns"))
-
-
-def _ints(values: list[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>")
-
-
-def copy_pages(files: DataFrame, pages: list[int] | None = None, rotate: int = 0, limits: Limits = Limits(), passwords: tuple[str, ...] = ()) -> DataFrame:
+def copy_pages(files: DataFrame, pages: list[int] | None = None, rotate: int = 0, **options) -> DataFrame:
     """Chosen pages (all by default), in the order given, repeats allowed, each turned further by ``rotate``."""
     if rotate % 90:
         raise InvalidArgument("rotation goes by 90 degrees", arg="rotate")
-    return _assemble(_parts(files, None if pages is None else _ints(pages), _ints([rotate]) if rotate else None), limits, passwords)
+    return _each(files, lambda f: iter([(None, pages, [rotate] if rotate else None)]), **options)
 
 
-def chosen(n: Column, pages: list[int]) -> Column:
+def chosen(n: int, pages: list[int]) -> list[int]:
     """Page numbers that an index means: positive ones in order, or all but negative ones."""
-    if not pages or 0 in pages or (min(pages) < 0 < max(pages)):
-        raise InvalidArgument("pages must be all positive or all negative", arg="pages")
-    return _ints(pages) if pages[0] > 0 else F.filter(F.sequence(F.lit(1), n.cast("int")), lambda p: ~p.isin([-x for x in pages]))
+    return list(pages) if pages[0] > 0 else [p for p in range(1, n + 1) if -p not in pages]
 
 
 def subset(files: DataFrame, pages: list[int], **options) -> DataFrame:
-    if pages and pages[0] < 0:
-        from .documents import length
-
-        files = files.join(length(files), "file_id")
-        return _assemble(_parts(files, chosen(F.col("length"), pages)), options.get("limits", Limits()), options.get("passwords", ()))
-    chosen(F.lit(0), pages)
-    return copy_pages(files, pages, **options)
+    if not pages or 0 in pages or (min(pages) < 0 < max(pages)):
+        raise InvalidArgument("pages must be all positive or all negative", arg="pages")
+    return _each(files, lambda f: iter([(None, chosen(len(f.pages()), pages), None)]), **options)
 
 
 def split(files: DataFrame, **options) -> DataFrame:
     """One file a page, named ``<file_id>_<page>``."""
-    from .documents import length
-
-    each = files.join(length(files), "file_id").where("length > 0").withColumn("page", F.explode(F.sequence(F.lit(1), F.col("length").cast("int"))))
-    return _assemble(_parts(each, F.array("page"), file_id=F.concat_ws("_", F.col("file_id").cast("string"), F.col("page").cast("string"))), options.get("limits", Limits()), options.get("passwords", ()))
+    return _each(files, lambda f: ((p, [p], None) for p in range(1, len(f.pages()) + 1)), named=True, **options)
 
 
-def combine(files: DataFrame, into: Column, order: Column, **options) -> DataFrame:
+def combine(files: DataFrame, into: Column, order: Column, limits: Limits = Limits(), passwords: tuple[str, ...] = (), mode: str = "PERMISSIVE") -> DataFrame:
     """Files of one group ``into`` one after the other by ``order``."""
-    return _assemble(_parts(files, file_id=into, ord=order), options.get("limits", Limits()), options.get("passwords", ()))
+    return _assemble(files.select(into.alias("file_id"), order.cast("long").alias("ord"), "content"), limits, passwords, mode)
 
 
 def rotate_pages(files: DataFrame, pages: list[int], angle: int = 90, relative: bool = False, **options) -> DataFrame:
     """Sets, or adds to, the rotation of chosen pages; the others stay as they are."""
     if angle % 90:
         raise InvalidArgument("rotation goes by 90 degrees", arg="angle")
-    top = max(pages) + 1
-    by = [angle % 360 + (0 if relative else 1000) if p in pages else None for p in range(1, top + 1)]
-    return _assemble(_parts(files, turns=F.array(*[F.lit(x) for x in by]).cast("array<int>")), options.get("limits", Limits()), options.get("passwords", ()))
+    by = [angle % 360 + (0 if relative else 1000) if p in pages else None for p in range(1, max(pages) + 2)]
+    return _each(files, lambda f: iter([(None, None, by)]), **options)
 
 
 def deterministic_id(content: Column) -> Column:

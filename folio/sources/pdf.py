@@ -13,9 +13,9 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..errors import InvalidArgument, status
+from ..errors import InvalidArgument, LimitError, status
 from ..limits import Limits
-from ..operators.scan import BATCH, SCHEMAS, file_rows
+from ..operators.scan import SCHEMAS, as_batches, file_rows
 
 
 def files(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str = "*.pdf") -> DataFrame:
@@ -71,17 +71,20 @@ class PdfReader(DataSourceReader):
         limits = Limits(**{k: float(self.options[k]) for k in ("max_size", "max_objects", "max_stream", "max_depth", "max_pages") if k in self.options})
         arrow = to_arrow_schema(self.schema)
         options = {"pages": self.pages} if self.pages and self.table in ("tokens", "page_text", "glyphs", "words", "pages", "images") else {}
-        for p in partition.paths:
-            with store.open_input_file(p) as f:
-                content = f.read()
-            out = []
-            for row in file_rows(self.table, content, limits, tuple(x for x in (self.options.get("password"),) if x), self.options.get("mode", "PERMISSIVE").upper(), options):
-                out.append({"file_id": p, "status": status()} | row)
-                if len(out) == BATCH:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, arrow)
+        passwords, mode = tuple(x for x in (self.options.get("password"),) if x), self.options.get("mode", "PERMISSIVE").upper()
+
+        def found() -> Iterator[tuple[str, int, Iterator[dict]]]:
+            for p in partition.paths:
+                if store.get_file_info(p).size > limits.max_size:
+                    if mode == "FAILFAST":
+                        raise LimitError("max_size", limits.max_size)
+                    yield p, 0, iter([{"status": status(LimitError("max_size", limits.max_size))}])
+                    continue
+                with store.open_input_file(p) as f:
+                    content = f.read()
+                yield p, len(content), file_rows(self.table, content, limits, passwords, mode, options)
+
+        yield from as_batches(found(), arrow, mode)
 
 
 class PdfDataSource(DataSource):

@@ -37,7 +37,7 @@ def test_files_by_path(spark, folder):
 def test_size_limit_leaves_content_unread(spark, folder):
     limits = Limits(max_size=100)
     got = D.page_text(source.files(spark, str(folder), limits), limits=limits).collect()
-    assert {r["status"]["class"] for r in got} == {"invalid_argument", "parse_error"}
+    assert {r["status"]["class"] for r in got} == {"limit_error", "parse_error"}
 
 
 def test_data_source(spark, folder):
