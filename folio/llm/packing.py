@@ -183,8 +183,8 @@ def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def sweep(slots: DataFrame, band: DataFrame, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """slots (seq, slot, size, gap) and band (item, length) -> (item, length, seq, slot, gap) for each piece that gets a slot, the pieces left, and how many got one."""
+def sweep(slots: DataFrame, band: DataFrame, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, int | None]:
+    """slots (seq, slot, size, gap) and band (item, length) -> (item, length, seq, slot, gap) for every slot, item null where it stays open; the pieces left; how many got a slot; the ids of those left, if known."""
     spark = slots.sparkSession
     long = lambda name: F.lit(0).cast("long").alias(name)
     events = slots.select("size", F.lit(True).alias("opens"), F.col("seq").alias("id"), "slot", "gap").union(band.select(F.col("length").alias("size"), F.lit(False).alias("opens"), F.col("item").alias("id"), long("slot"), long("gap")))
@@ -194,35 +194,41 @@ def sweep(slots: DataFrame, band: DataFrame, rows: int, scratch: Scratch) -> tup
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pa.table(b) if not isinstance(b, pa.RecordBatch) else pa.Table.from_batches([b]) for b in batches]
+        got = [pa.Table.from_batches([b]) for b in batches]
         if not got:
             return
         t = pa.concat_tables(got).combine_chunks()
         col = {n: t.column(n).to_numpy() for n in ("size", "id", "slot", "gap")}
         item, slot, lost, open_ = stack_match(t.column("opens").to_numpy(zero_copy_only=False).astype(bool))
-        here, none = TaskContext.get().partitionId(), np.int64(-1)
-        for kind, i, s in ((0, item, slot), (1, lost, None), (2, None, open_)):
+        here = TaskContext.get().partitionId()
+
+        def say(kind: int, i: np.ndarray | None, s: np.ndarray | None) -> pa.RecordBatch:
             n = len(i) if i is not None else len(s)
-            blank = np.full(n, none)
-            cols = [np.full(n, kind), np.full(n, here), np.arange(n), *((col["id"][i], col["size"][i]) if i is not None else (blank, blank)), *((col["id"][s], col["slot"][s], col["gap"][s]) if s is not None else (blank, blank, blank))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            none = pa.nulls(n, pa.int64())
+            cols = [np.full(n, kind), np.full(n, here), np.arange(n), *((col["id"][i], col["size"][i]) if i is not None else (none, none)), *((col["id"][s], col["slot"][s], col["gap"][s]) if s is not None else (none, none, none))]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
+
+        yield say(0, item, slot)
+        yield say(1, lost, None)
+        yield say(2, None, open_)
+        # A range's summary: how many pieces got a slot, how many are left and their ids, how many slots are open.
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (3, here, len(item), len(lost), int(col["size"][lost].sum()), len(open_), 0, 0)], names)
 
     swept = scratch.table(ranged.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "swept")
-    counts: dict[int, list[int]] = {}
-    for r in swept.groupBy("range", "kind").count().collect():
-        counts.setdefault(r["range"], [0, 0, 0])[r["kind"]] = r["count"]
-    segments = across([(p, counts[p][1], counts[p][2]) for p in sorted(counts)])
-    own = swept.where("kind = 0").select("item", "length", "seq", "slot", "gap")
-    found = sum(c[0] for c in counts.values()) + sum(s[4] for s in segments)
-    lost = swept.where("kind = 1").select("range", "k", "item", "length")
+    ranges = sorted(swept.where("kind = 3").collect(), key=lambda r: r["range"])
+    segments = across([(r["range"], r["item"], r["seq"]) for r in ranges])
+    found = sum(r["k"] for r in ranges) + sum(s[4] for s in segments)
+    columns = ["item", "length", "seq", "slot", "gap"]
+    own, lost, open_ = swept.where("kind = 0"), swept.where("kind = 1").select("range", "k", "item", "length"), swept.where("kind = 2")
     if not segments:
-        return own, lost.select("item", "length"), found
+        return own.union(open_).select(*columns), lost.select("item", "length"), found, sum(r["length"] for r in ranges)
     # A pair's key: its segment and its place there. There are fewer segments than twice the ranges.
     seg = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(segments)], "seg long, from long, top long, to long, low long, n long"))
     inside = (F.col("range") == F.col("to")) & (F.col("k") >= F.col("low")) & (F.col("k") < F.col("low") + F.col("n"))
+    taken = (F.col("range") == F.col("from")) & (F.col("k") <= F.col("top")) & (F.col("k") > F.col("top") - F.col("n"))
     got = lost.join(seg, inside).select("seg", (F.col("k") - F.col("low")).alias("nth"), "item", "length")
-    open_ = swept.where("kind = 2").join(seg, (F.col("range") == F.col("from")) & (F.col("k") <= F.col("top")) & (F.col("k") > F.col("top") - F.col("n"))).select("seg", (F.col("top") - F.col("k")).alias("nth"), "seq", "slot", "gap")
-    return own.union(got.join(open_, ["seg", "nth"]).select("item", "length", "seq", "slot", "gap")), lost.join(seg, inside, "left_anti").select("item", "length"), found
+    held = open_.select("range", "k", "seq", "slot", "gap").join(seg, taken, "left").select("seg", (F.col("top") - F.col("k")).alias("nth"), "seq", "slot", "gap")
+    return own.select(*columns).union(held.join(got, ["seg", "nth"], "left").select(*columns)), lost.join(seg, inside, "left_anti").select("item", "length"), found, None
 
 
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
@@ -236,42 +242,42 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
         bands.append((lo := hi // (BAND if hi > capacity // 16 else SHORT_BAND), hi))
         hi = lo
     band_of = functools.reduce(lambda c, b: F.when(F.col("length") > b[0], b[0]).otherwise(c), sorted([*bands, (half, capacity)]), F.lit(0))
-    held = {r["lo"]: (r["n"], r["all"]) for r in rows.groupBy(band_of.alias("lo")).agg(F.count("*").alias("n"), F.sum("length").alias("all")).collect()}
-    n_alone = held.get(half, (0, 0))[0]
-    gaps = scratch.table(rows.where((F.col("length") > half) & (F.col("length") < capacity)).select(F.col("item").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")), "gaps")
-    n_gaps, opened, placed = gaps.count(), 0, []
+    held = {r["lo"]: r["count"] for r in rows.groupBy(band_of.alias("lo")).count().collect()}
+    n_alone = held.get(half, 0)
+    gaps = rows.where((F.col("length") > half) & (F.col("length") < capacity)).select(F.col("item").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))
+    opened, placed = 0, []
     for lo, hi in bands:
         if lo not in held:
             continue
-        n, words = held[lo]
+        n = held[lo]
         band, short = rows.where((F.col("length") > lo) & (F.col("length") <= hi)).select("item", "length"), False
         while n:
             # Slots of the band's full length where a gap has room for them, else one of the gap's own size.
             many = F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("long")
             slots = gaps.where(F.col("gap") > lo).select("seq", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("slot"), F.least("gap", F.lit(hi)).cast("long").alias("size"), "gap")
-            found, left, got = sweep(slots, band, n + n_gaps * max(1, capacity // hi // 4), scratch) if n_gaps else (None, band, 0)
+            found, left, got, left_words = sweep(slots, band, n + (n_alone + opened) * max(1, capacity // hi // 4), scratch)
             if got:
-                before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-                laid = found.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0)))
-                laid = scratch.table(laid.select("item", "length", "seq", "offset"), "laid")
-                placed.append(laid)
-                used = laid.groupBy("seq").agg(F.sum("length").alias("used"))
-                gaps = scratch.table(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("used", F.lit(0)).alias("used")).where("gap > 0 or used > 0"), "gaps")
-                n_gaps, laid_words = gaps.agg(F.count_if(F.col("gap") > 0), F.sum("used")).first()
-                gaps = gaps.where("gap > 0").select("seq", "gap")
-                words -= laid_words
+                # One shuffle by sequence: where its pieces begin, and the gap that they leave, which its first slot's row carries on.
+                by_seq = Window.partitionBy("seq").orderBy("slot")
+                used = F.coalesce("length", F.lit(0))
+                start = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum(used).over(by_seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                rest = F.col("gap") - F.sum(used).over(by_seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                laid = scratch.table(found.select("item", "length", "seq", "slot", start.alias("offset"), rest.alias("rest")), "round")
+                placed.append(laid.where("item is not null").select("item", "seq", "offset"))
+                gaps = laid.where("slot = 0 and rest > 0").select("seq", F.col("rest").alias("gap")).union(gaps.where(F.col("gap") <= lo))
                 n, band = n - got, left
             if n and got < n:
                 # Little room is left for this band: open as many sequences as its ids fill; if that was not enough, or is about the same, as many as surely take the rest.
+                words = left_words if left_words is not None else left.agg(F.sum("length")).first()[0]
                 sure = -(-n // (capacity // hi))
                 more = sure if short or 1000 * sure < n_alone + opened else max(1, -(-words // capacity))
                 short = True
-                gaps = gaps.union(spark.range(opened, opened + more).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
-                opened, n_gaps = opened + more, n_gaps + more
+                gaps = gaps.union(spark.range(opened, opened + more, 1, 1 + more // RANGE_ROWS).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+                opened += more
     alone = rows.where(F.col("length") > half).select("row", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not placed:
         return alone.select("row.*", "sequence_id", "offset")
-    laid = functools.reduce(DataFrame.union, placed).select("item", "seq", "offset")
+    laid = functools.reduce(DataFrame.union, placed)
     shared = rows.where(F.col("length") <= half).join(laid, "item").select("row", F.col("seq").alias("sequence_id"), "offset")
     return alone.union(shared).select("row.*", "sequence_id", "offset")
 
