@@ -266,8 +266,9 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
                 placed.append(laid.where("item is not null").select("item", "seq", "offset"))
                 gaps = laid.where("slot = 0 and rest > 0").select("seq", F.col("rest").alias("gap")).union(gaps.where(F.col("gap") <= lo))
                 n, band = n - got, left
-            if n and got < n:
-                # Little room is left for this band: open as many sequences as its ids fill; if that was not enough, or is about the same, as many as surely take the rest.
+            if n:
+                # Open as many sequences as the ids left fill; if that was not enough, or is about the same, as many as surely take the rest. Those that
+                # nothing needs are the last to be taken, also by shorter bands, and are none if nothing is ever put there.
                 words = left_words if left_words is not None else left.agg(F.sum("length")).first()[0]
                 sure = -(-n // (capacity // hi))
                 more = sure if short or 1000 * sure < n_alone + opened else max(1, -(-words // capacity))
