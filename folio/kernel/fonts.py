@@ -13,10 +13,61 @@ from .syntax import File, Keyword, Parser
 from .values import Name, Stream, number
 
 # Glyph names of signs, whose names follow no rule.
-_SIGNS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde quoteright quoteleft exclamdown cent sterling currency yen brokenbar section dieresis copyright ordfeminine guillemotleft logicalnot registered macron degree plusminus acute mu paragraph periodcentered cedilla ordmasculine guillemotright onequarter onehalf threequarters questiondown multiply divide quotesinglbase quotedblbase quotedblleft quotedblright ellipsis dagger daggerdbl bullet endash emdash perthousand guilsinglleft guilsinglright fraction florin trademark fi fl Euro minus dotlessi AE ae OE oe Oslash oslash germandbls Eth eth Thorn thorn Lslash lslash circumflex tilde breve dotaccent ring hungarumlaut ogonek caron infinity notequal lessequal greaterequal partialdiff summation product pi integral Omega radical approxequal Delta lozenge ff ffi ffl nbspace".split(), " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~’‘¡¢£¤¥¦§¨©ª«¬®¯°±´µ¶·¸º»¼½¾¿×÷‚„“”…†‡•–—‰‹›⁄ƒ™ﬁﬂ€−ıÆæŒœØøßÐðÞþŁłˆ˜˘˙˚˝˛ˇ∞≠≤≥∂∑∏π∫Ω√≈∆◊ﬀﬃﬄ ", strict=True))
+_SIGNS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde quoteright quoteleft exclamdown cent sterling currency yen brokenbar section dieresis copyright ordfeminine guillemotleft logicalnot registered macron degree plusminus acute mu paragraph periodcentered cedilla ordmasculine guillemotright onequarter onehalf threequarters questiondown multiply divide quotesinglbase quotedblbase quotedblleft quotedblright ellipsis dagger daggerdbl bullet endash emdash perthousand guilsinglleft guilsinglright fraction florin trademark fi fl Euro minus dotlessi AE ae OE oe Oslash oslash germandbls Eth eth Thorn thorn Lslash lslash circumflex tilde breve dotaccent ring hungarumlaut ogonek caron infinity notequal lessequal greaterequal partialdiff summation product pi integral radical approxequal lozenge ff ffi ffl nbspace".split(), " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~’‘¡¢£¤¥¦§¨©ª«¬®¯°±´µ¶·¸º»¼½¾¿×÷‚„“”…†‡•–—‰‹›⁄ƒ™ﬁﬂ€\u00adıÆæŒœØøßÐðÞþŁłˆ˜˘˙˚˝˛ˇ∞≠≤≥∂∑∏π∫√≈◊ﬀﬃﬄ\u00a0", strict=True))
+# Fixed values of the public glyph list: mathematics and fractions; arrows and shapes; other marks and letters.
+_SIGNS |= dict(zip("angle angleleft angleright asteriskmath circlemultiply circleplus congruent dotmath element notelement suchthat emptyset equivalence existential universal gradient intersection union logicaland logicalor notsubset orthogonal perpendicular propersubset propersuperset proportional reflexsubset reflexsuperset revlogicalnot similar therefore integraltp integralbt aleph Ifraktur Rfraktur weierstrass estimated prescription oneeighth threeeighths fiveeighths seveneighths onethird twothirds".split(), "\u2220\u2329\u232A\u2217\u2297\u2295\u2245\u22C5\u2208\u2209\u220B\u2205\u2261\u2203\u2200\u2207\u2229\u222A\u2227\u2228\u2284\u221F\u22A5\u2282\u2283\u221D\u2286\u2287\u2310\u223C\u2234\u2320\u2321\u2135\u2111\u211C\u2118\u212E\u211E\u215B\u215C\u215D\u215E\u2153\u2154", strict=True))
+_SIGNS |= dict(zip("arrowleft arrowup arrowright arrowdown arrowboth arrowupdn arrowupdnbse carriagereturn arrowdblleft arrowdblup arrowdblright arrowdbldown arrowdblboth house upblock dnblock block lfblock rtblock ltshade shade dkshade filledbox H22073 H18543 H18551 filledrect triagup triagrt triagdn triaglf circle H18533 invbullet invcircle openbullet smileface invsmileface sun female male spade club heart diamond musicalnote musicalnotedbl".split(), "\u2190\u2191\u2192\u2193\u2194\u2195\u21A8\u21B5\u21D0\u21D1\u21D2\u21D3\u21D4\u2302\u2580\u2584\u2588\u258C\u2590\u2591\u2592\u2593\u25A0\u25A1\u25AA\u25AB\u25AC\u25B2\u25BA\u25BC\u25C4\u25CB\u25CF\u25D8\u25D9\u25E6\u263A\u263B\u263C\u2640\u2642\u2660\u2663\u2665\u2666\u266A\u266B", strict=True))
+_SIGNS |= dict(zip("figuredash exclamdbl quotereversed onedotenleader twodotenleader minute second underscoredbl colonmonetary franc lira peseta dong gravecomb acutecomb tildecomb hookabovecomb dotbelowcomb tonos dieresistonos anoteleia Dcroat dcroat Hbar hbar IJ ij kgreenlandic Ldot ldot napostrophe Eng eng Tbar tbar longs theta1 Upsilon1 phi1 omega1 sigma1".split(), "\u2012\u203C\u201B\u2024\u2025\u2032\u2033\u2017\u20A1\u20A3\u20A4\u20A7\u20AB\u0300\u0301\u0303\u0309\u0323\u0384\u0385\u0387\u0110\u0111\u0126\u0127\u0132\u0133\u0138\u013F\u0140\u0149\u014A\u014B\u0166\u0167\u017F\u03D1\u03D2\u03D5\u03D6\u03C2", strict=True))
+# Names that stand one after the other in the private use area, from these code points.
+_PRIVATE = {
+    0xF6BE: "dotlessj LL ll",
+    0xF6C3: "commaaccent",
+    0xF6C9: "Acute Caron Dieresis DieresisAcute DieresisGrave Grave Hungarumlaut Macron cyrBreve cyrFlex dblGrave cyrbreve cyrflex dblgrave dieresisacute dieresisgrave copyrightserif registerserif trademarkserif onefitted rupiah threequartersemdash",
+    0xF6DF: "centinferior centsuperior commainferior commasuperior dollarinferior dollarsuperior hypheninferior hyphensuperior periodinferior periodsuperior asuperior bsuperior dsuperior esuperior isuperior lsuperior msuperior osuperior rsuperior ssuperior tsuperior",
+    0xF6F4: "Brevesmall Caronsmall Circumflexsmall Dotaccentsmall Hungarumlautsmall Lslashsmall OEsmall Ogoneksmall Ringsmall Scaronsmall Tildesmall Zcaronsmall",
+    0xF8E5: "radicalex arrowvertex arrowhorizex registersans copyrightsans trademarksans parenlefttp parenleftex parenleftbt bracketlefttp bracketleftex bracketleftbt bracelefttp braceleftmid braceleftbt braceex integralex parenrighttp parenrightex parenrightbt bracketrighttp bracketrightex bracketrightbt bracerighttp bracerightmid bracerightbt",
+}
+_SIGNS |= {name: chr(first + i) for first, names in _PRIVATE.items() for i, name in enumerate(names.split())}
+# Numbered names of box drawing, SF010000 and so on with two gaps.
+_BOXES = dict(zip([*range(1, 12), *range(19, 29), *range(36, 55)], "\u250C\u2514\u2510\u2518\u253C\u252C\u2534\u251C\u2524\u2500\u2502\u2561\u2562\u2556\u2555\u2563\u2551\u2557\u255D\u255C\u255B\u255E\u255F\u255A\u2554\u2569\u2566\u2560\u2550\u256C\u2567\u2568\u2564\u2565\u2559\u2558\u2552\u2553\u256B\u256A", strict=True))
+# Numbered names of Cyrillic, Arabic, Hebrew and others; first and last number of a run, its first code point.
+_NUMBERED = [
+    (208, 208, 0x2015), (299, 300, 0x200E), (301, 301, 0x200D),
+    (10017, 10022, 0x410), (10023, 10023, 0x401), (10024, 10049, 0x416), (10050, 10050, 0x490), (10051, 10061, 0x402), (10062, 10062, 0x40E), (10063, 10064, 0xF6C4), (10065, 10070, 0x430), (10071, 10071, 0x451),
+    (10072, 10097, 0x436), (10098, 10098, 0x491), (10099, 10109, 0x452), (10110, 10110, 0x45E), (10145, 10145, 0x40F), (10146, 10146, 0x462), (10147, 10147, 0x472), (10148, 10148, 0x474), (10192, 10192, 0xF6C6),
+    (10193, 10193, 0x45F), (10194, 10194, 0x463), (10195, 10195, 0x473), (10196, 10196, 0x475), (10831, 10832, 0xF6C7), (10846, 10846, 0x4D9),
+    (57381, 57381, 0x66A), (57388, 57388, 0x60C), (57392, 57401, 0x660), (57403, 57403, 0x61B), (57407, 57407, 0x61F), (57409, 57434, 0x621), (57440, 57446, 0x640), (57448, 57458, 0x648), (57470, 57470, 0x647),
+    (57505, 57505, 0x6A4), (57506, 57506, 0x67E), (57507, 57507, 0x686), (57508, 57508, 0x698), (57509, 57509, 0x6AF), (57511, 57511, 0x679), (57512, 57512, 0x688), (57513, 57513, 0x691), (57514, 57514, 0x6BA),
+    (57519, 57519, 0x6D2), (57534, 57534, 0x6D5), (57636, 57636, 0x20AA), (57645, 57645, 0x5BE), (57658, 57658, 0x5C3), (57664, 57690, 0x5D0), (57694, 57695, 0xFB2A), (57700, 57700, 0xFB4B), (57705, 57705, 0xFB1F),
+    (57716, 57718, 0x5F0), (57723, 57723, 0xFB35), (57793, 57795, 0x5B4), (57796, 57796, 0x5BB), (57797, 57797, 0x5B8), (57798, 57798, 0x5B7), (57799, 57799, 0x5B0), (57800, 57800, 0x5B2), (57801, 57801, 0x5B1),
+    (57802, 57802, 0x5B3), (57803, 57803, 0x5C2), (57804, 57804, 0x5C1), (57806, 57806, 0x5B9), (57807, 57807, 0x5BC), (57839, 57839, 0x5BD), (57841, 57841, 0x5BF), (57842, 57842, 0x5C0), (57929, 57929, 0x2BC),
+    (61248, 61248, 0x2105), (61289, 61289, 0x2113), (61352, 61352, 0x2116), (61573, 61575, 0x202C), (61664, 61664, 0x200C), (63167, 63167, 0x66D), (64937, 64937, 0x2BD),
+]
 _DIGITS = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789", strict=True))
-_ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "macron": "̄", "breve": "̆", "dotaccent": "̇", "dieresis": "̈", "ring": "̊", "hungarumlaut": "̋", "caron": "̌", "cedilla": "̧", "ogonek": "̨", "commaaccent": "̦"}
-_GREEK = "Alpha Beta Gamma Epsilon Zeta Eta Theta Iota Kappa Lambda Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi".split()
+_ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308", "ring": "\u030a", "hungarumlaut": "\u030b", "caron": "\u030c", "cedilla": "\u0327", "ogonek": "\u0328", "commaaccent": "\u0327", "horn": "\u031b", "tonos": "\u0301"}
+_GREEK = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi Omega".split()
+
+
+def _accented(base: str) -> int:
+    """A letter with one or two accents named after it. The comma under an S is Unicode's own, under other letters its cedilla."""
+    for accent, mark in _ACCENTS.items():
+        if base.endswith(accent) and (letter := code_point(base[: -len(accent)])) and unicodedata.category(chr(letter))[0] == "L":
+            if accent == "commaaccent" and chr(letter) in "Ss":
+                mark = "\u0326"
+            if len(c := unicodedata.normalize("NFC", chr(letter) + mark)) == 1:
+                return ord(c)
+    return 0
+
+
+def _variant(base: str) -> int:
+    """Small capitals and old-style figures, which stand in the private use area at their Latin-1 letter's place; raised and lowered figures and brackets."""
+    for tail in ("small", "oldstyle"):
+        if base.endswith(tail) and 0 < (point := code_point(base[: -len(tail)].lower())) < 256:
+            return 0xF700 + point
+    if m := re.fullmatch(r"(\w+?)(superior|inferior)", base):
+        said = {"parenleft": "LEFT PARENTHESIS", "parenright": "RIGHT PARENTHESIS", "n": "LATIN SMALL LETTER N"}.get(m[1], m[1].upper() if m[1] in _DIGITS else None)
+        return ord(unicodedata.lookup(f"{'SUPERSCRIPT' if m[2] == 'superior' else 'SUBSCRIPT'} {said}")) if said and (m[1] != "n" or m[2] == "superior") else 0
+    return 0
 
 
 @functools.lru_cache(1 << 14)
@@ -29,11 +80,14 @@ def code_point(glyph: str) -> int:
         return ord(_DIGITS[base])
     if len(base) == 1 and base.isascii() and base.isalpha():
         return ord(base)
-    if m := re.match(r"([A-Za-z])([a-z]+)$", base):
-        if m[2] in _ACCENTS and len(c := unicodedata.normalize("NFC", m[1] + _ACCENTS[m[2]])) == 1:
-            return ord(c)
     if base.capitalize() in _GREEK:
         return ord(unicodedata.lookup(f"GREEK {'CAPITAL' if base[0].isupper() else 'SMALL'} LETTER {'LAMDA' if base.lower() == 'lambda' else base.upper()}"))
+    if m := re.fullmatch(r"afii([0-9]{3,5})", base):
+        return next((to + int(m[1]) - lo for lo, hi, to in _NUMBERED if lo <= int(m[1]) <= hi), 0)
+    if m := re.fullmatch(r"SF([0-9]{2})0000", base):
+        return ord(_BOXES.get(int(m[1]), "\0"))
+    if 2 < len(base) < 30 and (point := _accented(base) or _variant(base)):
+        return point
     if m := re.match(r"uni([0-9A-Fa-f]{4})", base) or re.fullmatch(r"u([0-9A-Fa-f]{4,6})", base):
         v = int(m[1], 16)
         return v if v < 0x110000 and not 0xD800 <= v < 0xE000 else 0

@@ -165,6 +165,15 @@ def _encoded(kind: str):
                 res["Font"]["F2"] = b.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": {"Differences": [1, *(Name(glyph.get(c, c)) for c in name)]}})
 
             return S.pdf(b"BT /F2 12 Tf 72 720 Td <" + bytes(range(1, len(name) + 1)).hex().encode() + b"> Tj ET", more=more)
+        if kind == "glyph_rules":
+            k = r["n_nationkey"]
+            digit = "zero one two three four five six seven eight nine".split()[k % 10]
+
+            def more(b: Builder, res: dict) -> None:
+                named = (f"afii{10072 + k}", f"{chr(65 + k)}small", f"{digit}oldstyle", f"{digit}inferior", "Scommaaccent", "upsilondieresistonos")
+                res["Font"]["F2"] = b.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": {"Differences": [1, *map(Name, named)]}})
+
+            return S.pdf(b"BT /F2 12 Tf 72 720 Td <010203040506> Tj ET", more=more)
         if kind == "gaps":
             a, b = name[:3].encode(), name[3:].encode()
             return S.pdf(b"BT /F1 12 Tf 72 720 Td [(" + a + b") -20 (" + b + b") -900 (end)] TJ ET")
@@ -173,9 +182,11 @@ def _encoded(kind: str):
     return lambda spark, sf: D.page_text(S.files(_table(spark, sf, "nation"), make, "n_nationkey")).select("file_id", "page", "text")
 
 
-for _name, _kind, _tail in (("form_xobject", "form", ""), ("type0_cmap", "type0", ""), ("differences", "differences", ""), ("tj_gaps", "gaps", " || ' end'"), ("inline_image", "image", "")):
+for _name, _kind, _tail in (("form_xobject", "form", ""), ("type0_cmap", "type0", ""), ("differences", "differences", ""), ("glyph_rules", "glyph_rules", None), ("tj_gaps", "gaps", " || ' end'"), ("inline_image", "image", "")):
     QUERIES[_name] = _encoded(_kind)
     ORACLE_SQL[_name] = f"SELECT n_nationkey::BIGINT AS file_id, 1::INT AS page, n_name{_tail} AS text FROM nation"
+# Names that follow the rules of the public glyph list: Cyrillic by number, small capitals, old-style and lowered figures, accents.
+ORACLE_SQL["glyph_rules"] = "SELECT n_nationkey::BIGINT AS file_id, 1::INT AS page, chr((1078 + n_nationkey)::INT) || chr((63329 + n_nationkey)::INT) || chr((63280 + n_nationkey % 10)::INT) || chr((8320 + n_nationkey % 10)::INT) || chr(536) || chr(944) AS text FROM nation"
 
 
 @query("SELECT doc_id, text FROM documents")

@@ -68,6 +68,16 @@ def test_unmapped_codes_count():
 def test_glyph_names():
     assert [chr(code_point(n)) for n in ("Aring", "uni263A", "u1F600", "eacute.sc", "F", "space", "germandbls")] == ["Å", "☺", "😀", "é", "F", " ", "ß"]
     assert code_point("g123") == 0
+    # Of every rule some names, with the code points that the public glyph list gives.
+    listed = {
+        "AEacute": 0x1FC, "oslashacute": 0x1FF, "Aringacute": 0x1FA, "ohorn": 0x1A1, "Scommaaccent": 0x218, "tcommaaccent": 0x163, "Gcommaaccent": 0x122, "Idotaccent": 0x130, "dcroat": 0x111, "Alphatonos": 0x386, "iotadieresistonos": 0x390, "Upsilondieresis": 0x3AB,
+        "delta": 0x3B4, "Delta": 0x394, "omega": 0x3C9, "Omega": 0x3A9, "Mu": 0x39C, "mu": 0xB5, "lambda": 0x3BB, "sigma1": 0x3C2, "Asmall": 0xF761, "AEsmall": 0xF7E6, "Acutesmall": 0xF7B4, "Ydieresissmall": 0xF7FF, "Scaronsmall": 0xF6FD, "exclamdownsmall": 0xF7A1,
+        "nineoldstyle": 0xF739, "centoldstyle": 0xF7A2, "twosuperior": 0xB2, "zerosuperior": 0x2070, "sixinferior": 0x2086, "parenleftinferior": 0x208D, "nsuperior": 0x207F, "tsuperior": 0xF6F3, "bracerightbt": 0xF8FE, "threequartersemdash": 0xF6DE, "dblgrave": 0xF6D6,
+        "afii10017": 0x410, "afii10049": 0x42F, "afii10071": 0x451, "afii10097": 0x44F, "afii57434": 0x63A, "afii57690": 0x5EA, "afii00208": 0x2015, "afii299": 0x200E, "afii64937": 0x2BD, "SF010000": 0x250C, "SF280000": 0x255B, "SF540000": 0x256A,
+        "arrowdblright": 0x21D2, "musicalnotedbl": 0x266B, "seveneighths": 0x215E, "weierstrass": 0x2118, "hbar": 0x127, "minus": 0xAD,
+    }
+    assert {n: code_point(n) for n in listed} == listed
+    assert not any(map(code_point, ("afii10111", "SF120000", "small", "superior", "ninferior", "xyzacute", "a" * 200 + "acute")))
 
 
 def test_forms_are_bounded():
