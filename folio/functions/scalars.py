@@ -67,8 +67,10 @@ COLOURS = {"black": 0x000000, "white": 0xFFFFFF, "red": 0xFF0000, "green": 0x00F
 
 
 def rgb(colour: Column) -> Column:
-    """(r, g, b) from 0 to 1 of a colour name or #RRGGBB[AA]; null for none, transparent or unknown ones."""
+    """(r, g, b) from 0 to 1 of a colour name, gray0 to gray100 or #RRGGBB[AA]; null for none, transparent or unknown ones."""
     table = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
     low = F.lower(colour)
-    v = F.when(low.rlike("^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.conv(F.substring(low, 2, 6), 16, 10).cast("int")).otherwise(F.try_element_at(table, low))
+    # Shades are numbered in hundredths of white.
+    shade = F.floor(F.regexp_extract(low, "^gr[ae]y(100|[0-9]{1,2})$", 1).try_cast("int") * 2.55 + 0.5).cast("int")
+    v = F.when(low.rlike("^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.conv(F.substring(low, 2, 6), 16, 10).cast("int")).when(shade.isNotNull(), shade * 0x10101).otherwise(F.try_element_at(table, low))
     return F.when(v.isNotNull(), F.array(*[F.shiftright(v, s).bitwiseAND(255) / 255.0 for s in (16, 8, 0)]))

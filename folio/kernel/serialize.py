@@ -72,6 +72,10 @@ def serialize(v, encrypt=None) -> bytes:
 A4 = (0, 0, 595.28, 841.89)
 
 
+#: Times that can be written: from 1970 to the end of 3000, in seconds.
+TIMES = (0, 32535215999)
+
+
 class Builder:
     """A file being made. Objects are numbered as they are added; ``save`` gives the bytes."""
 
@@ -81,6 +85,8 @@ class Builder:
         self.version, self.media_box, self.deterministic = version, list(media_box), deterministic
         self.objects: list = [None, None]  # the catalog and the page tree
         self.pages: list[Ref] = []
+        if created is not None and not TIMES[0] <= created <= TIMES[1]:
+            raise InvalidArgument("created must be a time from 1970 to the end of 3000", arg="created")
         self.info: dict = {} if created is None else {"CreationDate": Hexless(date_string(created))}
         self.fonts: dict[str, Ref] = {}
         self.secret = None

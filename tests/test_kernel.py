@@ -152,6 +152,10 @@ def test_text_strings_and_dates():
     assert text_of("é".encode()) == "é" and text_of(b"\xfe\xff\0A\0B") == "AB"
     assert seconds(b"D:20240702030405+02'00") == 1719882245
     assert seconds(b"19700101000000Z") is None
+    assert Builder(created=32535215999).info and Builder(created=0).info
+    for wrong in (-1, 32535216000):
+        with pytest.raises(InvalidArgument):
+            Builder(created=wrong)
 
 
 @pytest.mark.parametrize("method", ["aes128", "rc4128"])

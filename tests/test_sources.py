@@ -101,8 +101,9 @@ def test_password_by_option(spark):
 
 
 def test_scalars(spark):
-    row = spark.range(1).select(scalars.text_width(F.lit("Hello"), "Helvetica", 10).alias("w"), scalars.rgb(F.lit("#ff0000")).alias("c"), scalars.rgb(F.lit("none")).alias("n"), scalars.clamp_int(F.lit(1e12)).alias("i"), scalars.rotation(F.lit(-90.0)).alias("r")).collect()[0]
+    row = spark.range(1).select(scalars.text_width(F.lit("Hello"), "Helvetica", 10).alias("w"), scalars.rgb(F.lit("#ff0000")).alias("c"), scalars.rgb(F.lit("none")).alias("n"), *(scalars.rgb(F.lit(c)).alias(c) for c in ("gray0", "grey51", "gray100", "gray101")), scalars.clamp_int(F.lit(1e12)).alias("i"), scalars.rotation(F.lit(-90.0)).alias("r")).collect()[0]
     assert row["w"] == pytest.approx(22.78) and row["c"] == [1.0, 0.0, 0.0] and row["n"] is None and row["i"] == 2147483647 and row["r"] == 270
+    assert [row[c] and round(row[c][0] * 255) for c in ("gray0", "grey51", "gray100", "gray101")] == [0, 130, 255, None]
 
 
 def test_engine_info_and_nested_outline(spark):
