@@ -11,6 +11,7 @@ from .media import op6_media
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
 from .pii import op10_pii
+from .turn_repair import OP13_SQL, op13_conversation_repair
 from .vector_dedup import op4_embedding_dedup
 
 QUERIES = {
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op7_mixing": OP7_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
