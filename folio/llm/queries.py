@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .html_text import op9_html_text
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
