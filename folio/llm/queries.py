@@ -8,6 +8,7 @@ from .html_text import op9_html_text
 from .jaccard_join import op5_ngram_jaccard
 from .language_id import op8_language_id
 from .license_scan import op3_license_scan
+from .lm_score import op11_lm_score
 from .media import op6_media
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op2_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op11_lm_score": op11_lm_score,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
