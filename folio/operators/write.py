@@ -109,25 +109,11 @@ def write(ops: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
-def save(files: DataFrame, path: str) -> None:
-    """Writes (file_id, content) as one file each under a folder that executors reach, each moved into place when complete."""
-    root = path.rstrip("/")
+def save(files: DataFrame, path: str, **options) -> None:
+    """Writes (file_id, content) as one file each under a folder that executors reach, all or none: ``sources.sink.save``."""
+    from ..sources import sink
 
-    def put(it) -> None:
-        import uuid
-        from urllib.parse import urlsplit
-
-        from pyarrow import fs
-
-        store, at = (fs.LocalFileSystem(), urlsplit(root).path) if urlsplit(root).scheme in ("", "file") else fs.FileSystem.from_uri(root)
-        store.create_dir(at, recursive=True)
-        for row in it:
-            part = f"{at}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(part) as out:
-                out.write(bytes(row["content"]))
-            store.move(part, f"{at}/{row['file_id']}.pdf")
-
-    files.select("file_id", "content").foreachPartition(put)
+    sink.save(files, path, **options)
 
 
 # --- assembly --------------------------------------------------------------------------------------------------------------------

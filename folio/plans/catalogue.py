@@ -13,6 +13,9 @@ from ..kernel.values import Name, Stream
 from ..limits import Limits
 from ..operators import documents as D
 from ..operators import write as W
+from ..sources import pdf as pdf_source
+from ..sources import sink
+from ..sources.store import shared_folder
 from . import synth as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,6 +520,19 @@ def deterministic_id(spark, sf):
     return a.join(b.withColumnRenamed("content", "again"), "file_id").select("file_id", (F.col("content") == F.col("again")).alias("same"), F.length(W.deterministic_id(F.col("content"))).alias("digits"))
 
 
+@query("SELECT c_mktsegment || '%2F' || c_custkey || '.pdf' AS name, c_name AS text, true AS committed FROM customer")
+def sink_roundtrip(spark, sf):
+    """Every customer's file written all or none under an id with a slash, read back from the folder, and held against the job's lists."""
+    c = _table(spark, sf, "customer")
+    files = S.files(c.select("c_custkey", "c_name"), lambda r: S.pdf(S.shown(r["c_name"])), "c_custkey")
+    named = files.join(c.select(F.col("c_custkey").cast("long").alias("file_id"), "c_mktsegment"), "file_id").select(F.concat_ws("/", "c_mktsegment", F.col("file_id").cast("string")).alias("file_id"), "content")
+    at = shared_folder(spark, "saved")
+    W.save(named, at, job="customers")
+    pdf_source.register(spark)
+    read = spark.read.format("pdf").option("table", "page_text").load(at).select(F.substring_index("file_id", "/", -1).alias("name"), "text")
+    return read.join(sink.committed(spark, at).select("name", (F.col("size") > 0).alias("committed")), "name", "left")
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {w}::DOUBLE, {h}::DOUBLE)" for n, w, h in (("a0", 2383.94, 3370.39), ("a4", 595.28, 841.89), ("a5", 419.53, 595.28), ("b5", 498.9, 708.66), ("letter", 612, 792))) + ") t(name, width, height)")
 def paper_sizes(spark, sf):
     return scalars.paper(spark).where(F.col("name").isin("a0", "a4", "a5", "b5", "letter"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,8 @@ from pyspark.sql.types import StructType
 from ..errors import InvalidArgument, LimitError, status
 from ..limits import Limits
 from ..operators.scan import SCHEMAS, as_batches, file_rows
+from .sink import PdfStreamWriter, PdfWriter
+from .store import store_of
 
 
 def files(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str = "*.pdf") -> DataFrame:
@@ -26,6 +27,10 @@ def files(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str =
     return small.unionByName(large)
 
 
+#: Files of a partition at most: opening millions of tiny ones takes longer than reading them.
+FILES = 10_000
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(None)
@@ -50,24 +55,20 @@ class PdfReader(DataSourceReader):
         """Files dealt so that partitions hold like numbers of bytes."""
         from pyarrow import fs
 
-        path = self.options["path"]
-        store, root = (fs.LocalFileSystem(), urlsplit(path).path) if urlsplit(path).scheme in ("", "file") else fs.FileSystem.from_uri(path)
+        store, root = store_of(self.options["path"])
         info = store.get_file_info(root)
-        found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.lower().endswith(".pdf")]
+        found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.lower().endswith(".pdf") and not any(p[:1] in "._" for p in f.path[len(root) :].strip("/").split("/"))]
         out, held, size = [], [], 0
         for f in sorted(found, key=lambda f: f.path):
             held.append(f.path)
             size += f.size
-            if size >= 32 << 20:
+            if size >= 32 << 20 or len(held) >= FILES:
                 out.append(_Files(held))
                 held, size = [], 0
         return [*out, _Files(held)] if held or not out else out
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        path = self.options["path"]
-        store = fs.LocalFileSystem() if urlsplit(path).scheme in ("", "file") else fs.FileSystem.from_uri(path)[0]
+        store, _ = store_of(self.options["path"])
         limits = Limits(**{k: float(self.options[k]) for k in ("max_size", "max_objects", "max_stream", "max_depth", "max_pages") if k in self.options})
         arrow = to_arrow_schema(self.schema)
         options = {"pages": self.pages} if self.pages and self.table in ("tokens", "page_text", "glyphs", "words", "pages", "images") else {}
@@ -88,7 +89,7 @@ class PdfReader(DataSourceReader):
 
 
 class PdfDataSource(DataSource):
-    """format("pdf"): option ``table`` names what to read; others are ``pages``, ``password``, ``mode`` and the limits."""
+    """format("pdf"). Reading: option ``table`` names what to read; others are ``pages``, ``password``, ``mode`` and the limits. Writing (file_id, content): see ``sink``."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,6 +104,17 @@ class PdfDataSource(DataSource):
     def reader(self, schema: StructType) -> PdfReader:
         return PdfReader(schema, self.options)
 
+    def _held(self, schema: StructType) -> dict:
+        if not {"file_id", "content"} <= set(schema.names):
+            raise InvalidArgument("files are written from the columns file_id and content", arg="schema")
+        return dict(self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> PdfWriter:
+        return PdfWriter(self._held(schema), overwrite)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> PdfStreamWriter:  # noqa: N802
+        return PdfStreamWriter(self._held(schema), overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """format("pdf") and the table functions pdf_tokens(content), pdf_words(content), pdf_page_text(content) and so on, for LATERAL joins."""
