@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Iterator
 
 from ..errors import LimitError, ParseError, PdfError, UnsupportedInput, status
 from ..layout import reading_text, words
+from ..limits import COPY_DEPTH
 from .content import Budget, Walk, page_content, tokens
 from .crypt import PERMISSIONS
+from .serialize import A4, page_entries, serialize, tree_nodes
 from .syntax import File
 from .values import Name, Ref, Stream, name_of, number, seconds, text_of, to_json, utf16
 
@@ -301,3 +304,52 @@ def attachments(f: File) -> Iterator[dict]:
                 yield row
         kids = f.get(d.get("Kids"))
         todo += [(x, depth + 1) for x in reversed(kids)] if isinstance(kids, list) else []
+
+
+def bodies(f: File) -> Iterator[dict]:
+    """Objects ready to be written into another file, references left open: a value's bytes are pieces with a reference between each two (refs; None is the new page tree). links: the references in the order of the value's entries.
+
+    kind: page (with its inherited entries), object, or tree for nodes of the page tree, which are never written.
+    """
+    token = os.urandom(16).hex().encode()
+
+    def row(v, **more) -> dict:
+        refs: list[int | None] = []
+        links: list[int] = []
+
+        def open_(r: Ref) -> bytes:
+            refs.append(None if r.generation < 0 else r.number)
+            return token
+
+        def linked(x, depth: int = 0) -> None:
+            if depth > COPY_DEPTH:
+                raise LimitError("copy_depth", COPY_DEPTH)
+            if isinstance(x, Ref):
+                if x.generation >= 0:
+                    links.append(x.number)
+            elif isinstance(x, (dict, list)):
+                for y in x.values() if isinstance(x, dict) else x:
+                    linked(y, depth + 1)
+
+        data = None
+        if isinstance(v, Stream):
+            data = f.stored(v)
+            v = {k: x for k, x in v.dict.items() if k != "Length"} | {"Length": len(data)}
+        linked(v)
+        return {"pieces": serialize(v, None, open_).split(token), "refs": refs, "links": links, "stream": data, "status": status()} | more
+
+    pages, tree = f.pages(), tree_nodes(f)
+    for i, (n, page) in enumerate(pages, 1):
+        d = page_entries(f, page) | {"Type": Name("Page"), "Parent": Ref(2, -1)}
+        d.setdefault("MediaBox", list(A4))
+        yield row(d, kind="page", page=i, number=n)
+    numbers = {n for n, _ in pages}
+    for n in sorted(tree):
+        yield {"kind": "tree", "number": n, "status": status()}
+    for n in sorted(f.entries):
+        if n in tree or n in numbers:
+            continue
+        try:
+            yield row(f.object(n), kind="object", number=n)
+        except PdfError as e:
+            yield {"kind": "object", "number": n, "status": status(e)}

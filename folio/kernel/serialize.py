@@ -40,7 +40,8 @@ def date_string(seconds: int) -> bytes:
     return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(seconds))).strftime("D:%Y%m%d%H%M%SZ").encode()
 
 
-def serialize(v, encrypt=None) -> bytes:
+def serialize(v, encrypt=None, ref=None) -> bytes:
+    """A value's bytes. encrypt: applied to strings; ref: gives the bytes of a reference."""
     if v is None:
         return b"null"
     if isinstance(v, bool):
@@ -52,7 +53,7 @@ def serialize(v, encrypt=None) -> bytes:
     if isinstance(v, Name):
         return b"/" + _NAME_ODD.sub(lambda m: b"#%02X" % m[0][0], v.encode("utf-8", "surrogateescape"))
     if isinstance(v, Ref):
-        return b"%d %d R" % v
+        return ref(v) if ref else b"%d %d R" % v
     if isinstance(v, str):
         v = text_string(v)
     if isinstance(v, dt.datetime):
@@ -63,9 +64,9 @@ def serialize(v, encrypt=None) -> bytes:
             return b"<" + data.hex().upper().encode() + b">"
         return b"(" + re.sub(rb"[()\\]", rb"\\\g<0>", data).replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")"
     if isinstance(v, (list, tuple)):
-        return b"[" + b" ".join(serialize(x, encrypt) for x in v) + b"]"
+        return b"[" + b" ".join(serialize(x, encrypt, ref) for x in v) + b"]"
     if isinstance(v, dict):
-        return b"<<" + b"".join(serialize(Name(k)) + b" " + serialize(x, encrypt) for k, x in sorted(v.items())) + b">>"
+        return b"<<" + b"".join(serialize(Name(k)) + b" " + serialize(x, encrypt, ref) for k, x in sorted(v.items())) + b">>"
     raise WriteError(f"no such value: {type(v).__name__}")
 
 
@@ -231,6 +232,27 @@ def content_of(ops: list[tuple[str, list[float], str | None]], fonts: dict[str,
 
 # --- copying ---------------------------------------------------------------------------------------------------------------------
 
+def tree_nodes(f: File) -> set[int]:
+    """Numbers of the page tree's nodes."""
+    tree, todo = set(), [f.root.get("Pages")]
+    while todo:
+        v = todo.pop()
+        d = f.get(v)
+        if isinstance(d, dict) and isinstance(v, Ref) and v.number not in tree and isinstance(f.get(d.get("Kids")), list):
+            tree.add(v.number)
+            todo += f.get(d["Kids"])
+    return tree
+
+
+def page_entries(f: File, page: dict) -> dict:
+    """A page's own entries and those it inherits, without its parent."""
+    d = {k: v for k, v in page.items() if k != "Parent"}
+    for key in ("Resources", "MediaBox", "CropBox", "Rotate"):
+        if key not in d and (v := f.inherited(page, key)) is not None:
+            d[key] = v.dict if isinstance(v, Stream) else v
+    return d
+
+
 def copy_pages(b: Builder, f: File, wanted: list[int], rotate: int = 0) -> None:
     """Appends pages (from 1, in this order, repeats allowed) with everything they use.
 
@@ -247,13 +269,7 @@ def copy_pages(b: Builder, f: File, wanted: list[int], rotate: int = 0) -> None:
         if target.get(n) is None:
             target[n] = ref
     # Page tree nodes are never copied.
-    tree, todo = set(), [f.root.get("Pages")]
-    while todo:
-        v = todo.pop()
-        d = f.get(v)
-        if isinstance(d, dict) and isinstance(v, Ref) and v.number not in tree and isinstance(f.get(d.get("Kids")), list):
-            tree.add(v.number)
-            todo += f.get(d["Kids"])
+    tree = tree_nodes(f)
     queue: list[tuple[int, Ref]] = []
 
     def moved(v, depth: int):
@@ -275,11 +291,7 @@ def copy_pages(b: Builder, f: File, wanted: list[int], rotate: int = 0) -> None:
     chain = 0
     for p, ref in zip(wanted, refs, strict=True):
         _, page = pages[p - 1]
-        d = {k: v for k, v in page.items() if k != "Parent"}
-        for key in ("Resources", "MediaBox", "CropBox", "Rotate"):
-            if key not in d and (v := f.inherited(page, key)) is not None:
-                d[key] = v.dict if isinstance(v, Stream) else v
-        new = moved(d, 0) | {"Type": Name("Page"), "Parent": Ref(2, 0)}
+        new = moved(page_entries(f, page), 0) | {"Type": Name("Page"), "Parent": Ref(2, 0)}
         new.setdefault("MediaBox", b.media_box)
         if rotate:
             new["Rotate"] = (int(round((new.get("Rotate") or 0) / 90)) * 90 + rotate) % 360

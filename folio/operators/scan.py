@@ -36,9 +36,10 @@ SCHEMAS = {
     "images": f"page int, object bigint, name string, width int, height int, bits int, color_space string, filter string, status {STATUS}",
     "image_data": f"object bigint, width int, height int, data binary, decoded boolean, pixels array<int>, status {STATUS}",
     "toc": f"item int, parent int, depth int, ord int, title string, is_open boolean, status {STATUS}",
+    "bodies": f"kind string, page int, number bigint, pieces array<binary>, refs array<bigint>, links array<bigint>, stream binary, status {STATUS}",
     "attachments": f"ord int, name string, mime string, description string, created timestamp, modified timestamp, data binary, status {STATUS}",
 }
-KERNELS: dict[str, Callable[..., Iterator[dict]]] = {"objects": rows.objects, "streams": rows.decoded, "meta": rows.meta, "info": rows.info, "pages": rows.pages, "tokens": rows.page_tokens, "page_text": rows.page_text, "glyphs": rows.glyphs, "words": rows.page_words, "fonts": rows.fonts, "images": rows.images, "image_data": rows.image_data, "toc": rows.toc, "attachments": rows.attachments}
+KERNELS: dict[str, Callable[..., Iterator[dict]]] = {"objects": rows.objects, "streams": rows.decoded, "meta": rows.meta, "info": rows.info, "pages": rows.pages, "tokens": rows.page_tokens, "page_text": rows.page_text, "glyphs": rows.glyphs, "words": rows.page_words, "fonts": rows.fonts, "images": rows.images, "image_data": rows.image_data, "toc": rows.toc, "attachments": rows.attachments, "bodies": rows.bodies}
 
 
 def file_rows(table: str, content: bytes | None, limits: Limits, passwords: tuple[str, ...], mode: str, options: dict) -> Iterator[dict]:

@@ -12,6 +12,8 @@ from ..kernel.serialize import Builder, date_string
 from ..kernel.values import Name, Stream
 from ..limits import Limits
 from ..operators import documents as D
+from ..operators import graph as G
+from ..operators import native as N
 from ..operators import write as W
 from ..sources import pdf as pdf_source
 from ..sources import sink
@@ -243,6 +245,54 @@ def pagesize(spark, sf):
     return D.pagesize(_sized("plain")(spark, sf))
 
 
+def _deep_tree(r: dict) -> bytes:
+    """Three pages below two levels of the tree: one inherits all, one has a box of its own and a crop box by reference, one stands above the others' node."""
+    n, k = r["p_size"], r["p_partkey"]
+    b = Builder("1.4", S.LETTER)
+    top, low, *leaves = (b.reserve() for _ in range(5))
+    crop = b.add([n, 1, 0, b.add(2 * n)])
+    page = {"Type": Name("Page"), "Contents": b.stream(b"")}
+    b.put(leaves[0], page | {"Parent": low})
+    b.put(leaves[1], page | {"Parent": low, "MediaBox": [5, 5, 5 + n, 6 + n], "CropBox": crop})
+    b.put(leaves[2], page | {"Parent": top, "Rotate": None})
+    b.put(low, {"Type": Name("Pages"), "Parent": top, "Kids": leaves[:2], "Count": 2, "Rotate": 90 * (k % 4)})
+    b.put(top, {"Type": Name("Pages"), "Kids": b.add([leaves[2], low, low]), "Count": 3, "MediaBox": [0, 0, 100 + n, 200 + n]})
+    b.catalog["Pages"] = top
+    return b.save()
+
+
+@query("""SELECT p_partkey::BIGINT AS file_id, unnest([1, 2, 3])::INT AS page, unnest([100 + p_size, 100 + p_size, p_size])::DOUBLE AS width, unnest([200 + p_size, 200 + p_size, 1 + p_size])::DOUBLE AS height,
+ unnest([NULL, NULL, greatest(1, 2 * p_size)])::DOUBLE AS crop_top, unnest([0, 90 * (p_partkey % 4), 90 * (p_partkey % 4)])::DOUBLE AS rotate, 1::INT AS streams FROM part""")
+def graph_pages(spark, sf):
+    """The pages of every part's file from the objects table alone: the tree level by level, attributes by a recursive query."""
+    files = S.files(_table(spark, sf, "part").select("p_partkey", "p_size"), _deep_tree, "p_partkey")
+    box = F.col("media_box")
+    return G.raw_pages(D.objects(files)).select("file_id", "page", (box[2] - box[0]).alias("width"), (box[3] - box[1]).alias("height"), F.get("crop_raw", F.lit(3)).alias("crop_top"), F.col("rotate_raw").alias("rotate"), "streams")
+
+
+def _name_tree(r: dict) -> bytes:
+    """A name tree with inner nodes, pairs above them, an odd last key, names by UF and by key alone, and a node that leads back to the top."""
+    def more(b: Builder, res: dict) -> None:
+        top, left, right = b.reserve(), b.reserve(), b.reserve()
+        data = b.add(Stream({"Subtype": Name("text/plain")}, r["c_name"].encode()))
+        spec = b.add({"Type": Name("Filespec"), "F": "old", "UF": r["c_name"], "Desc": r["c_mktsegment"], "EF": {"F": data}})
+        b.put(left, {"Names": ["k1", spec, "odd"], "Kids": [top]})
+        b.put(right, {"Names": b.add([f"key {r['c_custkey']}", {"EF": {"UF": data}}])})
+        b.put(top, {"Names": ["k0", {"F": "first"}], "Kids": [left, right, left]})
+        b.catalog["Names"] = b.add({"EmbeddedFiles": top})
+
+    return S.pdf(b"", more=more)
+
+
+@query("""SELECT c_custkey::BIGINT AS file_id, unnest([1, 2, 3])::INT AS ord, unnest(['first', c_name, 'key ' || c_custkey]) AS name, unnest([NULL, c_mktsegment, NULL]) AS description,
+ unnest([NULL, 'text/plain', 'text/plain']) AS mime, unnest([NULL, c_name, c_name]) AS data FROM customer""")
+def graph_attachments(spark, sf):
+    """Embedded files of every customer's file, by a walk over the objects table."""
+    c = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    files = S.files(c, _name_tree, "c_custkey")
+    return G.attachments(D.objects(files), D.streams(files)).select("file_id", "ord", "name", "description", "mime", F.decode("data", "UTF-8").alias("data"))
+
+
 def _many(spark, sf):
     return S.files(_table(spark, sf, "nation"), lambda r: S.pdf(*[S.shown(r["n_name"])] * (1 + r["n_nationkey"] % 4)), "n_nationkey")
 
@@ -496,6 +546,14 @@ def combine(spark, sf):
     return D.page_text(W.combine(_regions(spark, sf), F.lit(0), F.col("file_id"))).select("file_id", "page", "text")
 
 
+@query("SELECT c_nationkey::BIGINT AS file_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC)::INT AS page, c_name AS text FROM customer")
+def native_combine(spark, sf):
+    """One file a nation of its customers' files, last first: reach, numbers, offsets and cross references by joins and prefix sums."""
+    c = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    files = S.files(c, lambda r: S.pdf(S.shown(r["c_name"])), "c_custkey").join(c.select(F.col("c_custkey").cast("long").alias("file_id"), F.col("c_nationkey").cast("long").alias("nation")), "file_id")
+    return D.page_text(N.combine(files, F.col("nation"), -F.col("file_id"))).select("file_id", "page", "text")
+
+
 @query(f"SELECT file_id, (4 - page)::INT AS page, text FROM {_THREE}")
 def reorder(spark, sf):
     return D.page_text(W.copy_pages(_regions(spark, sf), [3, 2, 1])).select("file_id", "page", "text")
