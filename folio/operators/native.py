@@ -74,6 +74,68 @@ def _before(rows: DataFrame, size: Column, name: str) -> DataFrame:
     return rows.withColumn(name, F.coalesce(F.sum(size).over(order), F.lit(0)).cast("long"))
 
 
+def laid_out(written: DataFrame, docs: DataFrame, kids: DataFrame, tables: Tables, info: DataFrame | None = None, version: str = "1.7") -> DataFrame:
+    """Objects written (doc, ord, part, new, data: from number 3 on, parts in order of (ord, part)), every document, and its pages kids (doc, n, kids) -> (doc, kind, at, data): all bytes in order of (kind, at), the id still zeros.
+
+    info (doc, new): the number of the information dictionary. Offsets are the bytes of earlier parts, then of earlier objects of the part.
+    """
+    header = f"%PDF-{version}\n%".encode() + HEADER[-5:]
+    docs = docs.join(kids.withColumnRenamed("doc", "_d"), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
+    tree = F.concat(F.lit("<</Count "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("/Kids ["), F.coalesce("kids", F.lit("")), F.lit("]/Type /Pages>>"))
+    head = docs.select("doc", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("new"), F.lit("<</Pages 2 0 R/Type /Catalog>>").alias("says")), F.struct(F.lit(2).cast("long").alias("new"), tree.alias("says")))).alias("h"))
+    none = F.lit(-(1 << 63))
+    head = head.select("doc", none.alias("ord"), none.alias("part"), "h.new", _bytes(F.concat(F.col("h.new").cast("string"), F.lit(" 0 obj\n"), F.col("h.says"), F.lit("\nendobj\n"))).alias("data"))
+    written = tables.put(written.select("doc", "ord", "part", "new", "data").unionByName(head), "written")
+    long_ = written.groupBy("doc", "ord", "part").agg(F.sum(F.octet_length("data")).alias("size"))
+    ahead = tables.put(_before(long_, F.col("size"), "ahead"), "ahead")
+    inside = Window.partitionBy("part", "doc").orderBy("new").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written.select("doc", "ord", "part", "new", F.octet_length("data").alias("size")).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    ahead_ = ahead.select(F.col("part").alias("_p"), F.col("doc").alias("_d"), "ahead")
+    lines = offsets.join(ahead_, (F.col("part") == F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))).select("doc", "part", "new", F.format_string("%010d 00000 n \n", F.col("ahead") + F.col("within") + len(header)).alias("line"))
+    table = lines.groupBy("doc", "part").agg(F.min("new").alias("at"), F.expr("listagg(line, '') WITHIN GROUP (ORDER BY new)").alias("lines"))
+    whole = ahead.groupBy("doc").agg((F.sum("size") + len(header)).alias("xref")).join(written.groupBy(F.col("doc").alias("_d")).agg(F.max("new").alias("most")), F.col("doc").eqNullSafe(F.col("_d"))).drop("_d")
+    said = F.lit("")
+    if info is not None:
+        whole = whole.join(info.select(F.col("doc").alias("_d"), F.col("new").alias("_info")), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
+        said = F.coalesce(F.concat(F.lit("/Info "), _number(F.col("_info"))), F.lit(""))
+    opening = F.concat(F.lit("xref\n0 "), (F.col("most") + 1).cast("string"), F.lit("\n0000000000 65535 f \n"))
+    zeros = "0" * 32
+    ending = F.concat(F.lit(f"trailer\n<</ID [<{zeros}> <{zeros}>]"), said, F.lit("/Root 1 0 R/Size "), (F.col("most") + 1).cast("string"), F.lit(">>\nstartxref\n"), F.col("xref").cast("string"), F.lit("\n%%EOF\n"))
+    row = lambda df, kind, at, data_: df.select("doc", F.lit(kind).alias("kind"), at.cast("long").alias("at"), data_.alias("data"))
+    nil = F.lit(0)
+    return row(docs, 0, nil, F.lit(header)).unionByName(row(written, 1, F.col("new"), F.col("data"))).unionByName(row(whole, 2, nil, _bytes(opening))).unionByName(row(table, 3, F.col("at"), _bytes(F.col("lines")))).unionByName(row(whole, 4, nil, _bytes(ending)))
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """(doc, kind, at, data) -> (file_id, content): each document's bytes as one value, its id the digest of everything with an id of zeros."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType([StructField("file_id", rows.schema["doc"].dataType), *_parse_datatype_string("content binary").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        now, held, digest = none, [], hashlib.sha256()
+
+        def done() -> pa.RecordBatch:
+            held[-1] = held[-1].replace(b"0" * 32, digest.digest()[:16].hex().upper().encode())
+            return pa.RecordBatch.from_arrays([pa.array([now], arrow[0].type), pa.array([b"".join(held)], pa.binary())], schema=arrow)
+
+        for batch in batches:
+            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
+                key = doc.as_py()
+                if now is not none and key != now:
+                    yield done()
+                    held, digest = [], hashlib.sha256()
+                now = key
+                held.append(data.as_py())
+                digest.update(held[-1])
+        if now is not none:
+            yield done()
+
+    return rows.repartition("doc").sortWithinPartitions(F.col("doc").asc_nulls_first(), "kind", "at").select("doc", "data").mapInArrow(run, schema)
+
+
 def segments(files: DataFrame, into: Column, order: Column, limits: Limits = Limits(), passwords: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """((doc, kind, at, data): a document's bytes in order of (kind, at), the id still zeros; (doc, status): documents that have none)."""
     tables = Tables(files.sparkSession, "assembly")
@@ -109,29 +171,7 @@ def segments(files: DataFrame, into: Column, order: Column, limits: Limits = Lim
     data = F.concat(_bytes(F.concat(F.col("new").cast("string"), F.lit(" 0 obj\n"))), value, F.when(F.col("stream").isNull(), F.lit(b"")).otherwise(F.concat(F.lit(b"\nstream\n"), F.col("stream"), F.lit(b"\nendstream"))), F.lit(b"\nendobj\n"))
     written = full.select("doc", "ord", "part", "new", data.alias("data"))
     kids = placed.where("page is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.expr("listagg(concat(cast(new as string), ' 0 R'), ' ') WITHIN GROUP (ORDER BY new)").alias("kids"))
-    docs = parts.select("doc").distinct().join(kids.withColumnRenamed("doc", "_d"), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
-    tree = F.concat(F.lit("<</Count "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("/Kids ["), F.coalesce("kids", F.lit("")), F.lit("]/Type /Pages>>"))
-    head = docs.select("doc", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("new"), F.lit("<</Pages 2 0 R/Type /Catalog>>").alias("says")), F.struct(F.lit(2).cast("long").alias("new"), tree.alias("says")))).alias("h"))
-    none = F.lit(-(1 << 63))
-    head = head.select("doc", none.alias("ord"), none.alias("part"), "h.new", _bytes(F.concat(F.col("h.new").cast("string"), F.lit(" 0 obj\n"), F.col("h.says"), F.lit("\nendobj\n"))).alias("data"))
-    written = tables.put(written.unionByName(head), "written")
-
-    # Offsets: bytes of earlier parts, and of earlier objects in the part.
-    long_ = written.groupBy("doc", "ord", "part").agg(F.sum(F.octet_length("data")).alias("size"))
-    ahead = tables.put(_before(long_, F.col("size"), "ahead"), "ahead")
-    inside = Window.partitionBy("part", "doc").orderBy("new").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written.select("doc", "ord", "part", "new", F.octet_length("data").alias("size")).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = lambda a: (F.col("part") == F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))  # noqa: E731,ARG005
-    ahead_ = ahead.select(F.col("part").alias("_p"), F.col("doc").alias("_d"), "ahead")
-    lines = offsets.join(ahead_, same(0)).select("doc", "part", "new", F.format_string("%010d 00000 n \n", F.col("ahead") + F.col("within") + len(HEADER)).alias("line"))
-    table = lines.groupBy("doc", "part").agg(F.min("new").alias("at"), F.expr("listagg(line, '') WITHIN GROUP (ORDER BY new)").alias("lines"))
-    whole = ahead.groupBy("doc").agg((F.sum("size") + len(HEADER)).alias("xref")).join(written.groupBy(F.col("doc").alias("_d")).agg(F.max("new").alias("most")), F.col("doc").eqNullSafe(F.col("_d"))).drop("_d")
-    opening = F.concat(F.lit("xref\n0 "), (F.col("most") + 1).cast("string"), F.lit("\n0000000000 65535 f \n"))
-    zeros = "0" * 32
-    ending = F.concat(F.lit(f"trailer\n<</ID [<{zeros}> <{zeros}>]/Root 1 0 R/Size "), (F.col("most") + 1).cast("string"), F.lit(">>\nstartxref\n"), F.col("xref").cast("string"), F.lit("\n%%EOF\n"))
-    row = lambda df, kind, at, data_: df.select("doc", F.lit(kind).alias("kind"), at.cast("long").alias("at"), data_.alias("data"))
-    nil = F.lit(0)
-    out = row(docs, 0, nil, F.lit(HEADER)).unionByName(row(written, 1, F.col("new"), F.col("data"))).unionByName(row(whole, 2, nil, _bytes(opening))).unionByName(row(table, 3, F.col("at"), _bytes(F.col("lines")))).unionByName(row(whole, 4, nil, _bytes(ending)))
+    out = laid_out(written, parts.select("doc").distinct(), kids, tables)
     keep = failed.select(F.col("doc").alias("_d"))
     return out.join(keep, F.col("doc").eqNullSafe(F.col("_d")), "left_anti"), failed
 
@@ -139,32 +179,5 @@ def segments(files: DataFrame, into: Column, order: Column, limits: Limits = Lim
 def combine(files: DataFrame, into: Column, order: Column, limits: Limits = Limits(), passwords: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, content, status): files of one group ``into`` one after the other by ``order``, as ``write.combine`` gives them."""
     rows, failed = segments(files, into, order, limits, passwords)
-    schema = StructType([StructField("file_id", rows.schema["doc"].dataType), *_parse_datatype_string("content binary").fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = object()
-        now, held, digest = none, [], hashlib.sha256()
-
-        def done() -> pa.RecordBatch:
-            # The id is the digest of everything with an id of zeros.
-            held[-1] = held[-1].replace(b"0" * 32, digest.digest()[:16].hex().upper().encode())
-            return pa.RecordBatch.from_arrays([pa.array([now], arrow[0].type), pa.array([b"".join(held)], pa.binary())], schema=arrow)
-
-        for batch in batches:
-            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
-                key = doc.as_py()
-                if now is not none and key != now:
-                    yield done()
-                    held, digest = [], hashlib.sha256()
-                now = key
-                held.append(data.as_py())
-                digest.update(held[-1])
-        if now is not none:
-            yield done()
-
-    whole = rows.repartition("doc").sortWithinPartitions(F.col("doc").asc_nulls_first(), "kind", "at").select("doc", "data").mapInArrow(run, schema)
     bad = failed.select(F.col("doc").alias("file_id"), F.lit(None).cast("binary").alias("content"), F.col("status").cast(_parse_datatype_string(STATUS)).alias("status"))
-    return whole.withColumn("status", fine()).unionByName(bad)
+    return joined(rows).withColumn("status", fine()).unionByName(bad)
