@@ -139,3 +139,121 @@ def add_truetype(b, data: bytes) -> tuple[Ref, TrueType]:
     desc = b.add({"Type": Name("FontDescriptor"), "FontName": Name(f.name), "Flags": 32, "FontBBox": [per(v) for v in f.box], "ItalicAngle": 0, "Ascent": per(f.ascent), "Descent": per(f.descent), "CapHeight": per(f.ascent), "StemV": 80, "FontFile2": file})
     widths = [round(f.width(WIN[c])) if WIN[c] else 0 for c in range(32, 256)]
     return b.add({"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name(f.name), "Encoding": Name("WinAnsiEncoding"), "FirstChar": 32, "LastChar": 255, "Widths": widths, "FontDescriptor": desc}), f
+
+
+# --- subsets ---------------------------------------------------------------------------------------------------------------------
+
+#: Flags of a composite glyph's parts (fixed values): words for arguments, a scale, more parts, two scales, a matrix.
+_WORDS, _SCALE, _MORE, _SCALES, _MATRIX = 1, 8, 32, 64, 128
+#: Tables that a font program in a file needs besides its glyphs.
+_KEPT = (b"cvt ", b"fpgm", b"head", b"hhea", b"hmtx", b"maxp", b"prep")
+
+
+class Subset:
+    """The glyphs of a TrueType font that some characters need, with numbers of their own from 0, which is the one for characters that it lacks."""
+
+    def __init__(self, font: TrueType, characters: set[int]):
+        try:
+            wide = struct.unpack(">h", font._at(b"head")[50:52])[0]
+            n = struct.unpack(">H", font._at(b"maxp")[4:6])[0]
+            loca = font._at(b"loca")
+            self.starts = struct.unpack(f">{n + 1}I", loca[: 4 * (n + 1)]) if wide else tuple(2 * x for x in struct.unpack(f">{n + 1}H", loca[: 2 * (n + 1)]))
+            self.font, self.outlines = font, font._at(b"glyf")
+            self.old = [0]
+            self.new = {0: 0}
+            self.codes = {}
+            for c in sorted(characters):
+                if g := font.glyph.get(c, 0):
+                    self.codes[c] = self._take(g)
+            # What a composite is made of is taken too, and so on.
+            at = 0
+            while at < len(self.old):
+                for _, part in self._parts(self.old[at]):
+                    self._take(part)
+                at += 1
+        except (struct.error, KeyError, IndexError) as e:
+            raise FontError(f"damaged TrueType font: {e}") from None
+
+    def _take(self, glyph: int) -> int:
+        if glyph not in self.new:
+            self.new[glyph] = len(self.old)
+            self.old.append(glyph)
+        return self.new[glyph]
+
+    def _outline(self, glyph: int) -> bytes:
+        return self.outlines[self.starts[glyph] : self.starts[glyph + 1]]
+
+    def _parts(self, glyph: int) -> list[tuple[int, int]]:
+        """(place of its number, glyph) of each part of a composite glyph."""
+        data, out = self._outline(glyph), []
+        if len(data) < 10 or struct.unpack(">h", data[:2])[0] >= 0:
+            return out
+        at = 10
+        while True:
+            flags, part = struct.unpack(">HH", data[at : at + 4])
+            out.append((at + 2, part))
+            at += 4 + (4 if flags & _WORDS else 2) + (2 if flags & _SCALE else 4 if flags & _SCALES else 8 if flags & _MATRIX else 0)
+            if not flags & _MORE:
+                return out
+
+    def program(self) -> bytes:
+        """The font file: its glyphs under their new numbers."""
+        glyf, loca, hmtx = bytearray(), [0], bytearray()
+        n_metrics = struct.unpack(">H", self.font._at(b"hhea")[34:36])[0]
+        metrics = self.font._at(b"hmtx")
+        for g in self.old:
+            data = bytearray(self._outline(g))
+            for place, part in self._parts(g):
+                data[place : place + 2] = struct.pack(">H", self.new[part])
+            glyf += data + b"\0" * (-len(data) % 4)
+            loca.append(len(glyf))
+            bearing = metrics[4 * g + 2 : 4 * g + 4] if g < n_metrics else metrics[4 * n_metrics + 2 * (g - n_metrics) :][:2]
+            hmtx += struct.pack(">H", self.font.advance[min(g, len(self.font.advance) - 1)]) + (bearing or b"\0\0")
+        head, hhea, maxp = bytearray(self.font._at(b"head")), bytearray(self.font._at(b"hhea")), bytearray(self.font._at(b"maxp"))
+        head[8:12], head[50:52] = bytes(4), struct.pack(">h", 1)
+        hhea[34:36] = maxp[4:6] = struct.pack(">H", len(self.old))
+        tables = {t: self.font._at(t) for t in _KEPT if t in self.font.tables} | {b"glyf": bytes(glyf), b"loca": struct.pack(f">{len(loca)}I", *loca), b"hmtx": bytes(hmtx), b"head": bytes(head), b"hhea": bytes(hhea), b"maxp": bytes(maxp)}
+        return _font_file(tables)
+
+
+def _sum(data: bytes) -> int:
+    data += b"\0" * (-len(data) % 4)
+    return sum(struct.unpack(f">{len(data) // 4}I", data)) & 0xFFFFFFFF
+
+
+def _font_file(tables: dict[bytes, bytes]) -> bytes:
+    """Tables with their directory and sums."""
+    n = len(tables)
+    log = n.bit_length() - 1
+    at, entries, body = 12 + 16 * n, [], []
+    for tag, data in sorted(tables.items()):
+        entries.append(struct.pack(">4sIII", tag, _sum(data), at, len(data)))
+        body.append(data + b"\0" * (-len(data) % 4))
+        at += len(body[-1])
+    out = bytearray(struct.pack(">4sHHHH", b"\0\1\0\0", n, 16 << log, log, 16 * n - (16 << log)) + b"".join(entries) + b"".join(body))
+    head = struct.unpack(">I", next(e for e in entries if e[:4] == b"head")[8:12])[0]
+    out[head + 8 : head + 12] = struct.pack(">I", (0xB1B0AFBA - _sum(bytes(out))) & 0xFFFFFFFF)
+    return bytes(out)
+
+
+def add_subset(b, data: bytes, characters: set[int]) -> tuple[Ref, Subset]:
+    """A font for any characters, embedded as the glyphs that these need: two-byte codes are the glyphs' numbers, and a map back to Unicode."""
+    f = TrueType(data)
+    s = Subset(f, characters)
+    per = lambda v: round(v * 1000 / f.units)
+    program = s.program()
+    # Six letters that follow from the glyphs mark a subset.
+    tag, left = "", zlib.crc32(struct.pack(f">{len(s.old)}H", *s.old))
+    for _ in range(6):
+        left, letter = divmod(left, 26)
+        tag += chr(65 + letter)
+    name = Name(f"{tag}+{f.name}")
+    file = b.stream(program, {"Length1": len(program)})
+    desc = b.add({"Type": Name("FontDescriptor"), "FontName": name, "Flags": 4, "FontBBox": [per(v) for v in f.box], "ItalicAngle": 0, "Ascent": per(f.ascent), "Descent": per(f.descent), "CapHeight": per(f.ascent), "StemV": 80, "FontFile2": file})
+    widths = [per(f.advance[min(g, len(f.advance) - 1)]) for g in s.old]
+    kid = b.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": name, "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "FontDescriptor": desc, "CIDToGIDMap": Name("Identity"), "DW": 1000, "W": [0, widths]})
+    lines = [b"<%04X> <%s>" % (code, chr(c).encode("utf-16-be").hex().upper().encode()) for c, code in sorted(s.codes.items(), key=lambda x: x[1])]
+    # A block of a map holds at most a hundred lines.
+    blocks = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(part), b"\n".join(part)) for part in (lines[i : i + 100] for i in range(0, len(lines), 100)))
+    to_unicode = b.stream(b"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n/CMapName /Adobe-Identity-UCS def\n/CMapType 2 def\n1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n" + blocks + b"endcmap\nend\nend")
+    return b.add({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": name, "Encoding": Name("Identity-H"), "DescendantFonts": [kid], "ToUnicode": to_unicode}), s

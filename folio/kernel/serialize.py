@@ -209,8 +209,8 @@ def text_width(text: str, font: str = "Helvetica", size: float = 12) -> float:
     return sum(core_width(font, ord(bytes([b]).decode("cp1252", "replace"))) for b in text.encode("cp1252", "replace")) / 1000 * size
 
 
-def content_of(ops: list[tuple[str, list[float], str | None]], fonts: dict[str, str]) -> bytes:
-    """Operations to a content stream. text: x, y, size, cos, sin with ``font\\ttext``; image: x, y, width, height, 0 with its name; paint: fill (0 none, 1 nonzero, 2 even-odd), stroke."""
+def content_of(ops: list[tuple[str, list[float], str | None]], fonts: dict[str, str], codes: dict[str, dict[int, int]] | None = None) -> bytes:
+    """codes: two-byte codes of characters, of fonts that have them. Operations to a content stream. text: x, y, size, cos, sin with ``font\\ttext``; image: x, y, width, height, 0 with its name; paint: fill (0 none, 1 nonzero, 2 even-odd), stroke."""
     out: list[bytes] = []
     for op, nums, text in ops:
         if op not in ARITY or len(nums) != ARITY[op]:
@@ -224,7 +224,8 @@ def content_of(ops: list[tuple[str, list[float], str | None]], fonts: dict[str,
         elif op == "text":
             font, _, said = (text or "").partition("\t")
             turn = f"{n[3]} {n[4]} {real(-float(nums[4]))} {n[3]}"
-            out.append(f"BT /{fonts[font]} {n[2]} Tf {turn} {n[0]} {n[1]} Tm ".encode() + serialize(Hexless(said.encode("cp1252", "replace"))) + b" Tj ET")
+            shown = Hex(b"".join(codes[font].get(ord(c), 0).to_bytes(2) for c in said)) if font in (codes or {}) else Hexless(said.encode("cp1252", "replace"))
+            out.append(f"BT /{fonts[font]} {n[2]} Tf {turn} {n[0]} {n[1]} Tm ".encode() + serialize(shown) + b" Tj ET")
         else:
             out.append(f"q {n[2]} 0 0 {n[3]} {n[0]} {n[1]} cm /{text} Do Q".encode())
     return b"\n".join(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -122,6 +122,34 @@ def split_status(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.where(~bad), table.where(bad)
 
 
+def with_secrets(files: DataFrame, secrets: DataFrame) -> DataFrame:
+    """files with a column ``passwords``: each file's own from secrets (file_id, password, ord), in the order of ord; a file without any has none."""
+    held = F.transform(F.sort_array(F.collect_list(F.struct("ord", "password"))), lambda p: p["password"])
+    mine = secrets.where("password is not null").groupBy(F.col("file_id").alias("_f")).agg(held.alias("passwords"))
+    return files.join(mine, F.col("file_id").eqNullSafe(F.col("_f")), "left").drop("_f")
+
+
+def observed(table: DataFrame, name: str = "files") -> tuple[DataFrame, Observation]:
+    """The table and an observation of it: rows, failures and warnings are counted while an action on the table runs, without a pass of their own."""
+    seen = Observation(name)
+    of = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    kinds = {f"{k}s": of(F.col("status.class") == k) for k in ("invalid_argument", "parse_error", "password_error", "limit_error", "unsupported_input", "font_error")}
+    counted = {"rows": F.count(F.lit(1)), "failed": of(F.col("status.class").isNotNull()), "warned": of(F.col("status.nwarning") > 0), **kinds}
+    return table.observe(seen, *[c.alias(n) for n, c in counted.items()]), seen
+
+
+def failures(table: DataFrame, item: str | None = None) -> DataFrame:
+    """(file_id, n, items, class, message): one row for each file in which something failed: how many rows, which (in order; by the column ``item``, such as number, object or page) and the first one's failure.
+
+    Only failed rows are grouped; a file has at most max_objects of them.
+    """
+    key = item or next((c for c in ("number", "object", "page", "ord") if c in table.columns), None)
+    which = F.col(key).cast("long") if key else F.lit(None).cast("long")
+    bad = table.where(F.col("status.class").isNotNull()).select("file_id", which.alias("item"), F.col("status.class").alias("class"), F.col("status.message").alias("message"))
+    first = F.min(F.struct("item", "class", "message"))
+    return bad.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("item")).alias("items"), first.alias("first")).select("file_id", "n", "items", "first.class", "first.message")
+
+
 def deref(values: DataFrame, objects_: DataFrame, ref: str = "ref") -> DataFrame:
     """Follows a column of object numbers within each file: an equi join on (file_id, number)."""
     if ref not in values.columns:

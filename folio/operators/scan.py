@@ -110,7 +110,8 @@ def scan(files: DataFrame, table: str, *, limits: Limits | None = None, password
     """files (file_id, content) -> (file_id, the table's columns). Works on batch and streaming DataFrames alike.
 
     A file that can't be read is one row with its failure in ``status``; FAILFAST raises instead. ``pages=[...]`` reads only those pages. Files
-    longer than max_size are told from their length before Python sees a byte.
+    longer than max_size are told from their length before Python sees a byte. Where files has a column ``passwords`` (an array of strings), a file's own
+    passwords are tried in their order before the ones given for all; being a column, they stand in no plan.
     """
     if table not in SCHEMAS:
         raise InvalidArgument(f"no table {table}", arg="table")
@@ -125,7 +126,8 @@ def scan(files: DataFrame, table: str, *, limits: Limits | None = None, password
     # A source that left a long file unread says its size.
     size = F.coalesce(F.octet_length(F.col(content)), F.col("size")) if "size" in files.columns else F.octet_length(F.col(content))
     large = F.coalesce(size > most, F.lit(False))
-    given = files.select(F.col(file_id).alias("file_id"), F.when(~large, F.col(content)).alias("content"), large.alias("large"))
+    own = F.col("passwords").cast("array<string>") if "passwords" in files.columns else F.lit(None).cast("array<string>")
+    given = files.select(F.col(file_id).alias("file_id"), F.when(~large, F.col(content)).alias("content"), large.alias("large"), own.alias("passwords"))
     id_type = given.schema["file_id"].dataType
     body = _parse_datatype_string(SCHEMAS[table])
     schema = StructType().add("file_id", id_type)
@@ -142,8 +144,8 @@ def scan(files: DataFrame, table: str, *, limits: Limits | None = None, password
                         raise LimitError("max_size", held.max_size)
                     yield key, 0, iter([{"status": status(LimitError("max_size", held.max_size))}])
                 else:
-                    data = content_.as_py()
-                    yield key, len(data or b""), file_rows(table, data, held, passwords, mode, options)
+                    data, secrets = content_.as_py(), batch.column(3)[i].as_py() or []
+                    yield key, len(data or b""), file_rows(table, data, held, (*(p for p in secrets if p is not None), *passwords), mode, options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from as_batches(found(batches), arrow, mode)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from ..errors import STATUS, InvalidArgument, LimitError, status
 from ..kernel import serialize as S
-from ..kernel.embed import add_truetype, image
+from ..kernel.embed import add_subset, add_truetype, image
 from ..kernel.syntax import File
 from ..kernel.values import Ref
 from ..limits import Limits
@@ -48,7 +48,8 @@ def draw(page: Column, seq: Column, op: str, *nums: Column | float) -> Column:
 def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: int | None = None, deterministic: bool = True, meta: dict | None = None, encryption: dict | None = None, images: dict[str, bytes] | None = None, fonts: dict[str, bytes] | None = None) -> bytes:
     """A file of (page, seq, op, nums, str) operations; pages in their order, without gaps for numbers left out.
 
-    images and fonts: PNG or JPEG files and TrueType files by the names that operations use; each that is used goes into the file once.
+    images and fonts: PNG or JPEG files and TrueType files by the names that operations use; each that is used goes into the file once. A font whose texts
+    go beyond code page 1252 is embedded as the glyphs that they need, any other one whole.
     """
     b = S.Builder(version, media_box, created, deterministic)
     if encryption:
@@ -58,12 +59,22 @@ def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: in
     by: dict[int, list] = {}
     for page, seq, op, nums, text in sorted(ops, key=lambda o: (o[0], o[1])):
         by.setdefault(page, []).append((op, list(nums), text))
+    codes: dict[str, dict[int, int]] = {}
+    said: dict[str, set[int]] = {}
+    for _, _, op, _, text in ops:
+        if op == "text":
+            font, _, shown = (text or "").partition("\t")
+            said.setdefault(font, set()).update(map(ord, shown))
     for page in sorted(by):
         used = sorted({(t or "").partition("\t")[0] for op, _, t in by[page] if op == "text"})
         names = {f: f"F{i}" for i, f in enumerate(used, 1)}
         for f in used:
             if f not in b.fonts and f in (fonts or {}):
-                b.fonts[f] = add_truetype(b, fonts[f])[0]
+                if "".join(map(chr, said[f])).encode("cp1252", "ignore").decode("cp1252") == "".join(map(chr, said[f])):
+                    b.fonts[f] = add_truetype(b, fonts[f])[0]
+                else:
+                    b.fonts[f], subset = add_subset(b, fonts[f], said[f])
+                    codes[f] = subset.codes
         res = {"Font": {names[f]: b.fonts[f] if f in b.fonts else b.core_font(f) for f in used}} if used else {}
         for name in sorted({t for op, _, t in by[page] if op == "image"}):
             if name not in (images or {}):
@@ -71,7 +82,7 @@ def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: in
             if name not in placed:
                 placed[name] = b.add(image(images[name]))
             res.setdefault("XObject", {})[name] = placed[name]
-        b.page(S.content_of(by[page], names), res)
+        b.page(S.content_of(by[page], names, codes), res)
     return b.save()
 
 
@@ -249,6 +260,39 @@ def rotate_pages(files: DataFrame, pages: list[int], angle: int = 90, relative:
     return _each(files, lambda f: iter([(None, None, by)]), **options)
 
 
+def encrypt(files: DataFrame, secrets: DataFrame, limits: Limits = Limits(), passwords: tuple[str, ...] = (), mode: str = "PERMISSIVE") -> DataFrame:
+    """files (file_id, content) with secrets (file_id, user, owner, method, permissions: any but the id may be missing or null) -> (file_id, content, status): each file's pages and information under its own passwords.
+
+    Passwords are columns, so no plan says them. A file without a row in secrets stays as it is; one with several takes the least of them. method is aes128 (by default) or rc4128; permissions are names, all by default.
+    """
+    kinds = {"user": "string", "owner": "string", "method": "string", "permissions": "array<string>"}
+    fields = [(F.col(c) if c in secrets.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
+    mine = secrets.groupBy(F.col("file_id").alias("_f")).agg(F.min(F.struct(*fields)).alias("secret"))
+    given = files.select("file_id", "content").join(mine, F.col("file_id").eqNullSafe(F.col("_f")), "left").select("file_id", "content", "secret")
+    schema, arrow = _result(files.schema["file_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, data, secret = (batch.column(c)[i].as_py() for c in range(3))
+                try:
+                    row = {"content": data, "status": status()}
+                    if secret is not None:
+                        f = _opened(data, limits, passwords)
+                        b = S.Builder()
+                        b.encrypt(secret["user"] or "", secret["owner"] or "", secret["method"] or "aes128", secret["permissions"])
+                        S.copy_pages(b, f, list(range(1, len(f.pages()) + 1)))
+                        b.info |= {k: v for k, v in f.dict_of(f.trailer.get("Info")).items() if isinstance(v, (bytes, str))}
+                        row["content"] = b.save()
+                except FAILURES as e:
+                    if mode == "FAILFAST":
+                        raise
+                    row = {"content": None, "status": status(e)}
+                yield pa.RecordBatch.from_pylist([{"file_id": key} | row], arrow)
+
+    return given.mapInArrow(run, schema)
+
+
 def deterministic_id(content: Column) -> Column:
     """The 32 hexadecimal digits of a written file's id, by columns."""
     return F.lower(F.regexp_extract(F.decode(F.substring(content, -200, 200), "ISO-8859-1"), r"/ID \[<([0-9A-Fa-f]{32})>", 1))
