@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.values import formatted
 from ..kernel.serialize import Builder, date_string
-from ..kernel.values import Name, Stream
+from ..kernel.values import Hex, Name, Stream
 from ..limits import Limits
 from ..operators import documents as D
+from ..operators import draw as P
 from ..operators import graph as G
 from ..operators import native as N
 from ..operators import write as W
@@ -591,6 +593,100 @@ def sink_roundtrip(spark, sf):
     return read.join(sink.committed(spark, at).select("name", (F.col("size") > 0).alias("committed")), "name", "left")
 
 
+# --- drawing by columns, secrets, summaries ----------------------------------------------------------------------------------------
+
+_PATH_TOKENS = """SELECT p_partkey::BIGINT AS file_id, k::INT AS pos, v[k] AS value FROM (
+ SELECT p_partkey, v, unnest(range(1, len(v) + 1)) AS k FROM (
+  SELECT p_partkey, ['q'] || CASE WHEN p_partkey % 3 <> 1 THEN ['1', '0', '0', 'rg'] ELSE [] END || CASE p_partkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['0', '0', '0', 'RG'] ELSE ['0', '0', '1', 'RG'] END
+   || ['0.5', 'w', '1', '2', 'm', s, '2', 'l', '1', '1.5', '2', '2.5', s, '6', 'c', 'h', '10', '20', s, '7', 're', CASE p_partkey % 3 WHEN 0 THEN 'f*' WHEN 1 THEN 'S' ELSE 'B*' END, 'Q', 'BT', 'F1', '12', 'Tf', '1', '0', '0', '1', '72', '700', 'Tm', p_name, 'Tj', 'ET'] AS v
+  FROM (SELECT p_partkey, p_name, p_size::VARCHAR AS s FROM part)))"""
+
+
+def _path_ops(spark, sf):
+    """Every part's name below a path of all kinds of steps, filled, stroked in black or both by turns."""
+    size = F.col("p_size").cast("double")
+    row = lambda op, x=None, y=None, x1=None, y1=None, x2=None, y2=None, w=None, h=None: F.struct(*[(v if isinstance(v, F.Column) else F.lit(v)).cast("string" if n == "op" else "double").alias(n) for n, v in zip(("op", "x", "y", "x1", "y1", "x2", "y2", "w", "h"), (op, x, y, x1, y1, x2, y2, w, h), strict=True)])
+    path = F.array(row("move", 1, 2), row("line", size, 2), row("curve", size, 6, 1, 1.5, 2, 2.5), row("close"), row("rect", 10, 20, None, None, None, None, size, 7))
+    turn = F.col("p_partkey") % 3
+    drawn = P.draw_path(F.lit(1), F.lit(1), path, fill=F.when(turn != 1, F.lit("red")), stroke=F.when(turn == 2, F.lit("#0000FF")), width=0.5, rule="evenodd")
+    text = W.draw_text(F.lit(1), F.lit(100), F.col("p_name"), F.lit(72.0), F.lit(700.0))
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.concat(drawn, text)).alias("o")).select("doc_id", "o.*")
+
+
+@query(_PATH_TOKENS)
+def draw_paths(spark, sf):
+    """Paths and text compiled, laid out and written by columns, read back as tokens."""
+    return D.tokens(P.write(_path_ops(spark, sf)).select("file_id", "content")).select("file_id", "pos", "value")
+
+
+@query("SELECT p_partkey::BIGINT AS file_id, true AS same FROM part")
+def draw_same_bytes(spark, sf):
+    """The files by columns and those of the sequential writer, byte for byte."""
+    ops = _path_ops(spark, sf)
+    return P.write(ops).select("file_id", "content").join(W.write(ops).withColumnRenamed("content", "again"), "file_id").select("file_id", (F.col("content") == F.col("again")).alias("same"))
+
+
+@query("SELECT p_partkey::BIGINT AS file_id, unnest([1, 1, 2])::INT AS page, unnest(['img' || p_size, 'tall', 'img' || p_size]) AS name, unnest([p_size, 1, p_size])::INT AS width, unnest([2, 3, 2])::INT AS height FROM part")
+def draw_images(spark, sf):
+    """Images from a table, each in a document once however often it shows it."""
+    p = _table(spark, sf, "part").select("p_partkey", "p_size")
+    sizes = p.select("p_size").distinct()
+    make = F.udf(lambda n: S.png(n, n, 2), "binary")
+    pictures = sizes.select(F.concat(F.lit("img"), F.col("p_size").cast("string")).alias("name"), make("p_size").alias("data")).unionByName(spark.createDataFrame([("tall", S.png(9, 1, 3))], "name string, data binary"))
+    shown = lambda page, seq, name: F.struct(F.lit(page).alias("page"), F.lit(seq).alias("seq"), F.lit("image").alias("op"), F.array(*[F.lit(float(x)) for x in (10, 20, 30, 40, 0)]).alias("nums"), name.alias("str"))
+    own = F.concat(F.lit("img"), F.col("p_size").cast("string"))
+    ops = p.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(shown(1, 1, own), shown(1, 2, F.lit("tall")), shown(2, 1, own))).alias("o")).select("doc_id", "o.*")
+    return D.page_images(P.write(ops, images=pictures).select("file_id", "content")).select("file_id", "page", "name", "width", "height")
+
+
+@query("""SELECT c_custkey::BIGINT AS file_id, c_name || ' ü (1)' AS title, c_mktsegment AS author, NULL::VARCHAR AS subject, epoch_ms((c_custkey * 86461 + 1) * 1000)::TIMESTAMP AS created, 1::INT AS page, (100 + c_nationkey)::DOUBLE AS width, (c_custkey % 4 * 90)::INT AS rotate FROM customer""")
+def written_meta(spark, sf):
+    """Metadata, boxes and turns of every customer's file from columns; nothing is drawn."""
+    c = _table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), "c_name", "c_mktsegment", "c_nationkey")
+    meta = c.select("doc_id", F.concat("c_name", F.lit(" ü (1)")).alias("title"), F.col("c_mktsegment").alias("author"), F.lit(None).cast("string").alias("subject"), (F.col("doc_id") * 86461 + 1).alias("created"))
+    pages = c.select("doc_id", F.lit(1).alias("page"), F.array(F.lit(0), F.lit(0), F.col("c_nationkey") + 100, F.lit(50)).cast("array<double>").alias("media_box"), (F.col("doc_id") % 4 * 90).cast("int").alias("rotate"))
+    none = spark.createDataFrame([], "doc_id long, page int, seq int, op string, nums array<double>, str string")
+    made = P.write(none, pages=pages, meta=meta).select("file_id", "content")
+    said = D.meta(made).select("file_id", "title", "author", "subject", F.col("created").cast("timestamp_ntz").alias("created"))
+    return said.join(D.pages(made).select("file_id", "page", "width", "rotate"), "file_id")
+
+
+@query("""SELECT s_suppkey::BIGINT AS file_id, CASE WHEN s_suppkey % 3 < 2 THEN s_name END AS text, CASE WHEN s_suppkey % 3 = 2 THEN 'password_error' END AS class FROM supplier""")
+def mixed_passwords(spark, sf):
+    """Every supplier's file locked under passwords of its own; candidates come from a table: the right one, a wrong one first, or only a wrong one."""
+    s = _table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("file_id"), "s_name")
+    plain = S.files(_table(spark, sf, "supplier").select("s_suppkey", "s_name"), lambda r: S.pdf(S.shown(r["s_name"])), "s_suppkey")
+    locks = s.select("file_id", F.concat(F.lit("user"), F.col("file_id").cast("string")).alias("user"), F.lit("owner").alias("owner"), F.when(F.col("file_id") % 2 == 0, F.lit("rc4128")).alias("method"))
+    turn = F.col("file_id") % 3
+    tries = F.when(turn == 0, F.array(F.col("user"))).when(turn == 1, F.array(F.lit("wrong"), F.col("user"))).otherwise(F.array(F.lit("wrong")))
+    keys = locks.select("file_id", F.posexplode(tries).alias("ord", "password"))
+    locked = W.encrypt(plain, locks).select("file_id", "content")
+    return D.page_text(D.with_secrets(locked, keys)).select("file_id", "text", F.col("status.class").alias("class"))
+
+
+@query("""SELECT c_custkey::BIGINT AS file_id, CASE c_custkey % 3 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS n, CASE c_custkey % 3 WHEN 0 THEN 'parse_error' ELSE 'limit_error' END AS class,
+ CASE c_custkey % 3 WHEN 0 THEN '' ELSE '1,3' END AS pages FROM customer WHERE c_custkey % 3 < 2""")
+def failure_summary(spark, sf):
+    """One row for each of the customers' files that can't be read, or in which two of three pages are too long; the others have none."""
+    def make(r: dict) -> bytes:
+        k = r["c_custkey"] % 3
+        long_ = b" " * 4000 if k == 1 else b""
+        return b"broken" if k == 0 else S.pdf(S.shown("a") + long_, S.shown(r["c_name"]), S.shown("b") + long_)
+
+    files = S.files(_table(spark, sf, "customer").select("c_custkey", "c_name"), make, "c_custkey")
+    return D.failures(D.page_text(files, limits=Limits(max_stream=2000)), "page").select("file_id", "n", "class", F.concat_ws(",", F.col("items").cast("array<string>")).alias("pages"))
+
+
+@query("""SELECT c_custkey::BIGINT AS file_id, unnest(['page', 'info']) AS what,
+ unnest(['{Contents 4 0 R, MediaBox [0, 0, 612, 792], Parent 2 0 R, Resources {Font {F1 3 0 R}}, Type /Page}', '{Author "' || c_mktsegment || '", Id <0a' || printf('%02x', (c_custkey % 256)::INT) || '>, Title "' || c_name || '"}']) AS value FROM customer""")
+def formatted_values(spark, sf):
+    """Names, references and binary strings of every customer's file as text."""
+    c = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    files = S.files(c, lambda r: S.pdf(b"", info={"Title": r["c_name"], "Author": r["c_mktsegment"], "Id": Hex(bytes([10, r["c_custkey"] % 256]))}), "c_custkey")
+    o = D.objects(files).where("type = 'Page' or number = -1")
+    return o.select("file_id", F.when(F.col("number") == -1, F.lit("info")).otherwise(F.lit("page")).alias("what"), formatted(F.col("value")).alias("value"))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {w}::DOUBLE, {h}::DOUBLE)" for n, w, h in (("a0", 2383.94, 3370.39), ("a4", 595.28, 841.89), ("a5", 419.53, 595.28), ("b5", 498.9, 708.66), ("letter", 612, 792))) + ") t(name, width, height)")
 def paper_sizes(spark, sf):
     return scalars.paper(spark).where(F.col("name").isin("a0", "a4", "a5", "b5", "letter"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +49,15 @@ def image(b: Builder, resources: dict, samples: bytes, width: int, height: int,
     resources["XObject"] = {"Im1": ref}
 
 
+def png(shade: int, width: int, height: int) -> bytes:
+    """A grey PNG file of one shade."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
+
+    rows = (b"\0" + bytes([shade]) * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def files(table: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
     """(file_id, content): a file for each row, made in Arrow batches from the row's columns.
 
