@@ -222,8 +222,9 @@ class Walk:
                 tm = tlm = times((1, 0, 0, 1, 0, -state.tl), tlm)
                 self._break("\n")
                 tm = self.show(stack[-1:], state, tm)
-            elif op[:1] == b"T" and len(op) == 2:
-                k = op[1:]
+            elif op[:1] == b"T" and len(op) > 1:
+                # The second byte alone tells: what follows it is not looked at.
+                k = op[1:2]
                 if k == b"f":
                     state.size = float(num(-1))
                     f = next((x for x in reversed(stack) if isinstance(x, Name)), None)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..errors import InvalidArgument
 from ..limits import Limits
@@ -171,8 +174,17 @@ def engine_info(spark) -> DataFrame:
 
 
 def nested_toc(toc_: DataFrame) -> DataFrame:
-    """(file_id, toc): a file's outline as one array in reading order, each item with its path of titles from the top."""
-    items = F.sort_array(F.collect_list(F.struct("item", "parent", "depth", "title", "is_open")))
-    flat = toc_.where("item is not null").groupBy("file_id").agg(items.alias("items"))
-    path = lambda i: F.reverse(F.aggregate(F.reverse(F.slice(F.col("items"), F.lit(1), i["item"])), F.struct(F.array().cast("array<string>").alias("path"), i["item"].alias("want")), lambda a, x: F.when(x["item"] == a["want"], F.struct(F.array_append(a["path"], x["title"]).alias("path"), x["parent"].alias("want"))).otherwise(a), lambda a: a["path"]))
-    return flat.select("file_id", F.transform("items", lambda i: F.struct(path(i).alias("path"), i["depth"].alias("depth"), i["is_open"].alias("is_open"))).alias("toc"))
+    """(file_id, toc): a file's outline as one array in reading order, each item with its path of titles from the top. A file's outline is one group: at most max_objects items, taken in one pass."""
+    items = toc_.where("item is not null").select("file_id", "item", "depth", "title", "is_open")
+    schema = StructType([items.schema["file_id"], *_parse_datatype_string("toc array<struct<path:array<string>,depth:int,is_open:boolean>>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        path: list[str | None] = []
+        out = []
+        for r in table.sort_by("item").to_pylist():
+            path = [*path[: r["depth"]], r["title"]]
+            out.append({"path": path, "depth": r["depth"], "is_open": r["is_open"]})
+        return pa.Table.from_pylist([{"file_id": table.column("file_id")[0].as_py(), "toc": out}], arrow)
+
+    return items.groupBy("file_id").applyInArrow(run, schema)

@@ -293,3 +293,8 @@ def test_metadata_in_both_versions():
     assert (m["title"], m["author"], m["language"], m["modified"].timestamp()) == ("Tïtle", "A", "de", 86400)
     new = File(build(ops, version="2.0", meta={"title": "T & U"}))
     assert next(rows.meta(new))["title"] is None and "<dc:title>T &amp; U</dc:title>" in next(rows.info(new))["metadata"]
+
+
+def test_operators_of_text_go_by_their_second_byte():
+    f = File(pdf(b"BT /F1 12 Tfx 72 720 Tdd (a) Tjj T ET"))
+    assert "".join(g.text for g in Walk(f, f.pages()[0][1], {}).glyphs) == "a"
