@@ -62,6 +62,27 @@ def paper_size(name: str, landscape: bool = False) -> tuple[float, float]:
     return found[::-1] if landscape else found
 
 
+#: What is put after an input's name.
+OUTPUTS = {"subset": "_output.pdf", "rotate": "_output.pdf", "combine": "_combined.pdf"}
+
+
+def output_name(path: Column, kind: str, page: Column | None = None) -> Column:
+    """Where an operation's file goes by default: the (first) input's path without ``.pdf``, in any case, then ``_output.pdf``, ``_combined.pdf``, or ``_<page>.pdf`` for kind ``split``. A null path, as of a file from memory, has none."""
+    if kind not in OUTPUTS and not (kind == "split" and page is not None):
+        raise InvalidArgument("kind must be subset, rotate, combine, or split with a page", arg="kind")
+    ending = F.lit(OUTPUTS[kind]) if kind in OUTPUTS else F.concat(F.lit("_"), page.cast("string"), F.lit(".pdf"))
+    return F.concat(F.regexp_replace(path, r"(?i)\.pdf\z", ""), ending)
+
+
+def safe_outputs(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """outputs (output, ...) with ``clash``: why a file can't go there: it would overwrite an input (path), or another output, or it has no name. Null where all is well."""
+    taken = inputs.select(F.col("path").alias("_in")).where("_in is not null").distinct()
+    twice = outputs.groupBy(F.col("output").alias("_out")).count().where("count > 1").select("_out")
+    met = outputs.join(taken, F.col("output") == F.col("_in"), "left").join(twice, F.col("output") == F.col("_out"), "left")
+    why = F.when(F.col("output").isNull(), F.lit("output is needed for a file from memory")).when(F.col("_in").isNotNull(), F.lit("output must not overwrite an input")).when(F.col("_out").isNotNull(), F.lit("several files would go there"))
+    return met.withColumn("clash", why).drop("_in", "_out")
+
+
 #: Colour names that are understood (a subset of the CSS names); hexadecimal colours are too.
 COLOURS = {"black": 0x000000, "white": 0xFFFFFF, "red": 0xFF0000, "green": 0x00FF00, "blue": 0x0000FF, "yellow": 0xFFFF00, "cyan": 0x00FFFF, "magenta": 0xFF00FF, "gray": 0xBEBEBE, "grey": 0xBEBEBE, "orange": 0xFFA500, "brown": 0xA52A2A, "purple": 0xA020F0, "pink": 0xFFC0CB, "darkgreen": 0x006400, "darkblue": 0x00008B, "darkred": 0x8B0000, "navy": 0x000080}
 

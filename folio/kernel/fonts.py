@@ -117,10 +117,22 @@ _HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 3
 _HELVETICA_BOLD = [278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, *[556] * 10, 333, 333, 584, 584, 584, 611, 975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556, 333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584]
 _TIMES = [250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, *[500] * 10, 278, 278, 564, 564, 564, 444, 921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500, 333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541]
 _TIMES_BOLD = [250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, *[500] * 10, 333, 333, 570, 570, 570, 500, 930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500, 333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520]
+_TIMES_ITALIC = [250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, *[500] * 10, 333, 333, 675, 675, 675, 500, 920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833, 667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500, 333, 500, 500, 444, 500, 444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400, 275, 400, 541]
+_TIMES_BOLD_ITALIC = [250, 389, 555, 500, 500, 833, 778, 278, 333, 333, 500, 570, 250, 333, 250, 278, *[500] * 10, 333, 333, 570, 570, 570, 500, 832, 667, 667, 667, 722, 667, 667, 722, 778, 389, 500, 667, 611, 889, 722, 722, 611, 722, 667, 556, 611, 722, 667, 889, 667, 611, 611, 333, 278, 333, 570, 500, 333, 500, 500, 444, 500, 444, 333, 500, 556, 278, 278, 500, 278, 778, 556, 500, 500, 500, 389, 389, 278, 556, 444, 667, 500, 444, 389, 348, 220, 348, 570]
+# Widths of signs, and of letters that aren't a letter with an accent: Helvetica, its bold, Times, its bold, its italic, its bold italic (fixed values of the same metrics).
+_OTHER_WIDTHS = [
+    ("€ƒ†‡–¢£¤¥§«»", 556, 556, 500, 500, 500, 500), ("‚‘’", 222, 278, 333, 333, 333, 333), ("„“”", 333, 500, 444, 500, 556, 500), ("…—", 1000, 1000, 1000, 1000, 889, 1000),
+    ("ˆ˜¨¯´¸‹›", 333, 333, 333, 333, 333, 333), ("‰", 1000, 1000, 1000, 1000, 1000, 1000), ("•", 350, 350, 350, 350, 350, 350), ("°", 400, 400, 400, 400, 400, 400), ("™", 1000, 1000, 980, 1000, 980, 1000),
+    ("¡", 333, 333, 333, 333, 389, 389), ("¦", 260, 280, 200, 220, 275, 220), ("©®", 737, 737, 760, 747, 760, 747), ("ª", 370, 370, 276, 300, 276, 266), ("¬", 584, 584, 564, 570, 675, 606),
+    ("±×÷", 584, 584, 564, 570, 675, 570), ("²³¹", 333, 333, 300, 300, 300, 300), ("µ", 556, 611, 500, 556, 500, 576), ("¶", 537, 556, 453, 540, 523, 500), ("·", 278, 278, 250, 250, 250, 250),
+    ("º", 365, 365, 310, 330, 310, 300), ("¼½¾", 834, 834, 750, 750, 750, 750), ("¿", 611, 611, 444, 500, 500, 500), ("\xa0", 278, 278, 250, 250, 250, 250), ("\xad", 333, 333, 333, 333, 333, 333),
+    ("Œ", 1000, 1000, 889, 1000, 944, 944), ("œ", 944, 944, 722, 722, 667, 722), ("Æ", 1000, 1000, 889, 1000, 889, 944), ("æ", 889, 889, 667, 722, 667, 722), ("Ð", 722, 722, 722, 722, 722, 722),
+    ("ð", 556, 611, 500, 500, 500, 500), ("Ø", 778, 778, 722, 778, 722, 722), ("ø", 611, 611, 500, 500, 500, 500), ("Þ", 667, 667, 556, 611, 611, 611), ("þ", 556, 611, 500, 556, 500, 500), ("ß", 611, 611, 500, 556, 500, 500),
+]
 #: Families of the core fonts: widths, ascent, descent.
 CORE = {f: ([600] * 95, 0.629, -0.157) for f in ("Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique")}
 CORE |= {f: (_HELVETICA_BOLD if "Bold" in f else _HELVETICA, 0.718, -0.207) for f in ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique")}
-CORE |= {f: (_TIMES_BOLD if "Bold" in f else _TIMES, 0.683, -0.217) for f in ("Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic")}
+CORE |= {f: (w, 0.683, -0.217) for f, w in (("Times-Roman", _TIMES), ("Times-Bold", _TIMES_BOLD), ("Times-Italic", _TIMES_ITALIC), ("Times-BoldItalic", _TIMES_BOLD_ITALIC))}
 CORE |= {f: ([500] * 95, 1.010, -0.293) for f in ("Symbol", "ZapfDingbats")}
 
 
@@ -129,15 +141,27 @@ def core_name(base: str | None) -> str | None:
     return base if base in CORE else None
 
 
+_SIGN_WIDTHS = [{ord(c): row[1 + i] for row in _OTHER_WIDTHS for c in row[0]} for i in range(6)]
+
+
 def core_width(font: str, point: int) -> int:
-    """The width of a code point in a core font; that of its letter without accent, else half an em (Courier: 600)."""
+    """The width of a code point in a core font: its own, or that of its letter without accent (under an accent Helvetica's i is as wide as its bold one); half an em where there is neither. Courier: 600."""
     widths = CORE[font][0]
     if font.startswith("Courier"):
         return 600
     if 32 <= point < 127:
         return widths[point - 32]
+    family = ("Helvetica", "Times").index(font.split("-")[0]) if font[:1] in "HT" else None
+    if family is None:
+        return 500
+    bold, slanted = "Bold" in font, family and "Italic" in font
+    found = _SIGN_WIDTHS[2 * family + bold + 2 * bool(slanted)].get(point)
+    if found is not None:
+        return found
     base = unicodedata.normalize("NFD", chr(point))[:1] if point else ""
-    return widths[ord(base) - 32] if base and 32 <= ord(base) < 127 else {0x2014: 1000, 0x2026: 1000, 0x2122: 1000, 0x2018: 222, 0x2019: 222, 0x2022: 350}.get(point, 556 if font.startswith("Helv") else 500)
+    if base == "i":
+        return 278
+    return widths[ord(base) - 32] if base and 32 <= ord(base) < 127 else 500 if family else 556
 
 
 class CharMap:

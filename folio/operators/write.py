@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from ..errors import STATUS, InvalidArgument, LimitError, status
+from ..functions.scalars import text_width
 from ..kernel import serialize as S
 from ..kernel.embed import add_subset, add_truetype, image
 from ..kernel.syntax import File
@@ -27,12 +28,12 @@ def check_ops(ops: DataFrame) -> DataFrame:
 
 
 def draw_text(page: Column, seq: Column, text: Column, x: Column, y: Column, font: str = "Courier", size: float = 12.0, align: float = 0.0, line_height: float = 1.2) -> Column:
-    """An array of text operations, one a line. align: 0 left, 0.5 middle, 1 right, by the width of the line (Courier's is exact here)."""
-    if font != "Courier" and align:
-        raise InvalidArgument("alignment by columns needs Courier; draw aligned text of other fonts with the kernel", arg="align")
+    """An array of text operations, one a line. align: 0 left, 0.5 middle, 1 right, by the width of the line in the core font."""
+    if align and font in ("Symbol", "ZapfDingbats"):
+        raise InvalidArgument(f"{font} has no widths to align by", arg="align")
 
     def line(s: Column, i: Column) -> Column:
-        left = x - F.length(s) * (0.6 * size * align)
+        left = x - text_width(s, font, size) * align if align else x
         return F.struct(page.cast("int").alias("page"), (seq + i).cast("int").alias("seq"), F.lit("text").alias("op"), F.array(left.cast("double"), (y - i * (size * line_height)).cast("double"), F.lit(float(size)), F.lit(1.0), F.lit(0.0)).alias("nums"), F.concat(F.lit(font + "\t"), s).alias("str"))
 
     return F.transform(F.split(text, "\n"), line)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.values import formatted
+from ..kernel.fonts import CORE
 from ..kernel.serialize import Builder, date_string
 from ..kernel.values import Hex, Name, Stream
 from ..limits import Limits
@@ -509,6 +511,21 @@ def draw_align(spark, sf):
     return D.glyphs(_drawn(spark, sf, 0.5)).where("seq = 1").select("file_id", F.round("x0", 6).alias("x0"))
 
 
+#: Fonts of different widths, and one of each; SQL has the widths of letters, digits and signs from 32 to 126.
+_ALIGNED = ("Helvetica", "Helvetica-Bold", "Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic", "Courier")
+_ALIGNED_SQL = ", ".join(f"({i}, [{', '.join(map(str, CORE[f][0]))}])" for i, f in enumerate(_ALIGNED))
+
+
+@query(f"""SELECT (c_custkey * 8 + k)::BIGINT AS file_id, round(300 - 0.01 * list_sum(list_transform(range(1, length(c_name) + 1), lambda i : w[ascii(substr(c_name, i, 1)) - 31])) * (0.5 + 0.5 * (k % 2)), 6)::DOUBLE AS x0
+ FROM customer, (VALUES {_ALIGNED_SQL}) t(k, w)""")
+def draw_align_fonts(spark, sf):
+    """Customers' names set centred and to the right in fonts of every kind of width: where the first glyph comes to lie."""
+    c = _table(spark, sf, "customer").select("c_custkey", "c_name")
+    each = [c.select((F.col("c_custkey") * 8 + k).cast("long").alias("doc_id"), F.explode(W.draw_text(F.lit(1), F.lit(1), F.col("c_name"), F.lit(300.0), F.lit(700.0), font=f, size=10.0, align=0.5 + 0.5 * (k % 2))).alias("o")) for k, f in enumerate(_ALIGNED)]
+    ops = functools.reduce(DataFrame.unionByName, each).select("doc_id", "o.*")
+    return D.glyphs(W.write(ops, media_box=S.LETTER)).where("seq = 1").select("file_id", F.round("x0", 6).alias("x0"))
+
+
 @query("SELECT n_nationkey::BIGINT AS file_id, n_name || chr(10) || 'second line' AS text FROM nation")
 def draw_lines(spark, sf):
     return D.page_text(_drawn(spark, sf, lines=True)).select("file_id", "text")
@@ -677,6 +694,19 @@ def failure_summary(spark, sf):
     return D.failures(D.page_text(files, limits=Limits(max_stream=2000)), "page").select("file_id", "n", "class", F.concat_ws(",", F.col("items").cast("array<string>")).alias("pages"))
 
 
+@query("""WITH n AS (SELECT c_custkey, '/in/' || c_name || CASE c_custkey % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' WHEN 2 THEN '_output.pdf' ELSE '' END AS path, CASE WHEN c_custkey % 4 = 2 THEN '/in/' || c_name || '.pdf' END AS other FROM customer)
+SELECT c_custkey::BIGINT AS file_id, unnest([b || '_output.pdf', b || '_combined.pdf', b || '_7.pdf']) AS output, unnest([CASE WHEN other IS NOT NULL THEN 'output must not overwrite an input' END, NULL, NULL]) AS clash
+FROM (SELECT c_custkey, other, regexp_replace(coalesce(other, path), '\\.pdf$', '', 'i') AS b FROM n)""")
+def output_names(spark, sf):
+    """Names of the customers' outputs; for every fourth the default would overwrite another input."""
+    c = _table(spark, sf, "customer")
+    turn, base = F.col("c_custkey") % 4, F.concat(F.lit("/in/"), F.col("c_name"))
+    inputs = c.select(F.col("c_custkey").cast("long").alias("file_id"), F.concat(base, F.when(turn == 0, ".PDF").when(turn == 1, ".pdf").when(turn == 2, "_output.pdf").otherwise("")).alias("path"), F.when(turn == 2, F.concat(base, F.lit(".pdf"))).alias("other"))
+    of = F.coalesce("other", "path")
+    outputs = inputs.select("file_id", F.explode(F.array(scalars.output_name(of, "subset"), scalars.output_name(of, "combine"), scalars.output_name(of, "split", F.lit(7)))).alias("output"))
+    return scalars.safe_outputs(outputs, inputs)
+
+
 @query("""SELECT c_custkey::BIGINT AS file_id, unnest(['page', 'info']) AS what,
  unnest(['{Contents 4 0 R, MediaBox [0, 0, 612, 792], Parent 2 0 R, Resources {Font {F1 3 0 R}}, Type /Page}', '{Author "' || c_mktsegment || '", Id <0a' || printf('%02x', (c_custkey % 256)::INT) || '>, Title "' || c_name || '"}']) AS value FROM customer""")
 def formatted_values(spark, sf):

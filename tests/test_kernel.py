@@ -298,3 +298,9 @@ def test_metadata_in_both_versions():
 def test_operators_of_text_go_by_their_second_byte():
     f = File(pdf(b"BT /F1 12 Tfx 72 720 Tdd (a) Tjj T ET"))
     assert "".join(g.text for g in Walk(f, f.pages()[0][1], {}).glyphs) == "a"
+
+
+@pytest.mark.parametrize("font, text, width", [("Helvetica", "Hello", 2278), ("Helvetica-Bold", "Hello", 2445), ("Times-Roman", "Hello", 2222), ("Times-Bold", "Hello", 2278), ("Times-Italic", "Hello", 2222), ("Times-BoldItalic", "Hello", 2278), ("Courier-Bold", "Hello", 3000), ("Helvetica", "íé“€”", 278 + 556 + 333 + 556 + 333), ("Times-Italic", "A—Æß", 611 + 889 + 889 + 500), ("Times-BoldItalic", "Éµ¿", 667 + 576 + 500), ("Helvetica-Oblique", "î", 278)])
+def test_widths_of_core_fonts(font, text, width):
+    """Sums of the published metrics."""
+    assert text_width(text, font, 1000) == width

@@ -102,3 +102,18 @@ def test_subset_program():
         assert all(struct.unpack(">H", got[at : at + 2])[0] == s.new[part] for at, part in s._parts(old))
     b = Builder()
     assert add_subset(b, FONT.read_bytes(), {65, 0x1F600})[1].codes.keys() == {65}
+
+
+def test_output_names(spark):
+    from folio.errors import InvalidArgument
+    from folio.functions.scalars import output_name, safe_outputs
+
+    paths = ["/a/x.pdf", "/a/x.PDF", "/a/x.pdf.pdf", "/a/xpdf", "/a/x.pdf\n", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = [tuple(r) for r in df.select(output_name(F.col("path"), "subset"), output_name(F.col("path"), "combine"), output_name(F.col("path"), "split", F.lit(3))).collect()]
+    stems = ["/a/x", "/a/x", "/a/x.pdf", "/a/xpdf", "/a/x.pdf\n"]
+    assert got == [(f"{s}_output.pdf", f"{s}_combined.pdf", f"{s}_3.pdf") for s in stems] + [(None,) * 3]
+    told = safe_outputs(spark.createDataFrame([("/o",), ("/i",), ("/t",), ("/t",), (None,)], "output string"), spark.createDataFrame([("/i",), ("/i",), (None,)], "path string"))
+    assert sorted(((r["output"] or "", r["clash"]) for r in told.collect()), key=str) == sorted([("/o", None), ("/i", "output must not overwrite an input"), ("/t", "several files would go there"), ("/t", "several files would go there"), ("", "output is needed for a file from memory")], key=str)
+    with pytest.raises(InvalidArgument):
+        output_name(F.col("path"), "split")
