@@ -208,11 +208,38 @@ def forest(cls: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def across_tiles(cls: np.ndarray, near, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles (side tells which) that the tiles' own links don't imply: at most one fewer than the components that the two have by themselves.
+
+    A tile's own links come from its own group, so a family of many tiles has about one link a pair of tiles, not one a class and pair.
+    """
+    at = np.arange(len(cls))
+    label = at.copy()
+    # A forest tells a component's classes one after the other, each linked from an earlier one.
+    for i, j in zip(*forest(at, lambda i: near(i) & (side == side[i])), strict=True):
+        label[j] = label[i]
+    top = at.copy()
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    kept = []
+    for i, j in zip(*forest(at, near), strict=True):
+        x, y = root(label[i]), root(label[j])
+        if x != y:
+            top[y] = x
+            kept.append((i, j))
+    pairs = np.array(kept, np.int64).reshape(-1, 2)
+    return cls[pairs[:, 0]], cls[pairs[:, 1]]
+
+
 def likely_in_large_keys(members: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """members (key, class, m: the key's classes, n, bits) -> links (a, b) that connect what the bits don't rule out, within each key."""
     tiles = F.ceil(F.col("m") / (2 * TILE)).cast("int")
     dealt = scratch.table(members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")), "key tiles")
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "n", "bits")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "class", "n", "bits")
 
     def run(table: pa.Table) -> pa.Table:
         cls, n = table.column("class").to_numpy(), table.column("n").to_numpy()
@@ -220,7 +247,8 @@ def likely_in_large_keys(members: DataFrame, num: int, den: int, scratch: Scratc
         size = min(map(len, raw))
         bits = np.stack([folded(x, size) for x in raw])
         fits = lambda i: (np.bitwise_count(bits ^ bits[i]).sum(1) <= (n + n[i]) * (den - num) // (den + num)) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num)
-        a, b = forest(cls, fits)
+        side = table.column("tile").to_numpy()
+        a, b = forest(cls, fits) if (side == side[0]).all() else across_tiles(cls, fits, side)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return sent.groupBy("key", "t", "u").applyInArrow(run, "a long, b long")
@@ -255,11 +283,12 @@ def family_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratc
     dealt = scratch.table(members.join(sizes, "family").select("class", "family", tiles.alias("tiles"), F.pmod(F.xxhash64("class"), tiles).cast("int").alias("tile")), "tiles")
     # Only the places of sets are joined before sets are dealt out, once for every pair of tiles.
     sent = sets.join(F.broadcast(dealt) if small(dealt) else dealt, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sent = sent.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", "s")
+    sent = sent.select("family", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "class", "s")
 
     def run(table: pa.Table) -> pa.Table:
         hit = linked_in_tiles([np.asarray(s.values) for s in table.column("s")], num, den)
-        a, b = forest(table.column("class").to_numpy(), hit.__getitem__)
+        cls, side = table.column("class").to_numpy(), table.column("tile").to_numpy()
+        a, b = forest(cls, hit.__getitem__) if (side == side[0]).all() else across_tiles(cls, hit.__getitem__, side)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return sent.groupBy("family", "t", "u").applyInArrow(run, "a long, b long")
