@@ -3,7 +3,7 @@
 The field is a linear chain over tokens with word-shape features (kind of token, number of digits, key words, punctuation, white
 space before it) of a token and its two neighbours on either side. It is trained by maximum likelihood from a small labelled
 table, and decoded by Viterbi in numpy, the stretches of a batch of texts together. It looks at the stretches around digits, ``@`` and
-every ``at`` in brackets or before a spelled-out domain: REACH characters on either side and up to WIDEN more to the next white space; elsewhere there is nothing that it is trained to label. A span that it proposes must pass its kind's
+every ``at`` in brackets or before a spelled-out domain: REACH characters on either side and on to the next white space; elsewhere there is nothing that it is trained to label. A span that it proposes must pass its kind's
 check (Luhn for cards, four parts up to 255 for addresses, 9 to 15 digits for phones), and must not touch a span of the patterns or a
 match of its own kind that failed its check; so the base spans stay as they are.
 
@@ -88,7 +88,7 @@ TRIGGER = re.compile(rf"(?:@|{_BRACKETED})\s?{_NAME}{_MORE}+|\bat\b\W{{0,3}}{_NA
 #: An address within a longer span that the field proposes. Without brackets only ``dot`` joins names here: ``at this point in`` is prose.
 WITHIN = re.compile(rf"(?<![\w.+%-])(?:[\w.+%-]++\s?{_BRACKETED}\s?{_NAME}{_MORE}+|[\w.+%-]++\W{{1,3}}\bat\b\W{{1,3}}{_NAME}(?:\W{{1,3}}dot\W{{1,3}}{_NAME})+)", re.I)
 _SPACE = re.compile(r"\s")
-REACH, WIDEN = 40, 64
+REACH = 40
 #: Tokens that are decoded at once. A longer stretch is cut between plain words.
 MOST_TOKENS = 100_000
 #: Words that stand before personal data, and words that spell signs out.
@@ -143,6 +143,9 @@ her number is {phone:DDD-DDD-DDDD} at home
 tel {phone:DDD.DDD.DDDD} or write
 phone: {phone:0DD DDDDDDDD} please
 dial {phone:+DD DDD DDDDDDD} now
+tel {phone:(0DD) DD DD DD DD} or
+telefon {phone:0DD DD DD DD DD} in
+ring {phone:0D DD DD DD DD} today
 fax {phone:+D (DDD) DDD-DDDD} and wait
 ring {phone:+DDDDDDDDDDDD} soon
 the {phone:+D (DDD) DDD-DDDD} of the
@@ -193,6 +196,8 @@ DDD DDD DDD are numbers
 section D.D.D.D.D of it
 DD, DD, DD and DD
 id DDDDDDDDDD in the
+number DDD-DD-DDDD was his
+the DDD-DD-DDDD of
 account DDDDDDDDDDDDDDDDDDDDDD closed"""
 
 
@@ -225,7 +230,7 @@ SHAPES = (
     re.compile(r"(?i)[\w.+%-]+\W{0,3}(?:@|\bat\b)\W{0,3}\w[\w-]*(?:\W{0,3}(?:\.|\bdot\b|\bpunkt\b|\bpoint\b)\W{0,3}\w[\w-]*)+"),
     re.compile(r"[0-9]{1,3}(?:[\[(\s]{0,2}\.[\])\s]{0,2}[0-9]{1,3}){3}"),
     re.compile(r"[0-9](?:[\s.\-/]{0,2}[0-9])+"),
-    re.compile(r"(?=.*[^0-9])[+(0-9][0-9\s().\-/]*[0-9]"),
+    re.compile(r"(?![0-9]{3}-[0-9]{2}-[0-9]{4}\Z)(?=.*[^0-9])[+(0-9][0-9\s().\-/]*[0-9]"),
 )
 
 
@@ -303,19 +308,17 @@ def train(rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, widened to white space on both sides, by WIDEN characters at most."""
+    """Parts of the text around triggers, widened to white space on both sides, however far: no word is cut. What a stretch covers isn't looked at again, so all of them take one pass."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         last = out[-1][1] if out else 0
         if m.end() + REACH <= last:
             continue
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        low = max(last, a - WIDEN)
-        while a > low and not text[a - 1].isspace() and not text[a].isspace():
+        while a > last and not text[a - 1].isspace() and not text[a].isspace():
             a -= 1
         if b < len(text) and not text[b - 1].isspace():
-            top = min(len(text), b + WIDEN)
-            b = max(b, found.start() if (found := _SPACE.search(text, b, top)) else top)
+            b = max(b, found.start() if (found := _SPACE.search(text, b)) else len(text))
         if out and a <= last:
             out[-1] = (out[-1][0], max(b, last))
         else:
@@ -359,6 +362,18 @@ def added_spans(texts: list[str], base: list, field: Field) -> list[list[tuple[i
     return out
 
 
+_LOCAL_END, _DOMAIN_END = re.compile(r"[\w.+%-]"), re.compile(r"[\w-]")
+
+
+def whole_address(text: str, start: int, kind: int, end: int) -> tuple[int, int, int]:
+    """A span of an address, widened to where the run of its characters begins and its last name ends: no address is left in part."""
+    while start > 0 and _LOCAL_END.match(text[start - 1]):
+        start -= 1
+    while end < len(text) and _DOMAIN_END.match(text[end]):
+        end += 1
+    return start, kind, end
+
+
 def _decode(texts: list[str], base: list, field: Field, held: list, out: list[list[tuple[int, int, int]]]) -> None:
     """Labels the held stretches and puts the spans that pass into out."""
     a, b, s = ([x for h in held for x in h[k]] for k in (1, 2, 3))
@@ -372,12 +387,19 @@ def _decode(texts: list[str], base: list, field: Field, held: list, out: list[li
     kind = (labels + 1) // 2
     fresh = (labels > 0) & (begin | (labels % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
     proposed: list[tuple[int, tuple[int, int, int]]] = []
+    widened: dict[int, int] = {}
     for i in np.flatnonzero(fresh).tolist():
         j = i + 1
         while j < len(s) and not begin[j] and labels[j] == 2 * kind[i]:
             j += 1
         doc, k = int(owner[i]), int(kind[i]) - 1
         span = (a[i], k, b[j - 1])
+        if k == 0:
+            # A run that was widened over is done: all of its addresses were proposed then.
+            if span[0] < widened.get(doc, 0):
+                continue
+            span = whole_address(texts[doc], *span)
+            widened[doc] = span[2]
         if k == 0 and not SHAPES[k].fullmatch(texts[doc], span[0], span[2]):
             proposed += [(doc, (m.start(), k, m.end())) for m in WITHIN.finditer(texts[doc], span[0], span[2])]
         else:

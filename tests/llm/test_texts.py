@@ -337,3 +337,28 @@ def test_all_containers_of_an_article_are_joined(spark):
     rows = [(0, "https://one.example/", html), (1, "https://two.example/", "<article>A</article><div>x</div><article><p>B<p>C</article>")]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "first\nsecond and longer\nthird", 1: "A\nB\nC"}
+
+
+def test_addresses_are_whole_or_absent():
+    """However long an address is, a span holds all of it; numbers grouped three, two, four are no phones."""
+    field = pii.train()
+    long_ = ["ab.cd" * 30 + " [at] example [dot] com", "a" * 110 + " [at] example [dot] com", "a-b_" * 500 + "x (at) mail (dot) example (dot) org"]
+    for address in [*long_, "x-y.z%q [at] foo.bar [dot] org"]:
+        text = f"write to {address} today"
+        (_, spans), = pii.find([text], field)
+        assert [text[a:b] for a, k, b in spans if k == 0] == [address]
+        assert pii.redacted(text, spans) == "write to <EMAIL> today"
+    assert [text for text in ("ssn 123-45-6789 ok",) if pii.find([text], field)[0][1]] == []
+    (_, spans), = pii.find(["call (030) 12 34 56 78 now"], field)
+    assert [(k, a, b) for a, k, b in spans] == [(3, 5, 22)]
+
+
+def test_one_run_of_many_triggers_takes_linear_time():
+    import time
+
+    field, took = pii.train(), []
+    for n in (20_000, 80_000):
+        start = time.time()
+        pii.find(["a.b-c1" * n], field)
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0] + 1
