@@ -104,15 +104,18 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc
     split = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), once(words_of(F.col(text))).alias("_w"))
     hashed = split.select("doc_id", F.size("_w").alias("n_words"), once(shingles_of(F.col("_w"))).alias("s"))
     held = hashed.where(F.arrays_overlap("s", lit(marks)))
-    # One row a window: the classes' reach and the window's start. Windows without a minimum of their own class are left out at once.
+    # One row a window: the classes' reach, the window's start and its own shingles, cut out before rows are made, so no row carries the whole text's. Windows without a minimum of
+    # their own class are never made.
     reaches = sorted({t["reach"] for t in known})
 
-    def starts(reach: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(reach)), lambda a: F.struct(F.lit(reach).alias("reach"), a.cast("int").alias("start")))
+    def of_class(reach: int) -> Column:
+        own = lit(sorted({x for t in known if t["reach"] == reach for x in t["at"]}))
+        starts = F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(reach))
+        cut = F.transform(starts, lambda a: F.struct(F.lit(reach).alias("reach"), a.cast("int").alias("start"), F.slice("s", a.cast("int") + 1, 1 if reach == 1 else 2 * reach).alias("v")))
+        return F.filter(cut, lambda w: F.arrays_overlap(w["v"], own))
 
-    windows = held.withColumn("w", F.explode(F.flatten(F.array(*map(starts, reaches))))).select("doc_id", "n_words", "w.reach", "w.start", once(F.slice("s", F.col("w.start") + 1, F.when(F.col("w.reach") == 1, 1).otherwise(2 * F.col("w.reach")))).alias("v"))
-    own = F.coalesce(*[F.when(F.col("reach") == r, F.arrays_overlap("v", lit(sorted({x for t in known if t["reach"] == r for x in t["at"]})))) for r in reaches])
-    banded = windows.where(own).withColumn("v", F.array_distinct("v")).withColumn("m", once(minima(F.col("v"))))
+    windows = held.select("doc_id", "n_words", F.explode(F.concat(*map(of_class, reaches))).alias("w")).select("doc_id", "n_words", "w.*")
+    banded = windows.withColumn("v", F.array_distinct("v")).withColumn("m", once(minima(F.col("v"))))
     # The join key is a band and its minimum; of several bands in which a window and a template agree, the first one's row stays.
     table = spark.createDataFrame([(k, t["m"][k], t["reach"], t["template"], t["license"], t["d"], t["m"]) for t in known for k in range(BANDS)], "band int, minimum long, reach int, template long, license string, d array<long>, tm array<long>")
     exploded = banded.select("*", F.posexplode("m").alias("band", "minimum"))
