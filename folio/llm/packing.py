@@ -14,13 +14,14 @@ rows with a null id too. Texts of any length are cut, never shortened. Empty tab
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -231,6 +232,34 @@ def sweep(slots: DataFrame, band: DataFrame, rows: int, scratch: Scratch) -> tup
     return own.select(*columns).union(held.join(got, ["seg", "nth"], "left").select(*columns)), lost.join(seg, inside, "left_anti").select("item", "length"), found, None
 
 
+def wanted(gaps: DataFrame, lo: int, hi: int, n: int, most: int) -> tuple[Column, int]:
+    """(which gaps to offer to n pieces of lengths from lo + 1 to hi, about how many slots they have), at most about n slots of full length, from the smallest gaps up, and n of each smaller size.
+
+    Among gaps of one size any will do; those taken are told by a hash of their sequence, a few more than needed. most: as many slots as there could be; where that is less than four for each piece, all gaps are offered.
+    """
+    room = F.col("gap") > lo
+    if 4 * n >= most:
+        return room, most
+    # At most one row a size.
+    sizes = {r["gap"]: r["count"] for r in gaps.where(room).groupBy("gap").count().collect()}
+    all_, some, left, slots = [], [], n, 0
+    for g in sorted(sizes):
+        each = min(max(1, g // hi), n)
+        need = n if g < hi else -(-left // each)
+        if need <= 0:
+            continue
+        ask = need + 6 * math.isqrt(need) + 10
+        took = min(sizes[g], ask)
+        (all_ if took == sizes[g] else some).append((g, ask / sizes[g]))
+        slots += took * each
+        left -= min(sizes[g], need) * each if g >= hi else 0
+    spread = F.pmod(F.xxhash64("seq"), F.lit(1 << 30))
+    chosen = F.col("gap").isin([g for g, _ in all_]) if all_ else F.lit(False)
+    for g, part in some:
+        chosen = chosen | ((F.col("gap") == g) & (spread < int(part * (1 << 30)) + 1))
+    return chosen, slots
+
+
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """items (doc_id, piece, length, ...), each length from 1 to capacity -> with sequence_id and offset, gapless from 0 in every sequence."""
     spark = items.sparkSession
@@ -253,9 +282,10 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
         band, short = rows.where((F.col("length") > lo) & (F.col("length") <= hi)).select("item", "length"), False
         while n:
             # Slots of the band's full length where a gap has room for them, else one of the gap's own size.
-            many = F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("long")
-            slots = gaps.where(F.col("gap") > lo).select("seq", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("slot"), F.least("gap", F.lit(hi)).cast("long").alias("size"), "gap")
-            found, left, got, left_words = sweep(slots, band, n + (n_alone + opened) * max(1, capacity // hi // 4), scratch)
+            many = F.least(F.greatest(F.lit(1), F.floor(F.col("gap") / hi)), F.lit(n)).cast("long")
+            offered, about = wanted(gaps, lo, hi, n, (n_alone + opened) * (capacity // hi))
+            slots = gaps.where(offered).select("seq", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("slot"), F.least("gap", F.lit(hi)).cast("long").alias("size"), "gap")
+            found, left, got, left_words = sweep(slots, band, n + about, scratch)
             if got:
                 # One shuffle by sequence: where its pieces begin, and the gap that they leave, which its first slot's row carries on.
                 by_seq = Window.partitionBy("seq").orderBy("slot")
@@ -264,7 +294,7 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
                 rest = F.col("gap") - F.sum(used).over(by_seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                 laid = scratch.table(found.select("item", "length", "seq", "slot", start.alias("offset"), rest.alias("rest")), "round")
                 placed.append(laid.where("item is not null").select("item", "seq", "offset"))
-                gaps = laid.where("slot = 0 and rest > 0").select("seq", F.col("rest").alias("gap")).union(gaps.where(F.col("gap") <= lo))
+                gaps = laid.where("slot = 0 and rest > 0").select("seq", F.col("rest").alias("gap")).union(gaps.where(~offered))
                 n, band = n - got, left
             if n:
                 # Open as many sequences as the ids left fill; if that was not enough, or is about the same, as many as surely take the rest. Those that

@@ -203,3 +203,16 @@ def test_escapes_are_reversible():
         safe = chat.escape(t)
         assert chat.unescape(safe) == t and not chat._CONTROL.search(safe)
     assert math.isfinite(len(chat.CONTROLS))
+
+
+def test_slots_are_bounded_by_pieces(spark):
+    """However many gaps are open, a few pieces are offered a few of them: the smallest that hold them, and enough of each smaller size."""
+    gaps = spark.range(10_000).select(F.col("id").alias("seq"), F.lit(424).cast("long").alias("gap")).union(spark.range(20_000, 20_050).select("id", F.lit(900).cast("long")))
+    offered, about = packing.wanted(gaps, 0, 1, 1, 10_050 * 1024)
+    held = gaps.where(offered).groupBy("gap").count().collect()
+    assert about <= 20 and [r["gap"] for r in held] == [424] and 1 <= held[0]["count"] < 100
+    # Pieces that only the largest gaps hold find all of them.
+    offered, _ = packing.wanted(gaps, 512, 1024, 100, 10_050)
+    assert {r["gap"]: r["count"] for r in gaps.where(offered).groupBy("gap").count().collect()} == {900: 50}
+    items = spark.range(2001).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") == 2000, 1).otherwise(600).cast("long").alias("length"))
+    assert packing.pack(items, Scratch(spark, "few")).select("sequence_id").distinct().count() == 2000
