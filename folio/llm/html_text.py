@@ -1,14 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are aligned by simple tree matching of their DOM trees, with runs of like siblings folded into one node. The trees of a host's REFERENCES pages of smallest article hash
+Pages of a host are aligned by simple tree matching of their DOM trees, with runs of like siblings folded into one node. The trees of all of a host's pages
 are merged into its wrapper; then every page is aligned to the wrapper, and each of its nodes learns on how many pages it stood and whether its text was always the same. Nodes
 that stay the same while others vary are the template; varying nodes are the slots that content stands in. A page's
 template nodes are dropped, and what remains of the article is written block by block. What varies from page to page and still is no
 article (menus, adverts, forms, comments) is told by its element, role or name.
 
-A node is template only if it stood on at least LEAST_PAGES pages and LEAST_SHARE of the host's. Pages of a host with the same article (by the
-hash of what would be extracted without a wrapper) count as one, so an article under several addresses is no evidence against its own text. A node on a
-quarter of a host's pages is missing from all references with a probability of a tenth, one on half of them hardly ever.
+A node is template only if it stood on at least LEAST_PAGES pages and LEAST_SHARE of the host's. Aligned nodes have the same path of signs, so paths on fewer pages
+hold no template, and they are left out before trees are merged; this bounds a wrapper and changes no result. Equal trees are merged once, others in groups by their hash, and groups again until one tree is left. Pages of a host with the same article (by the
+hash of what would be extracted without a wrapper) count as one, so an article under several addresses is no evidence against its own text.
 
 What a page adds is a count, a smallest and a largest hash for each node, so neither order nor partitions change a result, and a host with any share of all pages is counted where its pages lie. Pages are of
 any size and depth: trees are walked without recursion and in time proportional to the page, but for the alignment of a level with another, which takes the product of their different children.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textbatch import small_batches, steps, tidy
 
-#: Pages whose trees make a host's wrapper.
-REFERENCES = 8
+#: Different trees that a task merges at once.
+GROUP = 64
 LEAST_PAGES = 3
 LEAST_SHARE = 0.25
 #: Wrappers are broadcast up to so many bytes in all; beyond, pages are joined with them by host.
@@ -270,12 +270,85 @@ def deep(said: str) -> list:
     return top
 
 
+def preorder(nodes: list) -> Iterator[list]:
+    """A forest's nodes from the top, in order."""
+    todo = list(reversed(nodes))
+    while todo:
+        yield (node := todo.pop())
+        todo += reversed(node[2])
+
+
+def shape(nodes: list) -> str:
+    """A forest's signs, in order from the top, each with the number of its children."""
+    return json.dumps((len(nodes), [(n[0], len(n[2])) for n in preorder(nodes)]), separators=(",", ":"))
+
+
+def grown(said: str) -> list:
+    """What shape() wrote, as a forest whose nodes have their places in it for hashes."""
+    n, signs = json.loads(said)
+    top: list = []
+    todo = [(top, n)]
+    for i, (sign, many) in enumerate(signs):
+        while len(todo[-1][0]) == todo[-1][1]:
+            todo.pop()
+        kids: list = []
+        todo[-1][0].append([sign, i, kids])
+        todo.append((kids, many))
+    return top
+
+
+def paths(nodes: list) -> list[int]:
+    """A hash of each node's signs from the top down to its own, in preorder."""
+    out, todo = [], [(n, b"") for n in reversed(nodes)]
+    while todo:
+        node, above = todo.pop()
+        here = xxhash.xxh3_128_digest(above + node[0].encode("utf-8", "surrogatepass"))
+        out.append(int.from_bytes(here[:8], signed=True))
+        todo += [(k, here) for k in reversed(node[2])]
+    return out
+
+
+def pruned(nodes: list, kept: frozenset[int]) -> list:
+    """The forest without nodes of other paths; what stands below one goes with it."""
+    out: list = []
+    where = {id(n): out for n in nodes}
+    for node, path in zip(preorder(nodes), paths(nodes), strict=True):
+        into = where[id(node)]
+        below: list | None = None
+        if into is not None and path in kept:
+            into.append([node[0], 0, below := []])
+        where.update((id(k), below) for k in node[2])
+    return out
+
+
+def merged(trees: list[list]) -> list:
+    """One forest that holds all, the largest first, so that others find their places in it."""
+    return functools.reduce(merge, sorted(trees, key=lambda t: (-sum(1 for _ in preorder(t)), shape(t))))
+
+
+def placed(mine: list, theirs: list) -> list[int]:
+    """For each of the first forest's nodes, in preorder, the number of its partner in the second, or -1."""
+    known, got = match(mine, theirs), {}
+    todo = [(mine, theirs)]
+    while todo:
+        x, y = todo.pop()
+        for i, j in known[id(x), id(y)][1]:
+            got[id(x[i])] = y[j][1]
+            if x[i][2] and y[j][2]:
+                todo.append((x[i][2], y[j][2]))
+    return [got.get(id(n), -1) for n in preorder(mine)]
+
+
 def _align(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
     """The largest number of nodes matched in order, given those of the children, and the pairs of this level."""
     gain_of = lambda x, y: 1 + (known[id(x[2]), id(y[2])][0] if x[2] and y[2] else 0)
+    # What the other level has no sign of can't be matched.
+    both = {x[0] for x in a} & {y[0] for y in b}
+    at, to = [i for i, x in enumerate(a) if x[0] in both], [j for j, y in enumerate(b) if y[0] in both]
+    a, b = [a[i] for i in at], [b[j] for j in to]
     signs = [x[0] for x in a]
-    if signs == [y[0] for y in b] and len(set(signs)) == len(signs):
-        return sum(map(gain_of, a, b)), [(i, i) for i in range(len(a))]
+    if signs == [y[0] for y in b] and len(both) == len(signs):
+        return sum(map(gain_of, a, b)), list(zip(at, to, strict=True))
     gain = {}
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -289,7 +362,7 @@ def _align(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
     pairs, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if (i, j) in gain and best[i][j] == gain[i, j] + best[i + 1][j + 1]:
-            pairs.append((i, j))
+            pairs.append((at[i], to[j]))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
             i += 1
@@ -336,54 +409,55 @@ def merge(a: list, b: list) -> list:
     return out
 
 
-def numbered(nodes: list) -> list:
-    """The wrapper with a number for each node."""
-    todo, n = list(reversed(nodes)), 0
-    while todo:
-        node = todo.pop()
-        node[1], n = n, n + 1
-        todo += reversed(node[2])
-    return nodes
-
-
 # --- extraction ------------------------------------------------------------------------------------------------------------------
 
+#: Shapes whose alignment to a wrapper a task remembers; for the wrapper that it has in hand.
+KNOWN_SHAPES = 200
 SLOTS = ("p", "div", "section", "article", "h1", "h2", "td", "li")
 
 
 class Wrapper:
-    """A host's wrapper with what its pages said: for each node its pages, and its text's hash if that was always the same."""
-
-    def __init__(self, tree: str, seen: int, stats: str):
-        self.nodes, self.seen = deep(tree), seen
-        self.stats = {x["node"]: (x["n"], x["h"] if x["same"] else None) for x in json.loads(stats)}
-        todo, self.varies = [self.nodes], False
-        while todo and not self.varies:
-            for sign, k, kids in todo.pop():
-                n, h = self.stats.get(k, (0, None))
-                self.varies |= h is None and n >= LEAST_PAGES and not kids and sign.split(".")[0] in SLOTS
-                todo.append(kids)
+    """A host's wrapper with what its pages said: for each node its pages, and its text's hash if that was always the same. rare: whether a slot that is too rare for the wrapper varies."""
+
+    def __init__(self, tree: str, seen: int, stats: str, rare: bool):
+        self.nodes = grown(tree)
+        said = json.loads(stats)
+        varied = {x["node"] for x in said if not x["same"] and x["n"] >= LEAST_PAGES}
+        varies = rare or any(not kids and k in varied and sign.split(".")[0] in SLOTS for sign, k, kids in preorder(self.nodes))
+        # Template nodes with the hashes of their texts.
+        self.constant = {x["node"]: x["h"] for x in said if x["same"] and x["n"] >= max(LEAST_PAGES, LEAST_SHARE * seen)} if varies else {}
+        self.placed: dict[str, list[int]] = {}
+
+    def places(self, kids: list) -> list[int]:
+        """placed(kids, nodes), remembered by shape."""
+        if (found := self.placed.get(name := shape(kids))) is None:
+            if len(self.placed) >= KNOWN_SHAPES:
+                self.placed.clear()
+            found = self.placed[name] = placed(kids, self.nodes)
+        return found
 
 
 def template_nodes(page: Node, wrapper: Wrapper | None) -> set[int]:
     """The ids of the page's nodes that are template: aligned to a wrapper's node that never varied on its part of the host's pages, and saying the same."""
     constant: set[int] = set()
-    if wrapper is None or not wrapper.varies:
+    if wrapper is None or not wrapper.constant:
         return constant
     kids, places = skeleton(page)
-    known = match(kids, wrapper.nodes)
-    todo = [(kids, places, wrapper.nodes)]
-    while todo:
-        mine, where, theirs = todo.pop()
-        for i, j in known[id(mine), id(theirs)][1]:
-            n, h = wrapper.stats.get(theirs[j][1], (0, None))
-            if n >= max(LEAST_PAGES, LEAST_SHARE * wrapper.seen) and h == mine[i][1]:
-                constant.update(map(id, where[i][0]))
-            elif mine[i][2] and theirs[j][2]:
-                todo.append((mine[i][2], where[i][1], theirs[j][2]))
+    for node, k, same in zip(preorder(kids), wrapper.places(kids), stood(places), strict=True):
+        if wrapper.constant.get(k) == node[1]:
+            constant.update(map(id, same))
     return constant
 
 
+def stood(places: list) -> Iterator[list[Node]]:
+    """The DOM nodes of a skeleton's nodes in preorder."""
+    todo = list(reversed(places))
+    while todo:
+        same, below = todo.pop()
+        yield same
+        todo += reversed(below)
+
+
 def blocks(node: Node, dropped: set[int], inside: bool) -> list[str]:
     """Texts of the node's blocks in page order, white space folded; rejected and dropped nodes are left out. inside: the node is an article's container."""
     out: list[str] = []
@@ -446,29 +520,54 @@ def host(url):
 
 
 def wrappers(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFrame:
-    """(host, tree, seen: the number of differing pages, stats as JSON) from all pages."""
+    """(host, wrapper, seen: the number of differing pages, stats as JSON, rare) from all pages; hosts where no path is on enough pages have none."""
     given = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' and html is not null")
 
     @tidy
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "html"):
-            keys, trees = [], []
+            keys, shapes, hashes = [], [], []
             for t in texts:
                 root = parse(t)
                 keys.append(xxhash.xxh3_128_digest("\n".join(article(root, set())).encode("utf-8", "surrogatepass")))
-                trees.append(flat(skeleton(root)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.binary()), pa.array(trees, pa.string())], ["host", "article", "tree"])
+                kids = skeleton(root)[0]
+                shapes.append(shape(kids))
+                hashes.append([n[1] for n in preorder(kids)])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.binary()), pa.array(shapes, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "article", "shape", "hashes"])
+
+    @tidy
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, shapes in steps(batches, "shape"):
+            rows = [(name, path, n) for name, said, n in zip(batch.column("host").to_pylist(), shapes, batch.column("n").to_pylist(), strict=True) for path in set(paths(grown(said)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "path", "n"])
+
+    @tidy
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, shapes in steps(batches, "shape"):
+            found = [shape(pruned(grown(s), frozenset(kept))) for s, kept in zip(shapes, batch.column("paths").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "wrapper"])
 
     def join(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("article").to_pylist(), table.column("tree").to_pylist(), strict=True))
-        tree = functools.reduce(merge, [deep(t) for _, t in rows])
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([flat(numbered(tree))], pa.string())})
+        tree = merged([grown(t) for t in table.column("wrapper").to_pylist()])
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([shape(tree)], pa.string())})
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrapper = functools.lru_cache(500)(deep)
+        wrapper = functools.lru_cache(100)(grown)
         held: dict[tuple[str, int], list[int]] = {}
 
+        @functools.lru_cache(2000)
+        def plan(said: str, known: str) -> list[tuple[int, int]]:
+            """(place in the page, number) of aligned nodes and, with numbers from -2 down that tell their paths, of leaves of other paths that could be slots."""
+            nodes = grown(said)
+            to, out = placed(nodes, wrapper(known)), {}
+            for node, k, path in zip(preorder(nodes), to, paths(nodes), strict=True):
+                if k >= 0:
+                    out[k] = node[1]
+                elif not node[2] and node[0].split(".")[0] in SLOTS:
+                    out.setdefault(-2 - (path & (1 << 62) - 1), node[1])
+            return [(i, k) for k, i in out.items()]
+
         def out() -> pa.RecordBatch:
             cols = [[k[0] for k in held], [k[1] for k in held], *([v[i] for v in held.values()] for i in range(3))]
             held.clear()
@@ -478,33 +577,35 @@ def wrappers(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFra
             now = held.setdefault(key, [0, h, h])
             now[0], now[1], now[2] = now[0] + 1, min(now[1], h), max(now[2], h)
 
-        for batch, trees in steps(batches, "tree"):
-            for name, tree, known in zip(batch.column("host").to_pylist(), trees, batch.column("wrapper").to_pylist(), strict=True):
+        for batch, shapes in steps(batches, "shape"):
+            for name, said, hashes, known in zip(batch.column("host").to_pylist(), shapes, batch.column("hashes").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
                 see((name, -1), 0)
-                mine, theirs = deep(tree), wrapper(known)
-                pairs = match(mine, theirs)
-                todo = [(mine, theirs)]
-                while todo:
-                    x, y = todo.pop()
-                    for i, j in pairs[id(x), id(y)][1]:
-                        see((name, y[j][1]), x[i][1])
-                        if x[i][2] and y[j][2]:
-                            todo.append((x[i][2], y[j][2]))
-            if len(held) > 100_000:
-                yield out()
+                for i, k in plan(said, known):
+                    see((name, k), hashes[i])
+                if len(held) > 100_000:
+                    yield out()
         if held:
             yield out()
 
     # A row for each host and article, so that neither a host with most pages nor an article with most copies lands in one task.
-    folded = scratch.table(given.mapInArrow(fold, "host string, article binary, tree string").groupBy("host", "article").agg(F.min("tree").alias("tree")), "folded")
-    # The first rows by hash are cut out before they are shuffled.
-    first = folded.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("article"))).where(F.col("k") <= REFERENCES).drop("k")
-    trees = scratch.table(first.groupBy("host").applyInArrow(join, "host string, wrapper string"), "trees")
-    joined = folded.select("host", "tree").join(F.broadcast(trees) if _bytes(trees, "wrapper") <= BROADCAST_BYTES else trees, "host")
+    folded = scratch.table(given.mapInArrow(fold, "host string, article binary, shape string, hashes array<long>").groupBy("host", "article").agg(F.min(F.struct("shape", "hashes")).alias("tree")).select("host", "tree.*"), "folded")
+    shapes = scratch.table(folded.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
+    seen = shapes.groupBy("host").agg(F.sum("n").alias("seen"))
+    # A host keeps four times as many paths as its pages have on average, at most.
+    enough = F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.lit(LEAST_SHARE) * F.col("seen"))
+    kept = shapes.mapInArrow(walk, "host string, path long, n long").groupBy("host", "path").agg(F.sum("n").alias("n")).join(seen, "host").where(enough)
+    kept = scratch.table(kept.groupBy("host").agg(F.collect_list("path").alias("paths")), "paths")
+    trees = scratch.table(shapes.select("host", "shape").join(kept, "host").mapInArrow(prune, "host string, wrapper string").distinct(), "trees")
+    while (most := trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        sizes = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+        grouped = trees.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.col("groups"))).groupBy("host", "part")
+        trees = scratch.table(grouped.applyInArrow(join, "host string, wrapper string").distinct(), f"merged{most}")
+    joined = folded.join(F.broadcast(trees) if _bytes(trees, "wrapper") <= BROADCAST_BYTES else trees, "host")
     counts = joined.mapInArrow(count, "host string, node long, n long, low long, high long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     stat = F.when(F.col("node") >= 0, F.struct("node", "n", F.col("low").alias("h"), (F.col("low") == F.col("high")).alias("same")))
-    stats = counts.groupBy("host").agg(F.max(F.when(F.col("node") < 0, F.col("n"))).alias("seen"), F.to_json(F.collect_list(stat)).alias("stats"))
-    return trees.join(stats, "host").select("host", "wrapper", "seen", "stats")
+    rare = F.max((F.col("node") < -1) & (F.col("n") >= LEAST_PAGES) & (F.col("low") != F.col("high")))
+    stats = counts.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("n"))).alias("seen"), F.to_json(F.collect_list(stat)).alias("stats"), rare.alias("rare"))
+    return trees.join(stats, "host").select("host", "wrapper", "seen", "stats", "rare")
 
 
 def _bytes(table: DataFrame, *columns: str) -> int:
@@ -523,9 +624,9 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tupl
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrapper = functools.lru_cache(500)(lambda tree, seen, stats: Wrapper(tree, seen, stats) if tree else None)
+        wrapper = functools.lru_cache(100)(lambda tree, *said: Wrapper(tree, *said) if tree else None)
         for batch, texts in steps(batches, "html"):
-            held = map(wrapper, *(batch.column(c).to_pylist() for c in ("wrapper", "seen", "stats")))
+            held = map(wrapper, *(batch.column(c).to_pylist() for c in ("wrapper", "seen", "stats", "rare")))
             found = [extract(t, w) if t else "" for t, w in zip(texts, held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["row", "text", "n_chars"])
 

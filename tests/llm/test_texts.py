@@ -269,6 +269,44 @@ def test_precision_and_recall_on_labelled_pages_over_two_partitionings(spark):
     assert right >= 0.99 * found and right >= 0.99 * wanted
 
 
+def test_wrappers_are_made_from_all_pages_of_a_host(spark, monkeypatch):
+    """Each notice is on a quarter of its host's pages, articles are laid out in many ways: no notice is missed because few pages were looked at."""
+    rng = random.Random(12)
+    rows, right = [], {}
+    for i in range(400):
+        host, kind = i % 10, "abcd"[i // 10 % 4]
+        body = "".join(f"<{t}>{t} {i} {k}</{t}>" for k, t in enumerate(rng.choice(["p", "h2", "pre", "blockquote", "dl"]) for _ in range(rng.randrange(1, 9))))
+        rows.append((i, f"https://h{host}.example/{i}", f"<body><div class='q'>{body}</div><div class='k{kind}'>Kept by the team {kind} of {host}</div></body>"))
+        right[i] = "\n".join(re.findall(r">([^<>]+)<", body))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r.page_id: r.text for r in html_text.main_text(df.repartition(n)).collect()} for n in (2, 5)]
+    assert got[0] == got[1] == right
+    # Merged in many small groups, over several rounds.
+    monkeypatch.setattr(html_text, "GROUP", 3)
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == right
+    more = df.union(spark.createDataFrame([(1000 + i, "https://h0.example/x", f"<body><div class='q'><p>other {i}</p></div></body>") for i in range(5)], df.schema))
+    known = html_text.wrappers(more.where("url like '%h0.%'"), "url", "html", Scratch(spark, "t")).first()
+    signs = {n[0] for n in html_text.preorder(html_text.grown(known.wrapper))}
+    # Now each notice is on 10 pages of 45, which is less than a quarter.
+    assert known.seen == 45 and {"body", "div.q", "p"} <= signs and not any(s.startswith("div.k") for s in signs)
+
+
+def test_merged_trees_hold_every_one_and_rare_paths_go():
+    rng = random.Random(9)
+    tree = lambda d: [[rng.choice("pqr"), 0, tree(d - 1) if rng.random() < 0.6 else []] for _ in range(rng.randrange(1, 4))] if d else []
+    for _ in range(60):
+        trees = [tree(3) for _ in range(6)]
+        whole = html_text.grown(html_text.shape(html_text.merged(trees)))
+        for t in trees:
+            assert html_text.shape(html_text.grown(html_text.shape(t))) == html_text.shape(t)
+            assert -1 not in html_text.placed(t, whole)
+        known = set(html_text.paths(trees[0]))
+        for t in trees[1:]:
+            left = html_text.pruned(t, frozenset(known))
+            assert set(html_text.paths(left)) == known & set(html_text.paths(t))
+            assert sum(p in known for p in html_text.paths(t)) == len(html_text.paths(left))
+
+
 def test_license_matches_against_brute_force(spark):
     rng = random.Random(6)
     filler = [f"f{i}" for i in range(50)]
