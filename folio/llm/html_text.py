@@ -189,17 +189,27 @@ def parse(text: str) -> Node:
 # --- wrappers --------------------------------------------------------------------------------------------------------------------
 # A node of a folded tree is [sign, hash of its text, children]; a wrapper's has its number instead of a hash.
 
-_MODULUS, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E681
+#: A prime below 2 ** 62 and a factor.
+_MODULUS, _BASE = 0x365B96B7A2BEEE31, 0x1F3D5B79A2C4E681
+
+
+@functools.lru_cache(10_000)
+def _power(n: int) -> int:
+    return pow(256, n, _MODULUS)
 
 
 def text_hashes(root: Node) -> dict[int, int]:
-    """A hash of the words below each element that is no inline one, by the element's id: each is cut out of one running hash of the page."""
-    sums, powers, parts, begin, out = [0], [1], [], {}, {}
+    """A hash of the words below each element that is no inline one, by the element's id.
+
+    It is their bytes, a space after each word, read as one number, modulo a prime: each is cut out of that of the page up to there.
+    """
+    sums, ends, parts, begin, out = [0], [0], [], {}, {}
 
     def flush() -> None:
-        for w in "".join(parts).split():
-            sums.append((sums[-1] * _BASE + xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) % _MODULUS)
-            powers.append(powers[-1] * _BASE % _MODULUS)
+        if words := "".join(parts).split():
+            said = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
+            sums.append((sums[-1] * _power(len(said)) + int.from_bytes(said)) % _MODULUS)
+            ends.append(ends[-1] + len(said))
         parts.clear()
 
     todo: list = [(root, False)]
@@ -212,7 +222,7 @@ def text_hashes(root: Node) -> dict[int, int]:
             flush()
             if done:
                 i = begin[id(n)]
-                out[id(n)] = (sums[-1] - sums[i] * powers[len(sums) - 1 - i]) % _MODULUS
+                out[id(n)] = (sums[-1] - sums[i] * _power(ends[-1] - ends[i])) % _MODULUS
                 continue
             begin[id(n)] = len(sums) - 1
             todo.append((n, True))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -307,6 +308,21 @@ def test_merged_trees_hold_every_one_and_rare_paths_go():
             assert sum(p in known for p in html_text.paths(t)) == len(html_text.paths(left))
 
 
+def test_texts_are_hashed_a_run_at_a_time():
+    """Equal words are equal however they are cut into blocks; a page costs a few hashes, not one for each word."""
+    tree = lambda html: html_text.skeleton(html_text.parse(html))[0]
+    a, b, c, d = (tree(f"<div>{x}</div>")[0][1] for x in ("one <b>two</b> <i>th</i>ree", "<p>one\n two<p> three", "one two th ree", "one three two"))
+    assert a == b and len({a, c, d}) == 3
+    long_ = "<div><p>" + " ".join(f"w{i}" for i in range(200_000)) + "</p><p>end</p></div>"
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "c_call" else None)
+    try:
+        html_text.text_hashes(html_text.parse(long_))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1000
+
+
 def test_license_matches_against_brute_force(spark):
     rng = random.Random(6)
     filler = [f"f{i}" for i in range(50)]
