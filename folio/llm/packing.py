@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -41,16 +43,24 @@ class PieceTokenizer:
     """
 
     OTHER = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"] + ["\u180e", "\x02"]
+    LONGEST = 64
     DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 800_000, room: int = 160 << 20):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library's threads would take others'.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.keep = keep
+        # Remembered are so many stretches and bytes, and none of more than LONGEST characters, which seldom come again.
+        self.keep, self.room = keep, room
         self.known: dict[str, bytes] = {}
         self.stops = {c: self.whole(c) for c in ".,"}
+        vocab = self.tok.get_vocab()
+        #: The tokens that begin with a space or a line break, as the byte-level alphabet writes them.
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,51 +70,57 @@ class PieceTokenizer:
         return text[0] in " \n" or text[-1] in " \n" or any(d in text for d in self.DOUBLE) or any(c in text for c in self.OTHER) or any(t in text for t in self.special)
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encodes stretches: many at once where they begin with white space, for those can stand one after the other.
-
-        They are remembered while there is room: the first stretches a task meets hold the frequent ones.
-        """
+        """Encodes stretches, many at once: those that begin with white space can stand one after the other, and a text's first one can stand after a line break, whose id is then left out."""
         got: dict[str, bytes] = {}
         known = self.known
-        stopped = [s for s in new if s[-1] in ".," and s[-2:-1].isalnum() and s[0] != "\x02"]
+        stopped = [s for s in new if s[-1] in ".," and s[-2:-1].isalnum()]
         ends = set(stopped)
-        rest = []
-        for s in new:
-            if s[0] == "\x02":
-                got[s] = self.whole(s[1:])
-            else:
-                core = s[:-1] if s in ends else s
-                if core not in known:
-                    rest.append(core)
-        rest = list(dict.fromkeys(rest))
+        rest = list(dict.fromkeys(core for s in new if (core := s[:-1] if s in ends else s) not in known))
         for i in range(0, len(rest), 2000):
             some = rest[i : i + 2000]
-            text = [s if s[0] == "\n" else " " + s for s in some]
-            e = self.tok.encode("".join(text), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            at = np.searchsorted(np.array([o[0] for o in e.offsets]), np.cumsum([len(t) for t in text])).tolist()
-            for s, x, y in zip(some, [0, *at], at, strict=False):
-                got[s] = ids[4 * x : 4 * y]
+            text = "".join([s if s[0] == "\n" else f"\n{s[1:]}" if s[0] == "\x02" else f" {s}" for s in some])
+            # Without offsets, which cost as much as the encoding does: a token that begins with white space begins a stretch.
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.begins[ids]).tolist()
+            if len(at) == len(some) and at[0] == 0:
+                data = ids.tobytes()
+                got.update((s, data[4 * x : 4 * y]) for s, x, y in zip(some, at, [*at[1:], len(ids)], strict=True))
+            else:
+                got.update((s, self.whole(s if s[0] == "\n" else f"\n{s[1:]}" if s[0] == "\x02" else f" {s}")) for s in some)
+        for s in rest:
+            if s[0] == "\x02":
+                got[s] = got[s][4:]
         for s in stopped:
             core = s[:-1]
             got[s] = (known.get(core) or got[core]) + self.stops[s[-1]]
-        if len(known) < self.keep:
-            known.update(got)
         return got
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. What is new in any of them is encoded together, and remembered while there is room: the first stretches a task meets hold the frequent ones."""
+        known, out, gaps = self.known, [], []
+        for t in texts:
+            if not t or self.odd(t):
+                out.append([self.whole(t)] if t else [])
+                continue
+            # A stretch stands here without its space; \x02 marks the text's first, which has none.
+            parts = ("\x02" + t.replace("\n", " \n")).split(" ")
+            found = list(map(known.get, parts))
+            out.append(found)
+            if None in found:
+                gaps.append((found, [(i, s) for i, (s, b) in enumerate(zip(parts, found, strict=True)) if b is None]))
+        if gaps:
+            got = self.learn(list(dict.fromkeys(s for _, new in gaps for _, s in new)))
+            for found, new in gaps:
+                for i, s in new:
+                    found[i] = got[s]
+            if len(known) + len(got) <= self.keep and self.room > 0:
+                short = {s: b for s, b in got.items() if len(s) <= self.LONGEST}
+                self.room -= sum(map(sys.getsizeof, short)) + sum(map(sys.getsizeof, short.values())) + 100 * len(short)
+                known.update(short)
+        return [b"".join(found) for found in out]
+
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.whole(text)
-        # A stretch stands here without its space; \x02 marks the text's first, which has none.
-        parts = ("\x02" + text.replace("\n", " \n")).split(" ")
-        out = list(map(self.known.get, parts))
-        if None in out:
-            got = self.learn(list(dict.fromkeys(s for s, b in zip(parts, out, strict=True) if b is None)))
-            out = [b if b is not None else got[s] for s, b in zip(parts, out, strict=True)]
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
@@ -125,8 +141,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         tok = tokenizer(path)
         for batch, texts in steps(batches, "text"):
             rows = []
-            for d, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = tok.encode(t or "") + end
+            for d, ids in zip(batch.column(0).to_pylist(), tok.encode_all(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 at, cut = 0, n % capacity or capacity
                 k = 0

@@ -28,6 +28,36 @@ def test_stretches_encode_like_whole_texts(raw):
         assert list(np.frombuffer(tok.encode(s), "<u4")) == raw.encode(s, add_special_tokens=False).ids, s
 
 
+def test_what_is_new_in_many_texts_is_encoded_together(raw):
+    rng = random.Random(4)
+    bits = ["a", "the", "été", " ", "\n", ".", ",", "'s", "1", " ", " x", "日本", "Ġ", "Ċ", "x.", "\u0130", "Ĭ"]
+    for keep in (0, 40, 100_000):
+        tok = packing.PieceTokenizer(PATH, keep=keep)
+        for _ in range(20):
+            texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(50)] + [None, ""]
+            assert [np.frombuffer(b, "<u4").tolist() for b in tok.encode_all(texts)] == [raw.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(tok.known) <= keep
+
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            Counted.calls += name.startswith("encode")
+            return getattr(raw, name)
+
+    tok = packing.PieceTokenizer(PATH)
+    tok.tok = Counted()
+    words = [f"{a}{b}" for a in "xyz" for b in range(300)]
+    texts = [" ".join(rng.sample(words, 40)) + "." for _ in range(200)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tok.encode_all(texts)] == [raw.encode(t, add_special_tokens=False).ids for t in texts]
+    # One call for 2,000 stretches, none for each text.
+    assert Counted.calls <= 2
+    tok = packing.PieceTokenizer(PATH, room=50_000)
+    for i in range(40):
+        tok.encode_all([" ".join(f"w{i}x{j}" + "long" * 50 * (j % 2) for j in range(100))])
+    assert 100 <= len(tok.known) < 500 and max(map(len, tok.known)) <= 64
+
+
 DOCS = [(1, None, "x"), (2, "", None), (None, "two words", "x"), (2, "", None), (3, "word " * 3000, "y"), (4, "a\tb", ""), (5, "a<|endoftext|> b", "y")]
 
 
