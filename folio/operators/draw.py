@@ -182,18 +182,21 @@ def date_string(seconds: Column) -> Column:
     return F.concat(F.lit("(D:"), F.date_format(day, "yyyyMMdd"), part(24, 3600), part(60, 60), part(60, 1), F.lit("Z)"))
 
 
+#: The last second that a date with its four digits of a year can say (9999); the sequential writer stops at the end of 3000, as its model does.
+LATEST = 253402300799
+
 #: Columns of metadata and their entries, in the order of the entries' names (fixed values).
 _INFO = {"author": "Author", "created": "CreationDate", "creator": "Creator", "keywords": "Keywords", "modified": "ModDate", "subject": "Subject", "title": "Title"}
 
 
 def information(meta: DataFrame, doc_id: str) -> DataFrame:
-    """(doc, says, message) of metadata columns title, author, subject, keywords, creator, and created, modified as seconds from 1970; a null is left out, a document without any has none."""
+    """(doc, says, message) of metadata columns title, author, subject, keywords, creator, and created, modified as seconds from 1970 to the end of 9999; a null is left out, a document without any has none."""
     there = {c: k for c, k in _INFO.items() if c in meta.columns}
     if not there:
         raise InvalidArgument(f"metadata needs some of {', '.join(_INFO)}", arg="meta")
     entry = lambda c, k: F.concat(F.lit(f"/{k} "), date_string(F.col(c).cast("long")) if c in ("created", "modified") else text_string(F.col(c)))
     body = F.concat_ws("", *[entry(c, k) for c, k in there.items()])
-    times = [F.when(~F.col(c).cast("long").between(0, 32535215999), F.lit(f"{c} must be a time from 1970 to the end of 3000")) for c in there if c in ("created", "modified")]
+    times = [F.when(~F.col(c).cast("long").between(0, LATEST), F.lit(f"{c} must be a time from 1970 to the end of 9999")) for c in there if c in ("created", "modified")]
     return meta.select(F.col(doc_id).alias("doc"), F.when(body != "", F.concat(F.lit("<<"), body, F.lit(">>"))).alias("says"), F.coalesce(*times, F.lit(None).cast("string")).alias("message"))
 
 

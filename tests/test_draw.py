@@ -51,6 +51,17 @@ def test_images_and_metadata(spark):
     assert got == {1: W.build(of(1), images=files, meta={"title": "Tïtle", "author": "A (b) \\", "modified": 32535215999}, created=86399), 2: W.build(of(2), images=files)}
 
 
+def test_times_to_the_end_of_9999(spark):
+    times = {1: 0, 2: 32535216000, 3: 899_999 * 86461 + 1, 4: 253402300799, 5: 253402300800, 6: -1}
+    ops = spark.createDataFrame([(d, 1, 1, "save", [], None) for d in times], OPS)
+    made = P.write(ops, meta=spark.createDataFrame(list(times.items()), "doc_id int, created long"))
+    bad = {r["file_id"]: r["status"]["message"] for r in made.where("content is null").collect()}
+    assert bad == {d: "created must be a time from 1970 to the end of 9999" for d in (5, 6)}
+    got = {r["file_id"]: r["t"] for r in D.meta(made.where("content is not null").select("file_id", "content")).select("file_id", F.unix_timestamp("created").alias("t")).collect()}
+    # A time of 0 is read as none.
+    assert got == {d: t or None for d, t in times.items() if d < 5}
+
+
 def test_boxes_of_pages(spark):
     ops = spark.createDataFrame([(1, 1, 1, "text", [1.0, 2.0, 12.0, 1.0, 0.0], "Courier\tx")], OPS)
     pages = spark.createDataFrame([(1, 1, [0.0, 0.0, 100.5, 200.0], [0.0, 0.0, 50.0, 60.0], 450), (1, 2, None, None, None), (5, 1, [0.0, 0.0, 9.0, 9.0], None, -90)], "doc_id int, page int, media_box array<double>, crop_box array<double>, rotate int")
