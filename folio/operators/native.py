@@ -32,6 +32,22 @@ def _bytes(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+def long(side: DataFrame) -> DataFrame:
+    """A side of a join with about a row a document, joined by sorting: its file is a few MB where its rows are millions, and by the file's size Spark would send them all through the driver."""
+    return side.hint("merge")
+
+
+#: Documents without a result that are sent to all tasks.
+FEW = 10_000
+
+
+def without(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of the documents (doc) that aren't among the written table failed."""
+    keep = failed.select(F.col("doc").alias("_d"))
+    n = keep.limit(FEW + 1).count()
+    return rows.join(F.broadcast(keep) if n <= FEW else long(keep), F.col("doc").eqNullSafe(F.col("_d")), "left_anti") if n else rows
+
+
 def _number(c: Column) -> Column:
     return F.concat(c.cast("string"), F.lit(" 0 R"))
 
@@ -80,7 +96,7 @@ def laid_out(written: DataFrame, docs: DataFrame, kids: DataFrame, tables: Table
     info (doc, new): the number of the information dictionary. Offsets are the bytes of earlier parts, then of earlier objects of the part.
     """
     header = f"%PDF-{version}\n%".encode() + HEADER[-5:]
-    docs = docs.join(kids.withColumnRenamed("doc", "_d"), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
+    docs = docs.join(long(kids.withColumnRenamed("doc", "_d")), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
     tree = F.concat(F.lit("<</Count "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("/Kids ["), F.coalesce("kids", F.lit("")), F.lit("]/Type /Pages>>"))
     head = docs.select("doc", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("new"), F.lit("<</Pages 2 0 R/Type /Catalog>>").alias("says")), F.struct(F.lit(2).cast("long").alias("new"), tree.alias("says")))).alias("h"))
     none = F.lit(-(1 << 63))
@@ -91,12 +107,12 @@ def laid_out(written: DataFrame, docs: DataFrame, kids: DataFrame, tables: Table
     inside = Window.partitionBy("part", "doc").orderBy("new").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written.select("doc", "ord", "part", "new", F.octet_length("data").alias("size")).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ahead_ = ahead.select(F.col("part").alias("_p"), F.col("doc").alias("_d"), "ahead")
-    lines = offsets.join(ahead_, (F.col("part") == F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))).select("doc", "part", "new", F.format_string("%010d 00000 n \n", F.col("ahead") + F.col("within") + len(header)).alias("line"))
+    lines = offsets.join(long(ahead_), (F.col("part") == F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))).select("doc", "part", "new", F.format_string("%010d 00000 n \n", F.col("ahead") + F.col("within") + len(header)).alias("line"))
     table = lines.groupBy("doc", "part").agg(F.min("new").alias("at"), F.expr("listagg(line, '') WITHIN GROUP (ORDER BY new)").alias("lines"))
-    whole = ahead.groupBy("doc").agg((F.sum("size") + len(header)).alias("xref")).join(written.groupBy(F.col("doc").alias("_d")).agg(F.max("new").alias("most")), F.col("doc").eqNullSafe(F.col("_d"))).drop("_d")
+    whole = ahead.groupBy("doc").agg((F.sum("size") + len(header)).alias("xref")).join(long(written.groupBy(F.col("doc").alias("_d")).agg(F.max("new").alias("most"))), F.col("doc").eqNullSafe(F.col("_d"))).drop("_d")
     said = F.lit("")
     if info is not None:
-        whole = whole.join(info.select(F.col("doc").alias("_d"), F.col("new").alias("_info")), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
+        whole = whole.join(long(info.select(F.col("doc").alias("_d"), F.col("new").alias("_info"))), F.col("doc").eqNullSafe(F.col("_d")), "left").drop("_d")
         said = F.coalesce(F.concat(F.lit("/Info "), _number(F.col("_info"))), F.lit(""))
     opening = F.concat(F.lit("xref\n0 "), (F.col("most") + 1).cast("string"), F.lit("\n0000000000 65535 f \n"))
     zeros = "0" * 32

@@ -627,7 +627,8 @@ def _path_ops(spark, sf):
     turn = F.col("p_partkey") % 3
     drawn = P.draw_path(F.lit(1), F.lit(1), path, fill=F.when(turn != 1, F.lit("red")), stroke=F.when(turn == 2, F.lit("#0000FF")), width=0.5, rule="evenodd")
     text = W.draw_text(F.lit(1), F.lit(100), F.col("p_name"), F.lit(72.0), F.lit(700.0))
-    return _table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.concat(drawn, text)).alias("o")).select("doc_id", "o.*")
+    part = S.spread(_table(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
+    return part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.concat(drawn, text)).alias("o")).select("doc_id", "o.*")
 
 
 @query(_PATH_TOKENS)

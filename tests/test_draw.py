@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.operators import documents as D
 from folio.operators import draw as P
 from folio.operators import write as W
+from folio.operators.graph import Tables
 
 OPS = "doc_id int, page int, seq int, op string, nums array<double>, str string"
 TEXTS = ["plain", "par(en)s \\ and \r\n", "Ünï € ‚„… Ωmega 😀 \x85\x9f", "þÿ starts", "tab\tinside", "", "ÿ"]
@@ -62,6 +63,25 @@ def test_times_to_the_end_of_9999(spark):
     assert got == {d: t or None for d, t in times.items() if d < 5}
 
 
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """The plans of the tables written from here on."""
+    said, put = [], Tables.put
+    monkeypatch.setattr(Tables, "put", lambda self, df, name: (said.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df, name))[1])
+    return said
+
+
+def test_nothing_as_long_as_the_documents_is_broadcast(spark, plans):
+    ops = spark.createDataFrame([(d, 1, 1, "text", [1.0, 2.0, 12.0, 1.0, 0.0], "Courier\tx") for d in (1, 2)] + [(3, 1, 1, "ring", [], None)], OPS)
+    meta = spark.createDataFrame([(1, "a")], "doc_id int, title string")
+    boxes = spark.createDataFrame([(1, 1, [0.0, 0.0, 9.0, 9.0])], "doc_id int, page int, media_box array<double>")
+    good = P.write(ops.where("doc_id < 3"), pages=boxes, meta=meta)
+    for plan in [*plans, good._jdf.queryExecution().executedPlan().toString()]:
+        assert "Broadcast" not in plan
+    # The few documents that failed may be sent to all tasks.
+    assert {r["file_id"]: r["status"]["class"] for r in P.write(ops, pages=boxes, meta=meta).collect()} == {1: None, 2: None, 3: "write_error"}
+
+
 def test_boxes_of_pages(spark):
     ops = spark.createDataFrame([(1, 1, 1, "text", [1.0, 2.0, 12.0, 1.0, 0.0], "Courier\tx")], OPS)
     pages = spark.createDataFrame([(1, 1, [0.0, 0.0, 100.5, 200.0], [0.0, 0.0, 50.0, 60.0], 450), (1, 2, None, None, None), (5, 1, [0.0, 0.0, 9.0, 9.0], None, -90)], "doc_id int, page int, media_box array<double>, crop_box array<double>, rotate int")
