@@ -641,7 +641,7 @@ def draw_paths(spark, sf):
 def draw_same_bytes(spark, sf):
     """The files by columns and those of the sequential writer, byte for byte."""
     ops = _path_ops(spark, sf)
-    return P.write(ops).select("file_id", "content").join(W.write(ops).withColumnRenamed("content", "again"), "file_id").select("file_id", (F.col("content") == F.col("again")).alias("same"))
+    return P.write(ops).select("file_id", "content").join(N.long(W.write(ops).withColumnRenamed("content", "again")), "file_id").select("file_id", (F.col("content") == F.col("again")).alias("same"))
 
 
 @query("SELECT p_partkey::BIGINT AS file_id, unnest([1, 1, 2])::INT AS page, unnest(['img' || p_size, 'tall', 'img' || p_size]) AS name, unnest([p_size, 1, p_size])::INT AS width, unnest([2, 3, 2])::INT AS height FROM part")

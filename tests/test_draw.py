@@ -11,6 +11,7 @@ from folio.operators import documents as D
 from folio.operators import draw as P
 from folio.operators import write as W
 from folio.operators.graph import Tables
+from folio.plans import catalogue
 
 OPS = "doc_id int, page int, seq int, op string, nums array<double>, str string"
 TEXTS = ["plain", "par(en)s \\ and \r\n", "Ünï € ‚„… Ωmega 😀 \x85\x9f", "þÿ starts", "tab\tinside", "", "ÿ"]
@@ -82,6 +83,12 @@ def test_nothing_as_long_as_the_documents_is_broadcast(spark, plans):
     assert {r["file_id"]: r["status"]["class"] for r in P.write(ops, pages=boxes, meta=meta).collect()} == {1: None, 2: None, 3: "write_error"}
 
 
+def test_both_writers_are_joined_by_sorting(spark, tmp_path):
+    spark.createDataFrame([(k, f"part {k}", 7) for k in range(3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = catalogue.QUERIES["draw_same_bytes"](spark, str(tmp_path))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boxes_of_pages(spark):
     ops = spark.createDataFrame([(1, 1, 1, "text", [1.0, 2.0, 12.0, 1.0, 0.0], "Courier\tx")], OPS)
     pages = spark.createDataFrame([(1, 1, [0.0, 0.0, 100.5, 200.0], [0.0, 0.0, 50.0, 60.0], 450), (1, 2, None, None, None), (5, 1, [0.0, 0.0, 9.0, 9.0], None, -90)], "doc_id int, page int, media_box array<double>, crop_box array<double>, rotate int")
