@@ -24,12 +24,15 @@ def rotation(degrees: Column) -> Column:
 
 def text_width(text: Column, font: str = "Helvetica", size: float = 12.0) -> Column:
     """The advance of a string in a core font, by a table of widths of code page 1252's characters."""
-    widths = F.create_map(*[F.lit(x) for b in range(256) if WIN[b] for x in (chr(WIN[b]), float(core_width(font, WIN[b])))])
+    known = {WIN[b]: float(core_width(font, WIN[b])) for b in range(256) if WIN[b]}
     other = float(core_width(font, ord("?")))
+    # A map is looked through from its beginning; ASCII goes by its place.
+    ascii_ = F.array(*[F.lit(known.get(p, other)) for p in range(128)])
+    widths = F.create_map(*[F.lit(x) for p, w in known.items() if p >= 128 for x in (chr(p), w)])
     if font.startswith("Courier"):
         return (F.length(text) * (0.6 * size)).cast("double")
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(widths, c), F.lit(other))) * (size / 1000)
+    return F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.when(F.ascii(c) < 128, F.get(ascii_, F.ascii(c))).otherwise(F.coalesce(F.try_element_at(widths, c), F.lit(other)))) * (size / 1000)
 
 
 def hex_id(data: Column) -> Column:

@@ -42,6 +42,11 @@ SCHEMAS = {
 KERNELS: dict[str, Callable[..., Iterator[dict]]] = {"objects": rows.objects, "streams": rows.decoded, "meta": rows.meta, "info": rows.info, "pages": rows.pages, "tokens": rows.page_tokens, "page_text": rows.page_text, "glyphs": rows.glyphs, "words": rows.page_words, "fonts": rows.fonts, "images": rows.images, "image_data": rows.image_data, "toc": rows.toc, "attachments": rows.attachments, "bodies": rows.bodies}
 
 
+def tasks(spark) -> int:
+    """So many tasks for work that isn't in proportion to its rows' bytes: at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def file_rows(table: str, content: bytes | None, limits: Limits, passwords: tuple[str, ...], mode: str, options: dict) -> Iterator[dict]:
     """A table's rows of one file; in PERMISSIVE mode a failure is a row with its status."""
     try:
@@ -68,6 +73,22 @@ def _within(value, kind: pa.DataType):
     return value
 
 
+def _batch(rows_: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; a status, which many rows share, is turned into columns once."""
+    def column(f: pa.Field) -> pa.Array:
+        values = [r.get(f.name) for r in rows_]
+        if f.name != "status":
+            return pa.array(values, f.type)
+        place: dict[int, int] = {}
+        at = [place.setdefault(id(v), len(place)) for v in values]
+        each = [None] * len(place)
+        for i, v in zip(at, values, strict=True):
+            each[i] = v
+        return pa.array(each, f.type).take(pa.array(at, pa.int32()))
+
+    return pa.RecordBatch.from_arrays([column(f) for f in arrow], schema=arrow)
+
+
 def as_batches(found: Iterable[tuple[object, int, Iterator[dict]]], arrow: pa.Schema, mode: str) -> Iterator[pa.RecordBatch]:
     """(file_id, bytes, rows) of file after file -> batches of rows that files share.
 
@@ -78,7 +99,7 @@ def as_batches(found: Iterable[tuple[object, int, Iterator[dict]]], arrow: pa.Sc
 
     def batches() -> Iterator[pa.RecordBatch]:
         try:
-            yield pa.RecordBatch.from_pylist([r for _, out in held for r in out], arrow)
+            yield _batch([r for _, out in held for r in out], arrow)
         except FAILURES:
             for key, out in held:
                 try:
@@ -92,8 +113,9 @@ def as_batches(found: Iterable[tuple[object, int, Iterator[dict]]], arrow: pa.Sc
         out: list[dict] = []
         held.append((key, out))
         bytes_held += size
+        own = {"file_id": key, "status": status()}
         for row in rows_:
-            out.append({"file_id": key, "status": status()} | row)
+            out.append(own | row)
             rows_held += 1
             if rows_held >= BATCH:
                 yield from batches()

@@ -16,7 +16,7 @@ from ..kernel.embed import add_subset, add_truetype, image
 from ..kernel.syntax import File
 from ..kernel.values import Ref
 from ..limits import Limits
-from .scan import FAILURES
+from .scan import BATCH, BATCH_BYTES, FAILURES, tasks
 
 OPS = "page int, seq int, op string, nums array<double>, str string"
 
@@ -90,11 +90,12 @@ def build(ops: list[tuple], *, version: str = "1.7", media_box=S.A4, created: in
 def write(ops: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """ops (doc_id, page, seq, op, nums, str) -> (file_id, content). ``meta`` (title, author, subject, keywords, creator, language, modified) applies to all; a column ``title`` of ops goes into its file.
 
-    Rows are sorted by document and streamed, so a task holds one document at a time.
+    Rows are sorted by document and streamed, so a task holds one document at a time, and files of some MB that go on together.
     """
     titled = "title" in ops.columns
     cols = [F.col(doc_id).alias("file_id"), "page", "seq", "op", "nums", "str", *(["title"] if titled else [])]
-    given = ops.select(*cols).repartition("file_id").sortWithinPartitions("file_id", "page", "seq")
+    # By their bytes, operations would be few tasks; files are much more work than their operations are long.
+    given = ops.select(*cols).repartition(tasks(ops.sparkSession), "file_id").sortWithinPartitions("file_id", "page", "seq")
     schema = StructType().add("file_id", given.schema["file_id"].dataType).add("content", "binary")
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -102,21 +103,29 @@ def write(ops: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, title, none = [], None, object()
-        now = none
+        now, ids, files, size = none, [], [], 0
 
-        def done() -> pa.RecordBatch:
+        def done() -> None:
             extra = {"meta": (options.get("meta") or {}) | {"title": title}} if titled else {}
-            return pa.RecordBatch.from_pylist([{"file_id": now, "content": build(held, **(options | extra))}], arrow)
+            ids.append(now)
+            files.append(build(held, **(options | extra)))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, arrow[0].type), pa.array(files, arrow[1].type)], schema=arrow)
 
         for b in batches:
             for row in b.to_pylist():
                 if now is not none and row["file_id"] != now:
-                    yield done()
-                    held = []
+                    done()
+                    held, size = [], size + len(files[-1])
+                    if len(ids) >= BATCH or size >= BATCH_BYTES:
+                        yield batch()
+                        ids, files, size = [], [], 0
                 now, title = row["file_id"], row.get("title")
                 held.append((row["page"], row["seq"], row["op"], row["nums"], row["str"]))
         if now is not none:
-            yield done()
+            done()
+            yield batch()
 
     return given.mapInArrow(run, schema)
 

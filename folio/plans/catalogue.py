@@ -520,7 +520,7 @@ _ALIGNED_SQL = ", ".join(f"({i}, [{', '.join(map(str, CORE[f][0]))}])" for i, f
  FROM customer, (VALUES {_ALIGNED_SQL}) t(k, w)""")
 def draw_align_fonts(spark, sf):
     """Customers' names set centred and to the right in fonts of every kind of width: where the first glyph comes to lie."""
-    c = _table(spark, sf, "customer").select("c_custkey", "c_name")
+    c = S.spread(_table(spark, sf, "customer").select("c_custkey", "c_name"))
     each = [c.select((F.col("c_custkey") * 8 + k).cast("long").alias("doc_id"), F.explode(W.draw_text(F.lit(1), F.lit(1), F.col("c_name"), F.lit(300.0), F.lit(700.0), font=f, size=10.0, align=0.5 + 0.5 * (k % 2))).alias("o")) for k, f in enumerate(_ALIGNED)]
     ops = functools.reduce(DataFrame.unionByName, each).select("doc_id", "o.*")
     return D.glyphs(W.write(ops, media_box=S.LETTER)).where("seq = 1").select("file_id", F.round("x0", 6).alias("x0"))

@@ -7,6 +7,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import scalars
+from folio.kernel.fonts import CORE
+from folio.kernel.serialize import text_width
 from folio.operators import documents as D
 from folio.operators import draw as P
 from folio.operators import write as W
@@ -144,3 +147,19 @@ def test_points(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0]), (2, [1.0], [1.0]), (3, [1.0, 2.0], [1.0])], "id int, x array<double>, y array<double>")
     got = {r["id"]: r["p"] and [(s["op"], s["x"], s["y"]) for s in r["p"]] for r in df.select("id", P.points(F.col("x"), F.col("y"), close=True).alias("p")).collect()}
     assert got == {1: [("move", 1, 4), ("line", 2, 5), ("line", 3, 6), ("close", None, None)], 2: None, 3: None}
+
+
+def test_the_sequential_writer_works_in_many_tasks(spark):
+    ops = spark.range(200).select(F.col("id").alias("doc_id"), F.explode(W.draw_text(F.lit(1), F.lit(1), F.col("id").cast("string"), F.lit(1.0), F.lit(2.0), font="Times-Roman", align=0.5)).alias("o")).select("doc_id", "o.*")
+    made = W.write(ops)
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+    said = {r["file_id"]: r["text"] for r in D.page_text(made).collect()}
+    assert said == {i: str(i) for i in range(200)}
+
+
+def test_widths_of_ascii_and_other_characters(spark):
+    text = "aZ0~ €é—Δ"
+    df = spark.createDataFrame([(text,)], "t string")
+    for font in CORE:
+        got = df.select(scalars.text_width(F.col("t"), font, 10.0)).first()[0]
+        assert got == pytest.approx(text_width(text, font, 10.0))
