@@ -23,7 +23,7 @@ from ..kernel.fonts import CORE, WIN
 from ..kernel.serialize import A4, ARITY, serialize
 from ..kernel.values import Name
 from .graph import Tables, failed, fine
-from .native import _bytes, _number, joined, laid_out, long, without
+from .native import FEW, FEW_BYTES, _bytes, _number, joined, laid_out, long, without
 from .scan import FAILURES
 
 #: A path's rows: what each operation uses of them is checked.
@@ -269,7 +269,9 @@ def segments(ops: DataFrame, doc_id: str = "doc_id", *, pages: DataFrame | None
     if images is not None:
         made = images.where("data is not null").groupBy(F.col("name").alias("_n")).agg(F.min("data").alias("file")).select("_n", _image_object("file").alias("o"))
         made = tables.put(made.select("_n", "o.*"), "images")
-        shown = shown.join(made, F.col("name") == F.col("_n"), "left")
+        # Equal images take next to nothing in a file; their bytes tell whether all can be sent to all tasks.
+        size = made.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("size")).first()
+        shown = shown.join(F.broadcast(made) if size["n"] <= FEW and size["size"] <= FEW_BYTES else long(made), F.col("name") == F.col("_n"), "left")
         faults = faults.unionByName(told(shown.where("data is null"), F.concat(F.lit("image "), F.col("name"), F.lit(": "), F.coalesce("message", F.lit("not there")))))
         stream = F.concat(F.encode("head", "ISO-8859-1"), F.lit(b"\nstream\n"), F.col("data"), F.lit(b"\nendstream"))
         out = out.unionByName(shown.where("data is not null").select("doc", "page", "new", object_(F.col("new"), stream).alias("data")))

@@ -37,8 +37,8 @@ def long(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-#: Documents without a result that are sent to all tasks.
-FEW = 10_000
+#: Rows, and bytes of images, that are sent to all tasks.
+FEW, FEW_BYTES = 10_000, 8 << 20
 
 
 def without(rows: DataFrame, failed: DataFrame) -> DataFrame:

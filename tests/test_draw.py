@@ -86,6 +86,21 @@ def test_nothing_as_long_as_the_documents_is_broadcast(spark, plans):
     assert {r["file_id"]: r["status"]["class"] for r in P.write(ops, pages=boxes, meta=meta).collect()} == {1: None, 2: None, 3: "write_error"}
 
 
+def test_images_are_broadcast_by_their_bytes(spark, monkeypatch, plans):
+    frame = spark.createDataFrame([(d, 1, 1, "image", [1.0, 2.0, 30.0, 40.0, 0.0], f"i{d}") for d in (1, 2)], OPS)
+    files = {f"i{d}": png(d) for d in (1, 2)}
+    images = spark.createDataFrame(list(files.items()), "name string, data binary")
+    joins = lambda: [x for plan in plans for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    P.write(frame, images=images)
+    assert joins() and all("name#" in x for x in joins())
+    plans.clear()
+    monkeypatch.setattr(P, "FEW_BYTES", 1)
+    many = P.write(frame, images=images)
+    assert not joins()
+    want = {d: W.build([(1, 1, "image", [1.0, 2.0, 30.0, 40.0, 0.0], f"i{d}")], images=files) for d in (1, 2)}
+    assert {r["file_id"]: bytes(r["content"]) for r in many.collect()} == want
+
+
 def test_both_writers_are_joined_by_sorting(spark, tmp_path):
     spark.createDataFrame([(k, f"part {k}", 7) for k in range(3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     df = catalogue.QUERIES["draw_same_bytes"](spark, str(tmp_path))
