@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +172,19 @@ def met_across_salts(exploded: DataFrame, shared: DataFrame) -> DataFrame:
     return out.where("class <> pivot").select("key", "class", "pivot")
 
 
+def unlikely_left_out(na: np.ndarray, nb: np.ndarray, ba: pa.Array, bb: pa.Array, num: int, den: int) -> np.ndarray:
+    """Which pairs differ in no more parity bits than linked sets of these sizes can. Pairs whose bits are of the same lengths are compared at once: there are few lengths, powers of two."""
+    most = (na + nb) * (den - num) // (den + num)
+    la, lb = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ba, bb))
+    keep = np.zeros(len(most), bool)
+    for p, q in np.unique(np.stack([la, lb], 1), axis=0):
+        at = np.flatnonzero((la == p) & (lb == q))
+        x, y = (np.frombuffer(c.take(pa.array(at)).buffers()[2], U, len(at) * int(n) // 8).reshape(len(at), -1) for c, n in ((ba, p), (bb, q)))
+        size = int(min(p, q)) // 8
+        keep[at] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(1, dtype=np.int64) <= most[at]
+    return keep
+
+
 def likely(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """Of (a, b) classes, those that sizes and parity bits don't rule out. bits: (class, n, bits)."""
     x = bits.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
@@ -180,12 +194,7 @@ def likely(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (den - num) // (den + num)
-            keep = []
-            for m, p, q in zip(most.tolist(), batch.column("ba"), batch.column("bb"), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-                size = min(len(p), len(q))
-                keep.append(int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= m)
+            keep = unlikely_left_out(*(batch.column(c).to_numpy() for c in ("na", "nb")), batch.column("ba"), batch.column("bb"), num, den)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")

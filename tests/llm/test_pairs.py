@@ -3,6 +3,7 @@ import re
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folio.llm import jaccard_join, vector_dedup
@@ -198,3 +199,28 @@ def test_passes_recall_of_a_large_dense_label(spark):
         linked[a : a + 1000] = (y[a : a + 1000] @ y.T >= 0.98).sum(1) - 1
     assert (got.n_links <= linked).all()
     assert got.n_links.sum() >= 0.95 * linked.sum(), (got.n_links.sum(), linked.sum())
+
+
+def test_pairs_are_compared_in_bulk_by_parity_bits(monkeypatch):
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(600):
+        n = int(rng.integers(1, 300))
+        s = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        t = np.concatenate([s[int(rng.integers(0, 1 + n // 5)):], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)])
+        sets.append((np.unique(s), np.unique(t) if len(t) else np.unique(s)))
+    na, nb = (np.array([len(x[i]) for x in sets]) for i in (0, 1))
+    bits = [[jaccard_join.parity_bits(x[i]) for x in sets] for i in (0, 1)]
+    want = []
+    for m, p, q in zip(((na + nb) * 20 // 180).tolist(), *bits, strict=True):
+        p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        size = min(len(p), len(q))
+        want.append(int(np.bitwise_count(jaccard_join.folded(p, size) ^ jaccard_join.folded(q, size)).sum()) <= m)
+    calls, folded = [], jaccard_join.folded
+    monkeypatch.setattr(jaccard_join, "folded", lambda *a: (calls.append(1), folded(*a))[1])
+    for kind in (pa.binary(), pa.large_binary()):
+        # A slice, as a batch's columns may be.
+        ba, bb = (pa.array([b"x" * 8, *b], kind).slice(1) for b in bits)
+        assert jaccard_join.unlikely_left_out(na, nb, ba, bb, 80, 100).tolist() == want
+    assert 0 < sum(want) < len(want) and len(calls) < 120
+    assert not len(jaccard_join.unlikely_left_out(na[:0], nb[:0], ba[:0], bb[:0], 80, 100))
